@@ -96,8 +96,8 @@ def category_values(df: DataFrame, scalars: Mapping[str, int], lists: Mapping[st
         v = F.col(name).cast("long")
         parts.append(F.when((v >= 0) & (v < vocab), F.array(F.struct(F.lit(name).alias("feature"), v.alias("value")))))
     for name, vocab in lists.items():
-        inside = F.filter(F.array_distinct(F.col(name).cast("array<bigint>")), lambda x, m=vocab: (x >= 0) & (x < m))
-        parts.append(F.transform(inside, lambda x, f=name: F.struct(F.lit(f).alias("feature"), x.alias("value"))))
+        inside = F.filter(F.array_distinct(F.col(name).cast("array<bigint>")), lambda x: (x >= 0) & (x < vocab))
+        parts.append(F.transform(inside, lambda x: F.struct(F.lit(name).alias("feature"), x.alias("value"))))
     empty = F.array().cast("array<struct<feature:string,value:bigint>>")
     return df.select(F.inline(F.concat(*[F.coalesce(p, empty) for p in parts])))
 

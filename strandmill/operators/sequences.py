@@ -73,7 +73,7 @@ def dense_sequence_stats(
     if length_bucket:
         out["len_bucket"] = S.edges_passed(n, length_edges, "right") / float(max(len(length_edges), 1))
     if gap_log:
-        out["last_gap_log"] = F.coalesce(log_share(F.least(since, F.lit(max_gap)), max_gap), F.lit(missing_value))
+        out["last_gap_log"] = F.coalesce(log_share(S.clip(since, hi=max_gap), max_gap), F.lit(missing_value))
     if gap_missing:
         out["gap_missing"] = since.isNull().cast("double") * missing_value
     for t in sorted(recent or []):
@@ -156,7 +156,7 @@ def conversion_counts(
     for d in domains:
         out[f"{d}_n"] = F.size(f"_g_{d}").cast("long")
         for w in windows:
-            out[f"{d}_n_{window_name(w)}"] = F.size(F.filter(f"_g_{d}", lambda g, w=w: g <= w)).cast("long")
+            out[f"{d}_n_{window_name(w)}"] = F.size(F.filter(f"_g_{d}", lambda g: g <= w)).cast("long")
     return df.withColumns(gaps).withColumns(out).drop(*gaps)
 
 
@@ -217,7 +217,7 @@ def target_evidence(
     hits = F.filter(seq, lambda e: (e[field] == target) & (target > 0))
     n = F.size(hits)
     since = last_gap(hits, imp_ts)
-    capped = F.least(since, F.lit(max_gap))
+    capped = S.clip(since, hi=max_gap)
     action = F.get(hits, F.greatest(n - 1, F.lit(0)))["action"]
 
     def guarded(value: Column) -> Column:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators.ranking import TASK_ROWS, running_totals
 
 
+ORDER = ("block", "line_no")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, line_no, line).
+    """(file_path, block, line_no, line) of text files, splittable.
 
-    Text has no row index, so lines are numbered inside each file in read order; whole-line order
-    inside one file needs that file unsplit, which suits logs.
+    ``block`` is the byte offset of the input split and ``line_no`` rises inside it, so the two
+    together give the order of lines in a file without reading it in one task.
     """
-    raw = spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file_path"), "value")
-    return raw.select("file_path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
 def key_values(text: Column) -> Column:
@@ -31,19 +36,19 @@ def context_value(context: Column, name: str) -> Column:
     return F.try_to_number(F.get(hits, F.size(hits) - 1)["v"], F.lit("999999999999999999")).cast("long")
 
 
-def diagnostic_events(lines: DataFrame, order: str = "line_no", file: str = "file_path") -> DataFrame:
+def diagnostic_events(lines: DataFrame, order: Sequence[str] = ORDER, file: str = "file_path") -> DataFrame:
     """Split ``DIAG|EVENT|context;;CODE:payload;;...`` lines into one row per code segment.
 
     Text before ``DIAG|`` (a logging prefix) is ignored; lines without a context are skipped.
     """
     body = F.regexp_extract("line", r"(DIAG\|.+)$", 1)
-    found = lines.select(file, order, body.alias("_b")).where(F.size(F.split("_b", r"\|", 3)) == 3)
+    found = lines.select(file, *order, body.alias("_b")).where(F.size(F.split("_b", r"\|", 3)) == 3)
     parts = F.split("_b", r"\|", 3)
-    return found.select(file, order, parts[1].alias("event"), parts[2].alias("_rest"))
+    return found.select(file, *order, parts[1].alias("event"), parts[2].alias("_rest"))
 
 
 def diagnostic_metrics(
-    lines: DataFrame, order: str = "line_no", file: str = "file_path", task_rows: int = TASK_ROWS,
+    lines: DataFrame, order: Sequence[str] = ORDER, file: str = "file_path", task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """(file, experiment, event, epoch, step, code, key, text, value) rows.
 
@@ -52,26 +57,25 @@ def diagnostic_metrics(
     """
     events = diagnostic_events(lines, order, file)
     is_config = (F.col("event") == "CONFIG").cast("long")
-    counted = running_totals(events, [file], [F.col(order)], {"_configs": is_config}, task_rows=task_rows)
+    counted = running_totals(events, [file], [F.col(c) for c in order], {"_configs": is_config}, task_rows=task_rows)
     # Configs seen so far tell which experiment a PREAMBLE belongs to; the lines after follow it.
-    opened = F.when(F.col("event") == "PREAMBLE", F.col("_configs"))
     run = running_totals(
-        counted.withColumn("_open", F.coalesce(opened, F.lit(-1))), [file], [F.col(order)],
+        counted, [file], [F.col(c) for c in order],
         {"_preambles": (F.col("event") == "PREAMBLE").cast("long")}, task_rows=task_rows)
     starts = run.where(F.col("event") == "PREAMBLE").select(file, "_preambles", F.col("_configs").alias("_at"))
     numbered = run.join(starts, [file, "_preambles"], "left").withColumn("experiment", F.coalesce("_at", F.lit(0)))
     sep = F.instr("_rest", ";;")
     split = numbered.where((sep > 0) & (F.col("event") != "CONFIG")).select(
-        file, order, "experiment", "event", F.substring_index("_rest", ";;", 1).alias("context"),
+        file, *order, "experiment", "event", F.substring_index("_rest", ";;", 1).alias("context"),
         F.explode(F.split(F.expr("substr(_rest, instr(_rest, ';;') + 2)"), ";;")).alias("_seg"))
     coded = split.where(F.instr("_seg", ":") > 0).select(
-        file, order, "experiment", "event", "context", F.substring_index("_seg", ":", 1).alias("code"),
+        file, *order, "experiment", "event", "context", F.substring_index("_seg", ":", 1).alias("code"),
         F.expr("substr(_seg, instr(_seg, ':') + 1)").alias("payload"))
     rows = coded.select(
-        file, order, "experiment", "event", "code", context_value(F.col("context"), "epoch").alias("epoch"),
+        file, *order, "experiment", "event", "code", context_value(F.col("context"), "epoch").alias("epoch"),
         context_value(F.col("context"), "step").alias("step"), F.inline(key_values(F.col("payload"))))
     return rows.select(
-        file, order, "experiment", "event", "code", "epoch", "step", F.col("k").alias("key"),
+        file, *order, "experiment", "event", "code", "epoch", "step", F.col("k").alias("key"),
         F.col("v").alias("text"), F.col("v").try_cast("double").alias("value"))
 
 
@@ -79,10 +83,10 @@ TRIAL = r"TUNE\|TRIAL_END\|trial=(\d+),auc=([\d.]+),best_so_far=[\d.]+;;PARAMS:(
 STUDY = r"TUNE\|START\|study=([^,\s]+)"
 
 
-def tuning_trials(lines: DataFrame, file: str = "file_path", order: str = "line_no") -> DataFrame:
+def tuning_trials(lines: DataFrame, file: str = "file_path", order: Sequence[str] = ORDER) -> DataFrame:
     """(study, number, value, params JSON) per finished trial; the study is the file's first START."""
     studies = lines.withColumn("_s", F.regexp_extract("line", STUDY, 1)).where(F.col("_s") != "").groupBy(file).agg(
-        F.min_by("_s", order).alias("study"))
+        F.min_by("_s", F.struct(*order)).alias("study"))
     hits = lines.where(F.col("line").rlike(TRIAL)).select(
         file, F.regexp_extract("line", TRIAL, 1).cast("long").alias("number"),
         F.regexp_extract("line", TRIAL, 2).cast("double").alias("value"),
