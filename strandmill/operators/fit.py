@@ -123,16 +123,29 @@ def zero_rare_scalars(df: DataFrame, frequent: DataFrame, columns: Mapping[str,
 
 
 def zero_rare_list(df: DataFrame, frequent: DataFrame, name: str, vocab: int, key: str) -> DataFrame:
-    """Zero rare ids of a list column: one exploded join, one regrouping by row key."""
+    """Zero rare ids of a list column: one lookup of the exploded ids, one regrouping by row key.
+
+    A header row per sample carries the other columns (and keeps empty lists); its lookup value is a
+    negative number that differs by row, so headers neither match nor pile up on one task.
+    """
+    others = [c for c in df.columns if c not in (key, name)]
+    rest = F.struct(*others)
+    blank = F.lit(None).cast(df.select(rest.alias("r")).schema["r"].dataType)
+    nobody = -1 - F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    header = F.struct(F.lit(-1).alias("_p"), nobody.alias("_v"), rest.alias("_rest"))
+    ids = F.transform(F.col(name).cast("array<bigint>"), lambda v, i: F.struct(
+        i.alias("_p"), v.alias("_v"), blank.alias("_rest")))
+    rows = df.select(key, F.inline(F.concat(F.array(header), ids)))
     side = frequent.where(F.col("feature") == name).select(F.col("value").alias("_v"), F.lit(True).alias("_ok"))
-    rows = df.select(key, F.posexplode_outer(F.col(name).cast("array<bigint>")).alias("_p", "_v"))
     met = bounded_join(rows, side, ["_v"])
     v = F.col("_v")
     rare = (v > 0) & (v < vocab) & F.col("_ok").isNull()
     kept = met.withColumn("_v", F.when(rare, F.lit(0).cast("long")).otherwise(v))
-    lists = kept.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.when(F.col("_p").isNotNull(), F.struct("_p", "_v")))).alias("_l"))
-    return df.drop(name).join(lists.select(key, F.transform("_l", lambda s: s["_v"]).alias(name)), key)
+    grouped = kept.groupBy(key).agg(
+        F.any_value("_rest", ignoreNulls=F.lit(True)).alias("_rest"),
+        F.sort_array(F.collect_list(F.when(F.col("_p") >= 0, F.struct("_p", "_v")))).alias("_l"))
+    return grouped.select(
+        key, *[F.col(f"_rest.{c}").alias(c) for c in others], F.transform("_l", lambda s: s["_v"]).alias(name))
 
 
 # --- first-seen mappings ------------------------------------------------------------------------

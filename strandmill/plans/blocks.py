@@ -66,17 +66,6 @@ def _add_field(df: DataFrame, domain: str, **fields) -> DataFrame:
     return df.withColumn(domain, F.transform(domain, grow))
 
 
-def regroup(df: DataFrame, rows: DataFrame, domain: str, rename: Mapping[str, str] | None = None) -> DataFrame:
-    """Put compressed event rows back as the domain column (one exchange-free group per sample)."""
-    skip = {KEY, "pos", "new_pos", "ts", "run_count"}
-    fields = [F.col("ets").alias("ts")] + [F.col(c) for c in rows.columns if c not in skip and c != "ets"]
-    lists = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("new_pos", F.struct(*fields).alias("e")))).alias("_l"))
-    lists = lists.select(KEY, F.transform("_l", lambda s: s["e"]).alias("_seq"))
-    kind = lists.schema["_seq"].dataType.simpleString()
-    joined = df.drop(domain).join(lists, KEY, "left")
-    return joined.withColumn(domain, F.coalesce("_seq", F.array().cast(kind))).drop("_seq")
-
-
 class RobustScale(Block):
     key = "rssc"
 
@@ -186,16 +175,18 @@ class SequenceCompress(Block):
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         for d in {**self.runs, **self.budgets}:
-            rows = R.explode_events(df, d, [KEY])
-            keep = self.protect.get(d, 0)
-            if d in self.budgets:
-                cfg = self.budgets[d]
-                rows = R.budget_compress(rows, cfg["group_key"], cfg["prefer_diverse"], cfg["cap"], keep, self.edges)
-            else:
-                rows = R.run_length_compress(rows, *self.runs[d], protect_recent=keep, edges=self.edges)
-            df = regroup(df, rows, d)
+            df = R.rewrite_domain(df, d, self._operator(d), KEY)
         return df
 
+    def _operator(self, domain: str):
+        keep = self.protect.get(domain, 0)
+        if domain in self.budgets:
+            cfg = self.budgets[domain]
+            return lambda rows, key: R.budget_compress(
+                rows, cfg["group_key"], cfg["prefer_diverse"], cfg["cap"], keep, self.edges, key)
+        return lambda rows, key: R.run_length_compress(
+            rows, *self.runs[domain], protect_recent=keep, edges=self.edges, key=key)
+
 
 class SequenceTruncate(Block):
     key = "seq_truncate"
@@ -364,13 +355,19 @@ class SessionState(Block):
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         for d in self.domains:
-            rows = R.session_state(R.explode_events(df, d, [KEY]), "time_bucket", self.thr.get(d, 3600), self.gaps, self.category.get(d))
+            df = R.rewrite_domain(df, d, self._operator(d), KEY)
+        return df
+
+    def _operator(self, domain: str):
+        def run(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+            out = R.session_state(rows, "time_bucket", self.thr.get(domain, 3600), self.gaps, self.category.get(domain), key)
             if self.daypart:
-                rows = rows.withColumn("daypart", Q.event_daypart(F.col("ets")))
+                out = out.withColumn("daypart", Q.event_daypart(F.col("ets")))
             if self.weekend:
-                rows = rows.withColumn("weekend", Q.event_weekend(F.col("ets")))
-            df = regroup(df, rows.withColumn("new_pos", F.col("pos")), d)
-        return df
+                out = out.withColumn("weekend", Q.event_weekend(F.col("ets")))
+            return out
+
+        return run
 
 
 class FrequencyFilter(Block):

@@ -227,7 +227,7 @@ def e13(spark, sf):
 PAIRS = IMP + f""",
 cls AS (SELECT sample_id, label, logit, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM imp),
 pick AS (SELECT range AS pair, floor({draw_sql(5, "'pos'", 'range')} * (SELECT max(n) FROM cls WHERE label = 1)) + 1 AS pr,
-  floor({draw_sql(5, "'neg'", 'range')} * (SELECT max(n) FROM cls WHERE label = 0)) + 1 AS nr FROM range(5000)),
+  floor({draw_sql(5, "'neg'", 'range')} * (SELECT max(n) FROM cls WHERE label = 0)) + 1 AS nr FROM range(200000)),
 pairs AS (SELECT pair, p.logit AS pos_logit, q.logit AS neg_logit, p.logit - q.logit AS m FROM pick JOIN cls p ON p.label = 1 AND p.r = pr
   JOIN cls q ON q.label = 0 AND q.r = nr)"""
 
@@ -235,7 +235,7 @@ pairs AS (SELECT pair, p.logit AS pos_logit, q.logit AS neg_logit, p.logit - q.l
 @query("e14_margin_distribution", f"""WITH {PAIRS} SELECT {pct_sql('m', [1, 5, 10, 25, 50, 75, 90], 'margin_p')},
   {', '.join(f"avg(CASE WHEN abs(m) < {e} THEN 1.0 ELSE 0.0 END) AS near_zero_e{str(e).replace('.', '_')}" for e in (0.01, 0.03, 0.05, 0.1, 0.2))} FROM pairs""")
 def e14(spark, sf):
-    return E.margin_distribution(E.sampled_pairs(predictions(spark, sf), 5000, 5))
+    return E.margin_distribution(E.sampled_pairs(predictions(spark, sf), 200_000, 5))
 
 
 def _slices_sql() -> str:
@@ -332,12 +332,12 @@ def e18(spark, sf):
 @query("e19_cluster_label_information")
 def e19(spark, sf):
     df = table(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    return V.cluster_label_information(df, "embedding", "y", ks=(4, 16), seeds=(0, 1))
+    return V.cluster_label_information(df, "embedding", "y", seeds=(0, 1))
 
 
 @query("e20_projection_2d")
 def e20(spark, sf):
-    return V.project_2d(table(spark, sf, "embeddings"), "embedding", "vec_id", max_points=400)
+    return V.project_2d(table(spark, sf, "embeddings"), "embedding", "vec_id")
 
 
 DENSE = """WITH v AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, CASE WHEN vec_id % 20 <> 0 AND generate_subscripts(embedding, 1) % 8 = 0 THEN 0.0
@@ -389,14 +389,14 @@ def e24(spark, sf):
     return H.out_of_bounds(df, {"id": 60, "user_id": 100})
 
 
-@query("e25_id_utilisation", f"""WITH {EV}, c AS (SELECT item, count(*) AS c FROM ev WHERE item < 90 GROUP BY item),
+@query("e25_id_utilisation", f"""WITH {EV}, c AS (SELECT item, count(*) AS c FROM ev GROUP BY item),
 al AS (SELECT g.id, coalesce(c.c, 0) AS c FROM (SELECT unnest(range(1, 130)) AS id) g LEFT JOIN c ON c.item = g.id),
 rk AS (SELECT c, row_number() OVER (ORDER BY c, id) AS i, count(*) OVER () AS n, sum(c) OVER () AS t FROM al)
 SELECT 'item' AS feature, 129::BIGINT AS total, count(*) FILTER (c > 0) AS hit, count(*) FILTER (c > 0)::DOUBLE / 129 AS hit_rate, max(c) AS max,
   2.0 * sum(i * c)::DOUBLE / (129.0 * max(t)) - 130.0 / 129.0 AS gini,
   {', '.join(f'CAST(floor(quantile_cont(c, {p / 100}) FILTER (c > 0)) AS BIGINT) AS p{p}' for p in (25, 50, 75, 95))} FROM rk""")
 def e25(spark, sf):
-    values = event_log(spark, sf).where(F.col("item") < 90).select(F.lit("item").alias("feature"), F.col("item").alias("value"))
+    values = event_log(spark, sf).select(F.lit("item").alias("feature"), F.col("item").alias("value"))
     return H.id_utilisation(values, {"item": 130})
 
 
@@ -461,7 +461,7 @@ b AS (SELECT avg(loss) AS bce, avg(CASE WHEN label = 1 THEN 1.0 ELSE prob END *
 SELECT pairwise, 0.85 * bce + 0.15 * pairwise AS ranking, 0.85 * asym + 0.15 * pairwise AS asymmetric_ranking FROM p, b""")
 def e31(spark, sf):
     df = predictions(spark, sf)
-    return LS.pairwise_losses(E.sampled_pairs(df, 5000, 5), LS.pointwise_losses(df))
+    return LS.pairwise_losses(E.sampled_pairs(df, 200_000, 5), LS.pointwise_losses(df))
 
 
 @query("e32_disagreement_loss", f"""WITH {VIEWS}, m AS (SELECT *, 1.0 / (1.0 + exp(-greatest(-40.0, least(40.0, 0.5 * (logit + logit_b))))) AS mp,
@@ -480,7 +480,7 @@ def e33(spark, sf):
         parts = {"score": F.col("logit"), "clicks": F.log1p(F.col("n_seq_a")) - 2.0, "purchases": F.log1p(F.col("n_seq_c")) - 2.0}
         return sum((F.when(active[g], v).otherwise(0.0) for g, v in parts.items()), F.lit(-0.5))
 
-    return group_importance(df, ["score", "clicks", "purchases"], scorer, max_samples=1024, permutations=20)
+    return group_importance(df, ["score", "clicks", "purchases"], scorer, permutations=20)
 
 
 # --- set operations -----------------------------------------------------------------------------

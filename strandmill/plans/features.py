@@ -465,7 +465,7 @@ def session_rows(spark, sf) -> DataFrame:
     return rows.withColumn("time_bucket", F.when(F.col("item") % 13 == 0, 0).otherwise(Q.time_bucket(F.col("ets"), F.col("ts")))).drop("ts")
 
 
-@query("w1_adjacent_gap", f"WITH {SESSION} SELECT sample_id, pos::INTEGER AS pos, coalesce(least(abs(tb - ptb), 63), 0)::INTEGER AS gap FROM s5")
+@query("w1_adjacent_gap", f"WITH {SESSION} SELECT sample_id, pos::INTEGER AS pos, CASE WHEN ptb IS NULL THEN 0 ELSE least(abs(tb - ptb), 63) END::INTEGER AS gap FROM s5")
 def w1(spark, sf):
     return R.session_state(session_rows(spark, sf)).select("sample_id", "pos", "gap")
 

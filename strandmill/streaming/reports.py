@@ -80,7 +80,11 @@ def recency_counters(hours: DataFrame, windows: Sequence[int] = (3600, 86400, 60
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as a stream; its schema comes from the files already there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if path.endswith(".parquet"):
+        folder, name = path.rsplit("/", 1)
+        reader, path = reader.option("pathGlobFilter", name), folder
+    return reader.parquet(path)
 
 
 def run_available(
