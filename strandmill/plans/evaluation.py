@@ -389,15 +389,24 @@ def e24(spark, sf):
     return H.out_of_bounds(df, {"id": 60, "user_id": 100})
 
 
-@query("e25_id_utilisation", f"""WITH {EV}, c AS (SELECT item, count(*) AS c FROM ev GROUP BY item),
-al AS (SELECT g.id, coalesce(c.c, 0) AS c FROM (SELECT unnest(range(1, 130)) AS id) g LEFT JOIN c ON c.item = g.id),
-rk AS (SELECT c, row_number() OVER (ORDER BY c, id) AS i, count(*) OVER () AS n, sum(c) OVER () AS t FROM al)
-SELECT 'item' AS feature, 129::BIGINT AS total, count(*) FILTER (c > 0) AS hit, count(*) FILTER (c > 0)::DOUBLE / 129 AS hit_rate, max(c) AS max,
-  2.0 * sum(i * c)::DOUBLE / (129.0 * max(t)) - 130.0 / 129.0 AS gini,
-  {', '.join(f'CAST(floor(quantile_cont(c, {p / 100}) FILTER (c > 0)) AS BIGINT) AS p{p}' for p in (25, 50, 75, 95))} FROM rk""")
+VOCABULARIES = {"item": 130, "user": 2000}
+
+
+@query("e25_id_utilisation", f"""WITH {EV}, v AS (SELECT 'item' AS feature, item AS id FROM ev UNION ALL SELECT 'user', user_id FROM ev WHERE user_id > 0),
+c AS (SELECT feature, id, count(*) AS c FROM v GROUP BY feature, id),
+g AS (SELECT 'item' AS feature, unnest(range(1, 130)) AS id UNION ALL SELECT 'user', unnest(range(1, 2000))),
+al AS (SELECT feature, id, coalesce(c, 0) AS c FROM g LEFT JOIN c USING (feature, id)),
+rk AS (SELECT feature, c, row_number() OVER (PARTITION BY feature ORDER BY c, id) AS i, count(*) OVER (PARTITION BY feature) AS n,
+  sum(c) OVER (PARTITION BY feature) AS t FROM al)
+SELECT feature, max(n) AS total, count(*) FILTER (c > 0) AS hit, count(*) FILTER (c > 0)::DOUBLE / max(n) AS hit_rate, max(c) AS max,
+  2.0 * sum(i * c)::DOUBLE / (max(n) * max(t))::DOUBLE - (max(n) + 1.0) / max(n) AS gini,
+  {', '.join(f'CAST(floor(quantile_cont(c, {p / 100}) FILTER (c > 0)) AS BIGINT) AS p{p}' for p in (25, 50, 75, 95))} FROM rk GROUP BY feature""")
 def e25(spark, sf):
-    values = event_log(spark, sf).select(F.lit("item").alias("feature"), F.col("item").alias("value"))
-    return H.id_utilisation(values, {"item": 130})
+    log = event_log(spark, sf)
+    values = log.select(F.inline(F.array(
+        F.struct(F.lit("item").alias("feature"), F.col("item").alias("value")),
+        F.struct(F.lit("user").alias("feature"), F.col("user_id").alias("value")))))
+    return H.id_utilisation(values, VOCABULARIES)
 
 
 @query("e26_spectral_rank")

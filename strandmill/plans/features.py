@@ -75,9 +75,10 @@ def a2(spark, sf):
 
 
 @query("a3_frequent_values", f"""WITH {IMP}{SPLIT} SELECT 'item_id' AS feature, item_id AS value FROM imp, cut
-  WHERE ts < cutoff GROUP BY item_id HAVING count(*) >= 17""")
+  WHERE ts < cutoff GROUP BY item_id HAVING count(*) >= 17
+UNION ALL SELECT 'category', category FROM imp, cut WHERE ts < cutoff GROUP BY category HAVING count(*) >= 17""")
 def a3(spark, sf):
-    return fits.frequent_values(fits.category_counts(train_rows(spark, sf, "item_id"), {"item_id": 200}, {}), 17)
+    return fits.frequent_values(fits.category_counts(train_rows(spark, sf, "item_id", "category"), {"item_id": 200, "category": 11}, {}), 17)
 
 
 @query("a4_first_seen_mapping", f"""WITH {ORDERS_HIST} SELECT item, arg_min(campaign, sample_id * 1000 + pos) AS campaign,
