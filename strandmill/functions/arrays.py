@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda is evaluated for every element, and the optimizer may inline a
+    projected column into the lambda that reads it; a lambda variable is safe from both.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def clean_id(value: Column, vocab: int | None = None) -> Column:
     """Null, non-positive and (with ``vocab``) out-of-range ids become 0."""
     v = F.coalesce(value, F.lit(0)).cast("long")
@@ -40,12 +49,13 @@ def sub_vector(values: Column, offset: int, dim: int) -> Column:
 
 def align_to(length: Column, values: Column, keep_positive: bool = True) -> Column:
     """Cut or zero-pad a list column to another list's length (that may be 0)."""
-    def pick(i: Column) -> Column:
-        v = F.coalesce(F.get(values, i), F.lit(0)).cast("long")
+    def pick(source: Column, i: Column) -> Column:
+        v = F.coalesce(F.get(source, i), F.lit(0)).cast("long")
         return F.greatest(v, F.lit(0).cast("long")) if keep_positive else v
 
     empty = F.array().cast("array<bigint>")
-    return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), pick)).otherwise(empty)
+    aligned = let(values, lambda source: F.transform(F.sequence(F.lit(0), length - 1), lambda i: pick(source, i)))
+    return F.when(length > 0, aligned).otherwise(empty)
 
 
 def total(values: Column) -> Column:

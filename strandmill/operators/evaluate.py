@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
 from strandmill.operators.ranking import (
-    TASK_ROWS, exact_quantiles, quantile_values, running_totals,
+    TASK_ROWS, exact_quantiles, running_totals,
 )
 from strandmill.operators.splits import set_overlap, top_fraction_flags
 
@@ -166,17 +166,23 @@ def hard_easy_profile(
     for d, c in (recency or {}).items():
         aggs.append(F.avg(F.col(c).cast("double")).alias(f"{d}_recency"))
     out = flagged.groupBy("is_hard").agg(*aggs)
-    out = out.join(exact_quantiles(
-        flagged, ["is_hard"], "loss", {"loss_p90": 0.9, "loss_p99": 0.99}, task_rows), "is_hard")
-    for d, raw in raw_lengths.items():
-        out = out.join(exact_quantiles(flagged, ["is_hard"], raw, {f"{d}_raw_p50": 0.5}, task_rows), "is_hard")
-    return out
+    tail = exact_quantiles(flagged, ["is_hard"], "loss", {"loss_p90": 0.9, "loss_p99": 0.99}, task_rows)
+    raws = flagged.select("is_hard", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("_d"), F.col(raw).alias("_raw")) for d, raw in raw_lengths.items()])))
+    medians = exact_quantiles(raws, ["is_hard", "_d"], "_raw", {"_m": 0.5}, task_rows).groupBy("is_hard").agg(*[
+        F.max(F.when(F.col("_d") == d, F.col("_m"))).alias(f"{d}_raw_p50") for d in raw_lengths])
+    return out.join(tail, "is_hard").join(medians, "is_hard")
+
+
+def score_inversions(df: DataFrame, score: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per distinct score: how many positives score no higher (``inv``)."""
+    hist = df.groupBy(F.col(score).alias("_s")).agg(F.count_if(F.col("label") > 0.5).alias("_p"))
+    return running_totals(hist, [], [F.col("_s")], {"inv": F.col("_p")}, task_rows=task_rows).select("_s", "inv")
 
 
 def inversions(df: DataFrame, score: str = "logit", task_rows: int = TASK_ROWS) -> DataFrame:
     """Negatives with ``inv``: how many positives score no higher than they do."""
-    hist = df.groupBy(F.col(score).alias("_s")).agg(F.count_if(F.col("label") > 0.5).alias("_p"))
-    upto = running_totals(hist, [], [F.col("_s")], {"inv": F.col("_p")}, task_rows=task_rows).select("_s", "inv")
+    upto = score_inversions(df, score, task_rows)
     negatives = df.where(F.col("label") <= 0.5)
     return negatives.join(upto, negatives[score] == upto["_s"]).drop("_s")
 
@@ -241,13 +247,24 @@ def margin_distribution(
     return _beside(exact_quantiles(m, [], "margin", percentile_names(points, "margin_p"), task_rows), near)
 
 
-def bucket_by_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], task_rows: int = TASK_ROWS, unique: bool = True,
-) -> Column:
-    """Bucket number of a column among its own quantiles (upper edges closed)."""
-    edges = quantile_values(df, value, probs, task_rows)
-    edges = sorted(set(edges)) if unique else edges
-    return S.edges_passed(F.col(value), edges, "left") if edges else F.lit(0)
+def quantile_edges(
+    df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], task_rows: int = TASK_ROWS,
+) -> dict[str, list[float]]:
+    """Quantile edges of several columns in one pass (a few numbers each)."""
+    size = max(len(p) for _, p in wanted.values())
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_k"), c.cast("double").alias("_v")) for k, (c, _) in wanted.items()])))
+    every = sorted({float(p) for _, probs in wanted.values() for p in probs})
+    names = {f"q{i}": p for i, p in enumerate(every)}
+    got = {r["_k"]: r for r in exact_quantiles(rows, ["_k"], "_v", names, task_rows).collect()}
+    place = {p: n for n, p in names.items()}
+    return {k: [float(got[k][place[float(p)]]) for p in probs] for k, (_, probs) in wanted.items() if k in got and size}
+
+
+def bucket_of(value: Column, edges: Sequence[float], unique: bool = True) -> Column:
+    """Bucket number among quantile edges (upper edges closed)."""
+    edges = sorted(set(edges)) if unique else list(edges)
+    return S.edges_passed(value, edges, "left") if edges else F.lit(0)
 
 
 def distorted_slices(
@@ -263,22 +280,24 @@ def distorted_slices(
         sum(((F.col(c) > 0).cast("long") for c in lengths), F.lit(0).cast("long")).alias("_nd"),
         (sum((1.0 - F.col(c) / F.greatest(F.col(r).cast("double"), F.lit(1.0))
               for c, r in (raw_lengths or {}).items()), F.lit(0.0)) / float(max(1, len(raw_lengths or {})))).alias("_cut"))
-    deciles = bucket_by_quantiles(work, score, [i / 10 for i in range(1, 10)], task_rows)
-    kinds = [("score_decile", deciles), ("n_domains", F.col("_nd"))]
+    wanted = {"score_decile": (F.col(score), [i / 10 for i in range(1, 10)])}
     if raw_lengths:
-        kinds.append(("trunc_quintile", bucket_by_quantiles(work, "_cut", [0.2, 0.4, 0.6, 0.8], task_rows)))
-    inv = inversions(work.select("sample_id", "label", score), score, task_rows).select("sample_id", "inv")
-    tagged = work.join(inv, "sample_id", "left").select(
-        "label", "loss", score, "inv",
+        wanted["trunc_quintile"] = (F.col("_cut"), [0.2, 0.4, 0.6, 0.8])
+    edges = quantile_edges(work, wanted, task_rows)
+    kinds = [(k, bucket_of(c, edges.get(k, []))) for k, (c, _) in wanted.items()] + [("n_domains", F.col("_nd"))]
+    upto = score_inversions(work, score, task_rows)
+    tagged = work.join(upto, work[score] == upto["_s"], "left").select(
+        "label", "loss", score, F.when(F.col("label") <= 0.5, F.col("inv")).alias("inv"),
         F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), b.cast("long").alias("bucket")) for k, b in kinds])))
     aucs = auc_by(tagged, ["kind", "bucket"], score, task_rows=task_rows).select("kind", "bucket", F.col("auc").alias("slice_auc"))
     sums = tagged.groupBy("kind", "bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("loss").alias("_l"), F.coalesce(F.sum("inv"), F.lit(0)).alias("_i"))
-    whole = sums.where(F.col("kind") == "score_decile").agg(
-        F.struct(F.sum("_n").alias("n"), F.sum("_l").alias("l"), F.sum("_i").alias("i"))).scalar()
-    sample, inverted = S.ratio(F.col("_n"), whole["n"]), S.ratio(F.col("_i"), whole["i"])
+    # Every kind holds each row once, so its own few buckets add up to the whole table.
+    kind = Window.partitionBy("kind")
+    sums = sums.withColumns({f"_t{c}": F.sum(c).over(kind) for c in ("_n", "_l", "_i")})
+    sample, inverted = S.ratio(F.col("_n"), F.col("_t_n")), S.ratio(F.col("_i"), F.col("_t_i"))
     out = sums.join(aucs, ["kind", "bucket"], "left").select(
-        "kind", "bucket", sample.alias("sample_share"), S.ratio(F.col("_l"), whole["l"]).alias("loss_share"),
+        "kind", "bucket", sample.alias("sample_share"), S.ratio(F.col("_l"), F.col("_t_l")).alias("loss_share"),
         inverted.alias("inv_share"), (inverted / F.greatest(sample, F.lit(1e-12))).alias("distortion"), "slice_auc")
     return out if top_k is None else out.orderBy(F.desc("distortion"), "kind", "bucket").limit(top_k)
 
@@ -306,21 +325,17 @@ def bucket_memberships(
     The cut mappings hold ``quantiles`` and ``labels``; the score band ranks positives by falling and
     negatives by rising probability, so high bands are the easy ones to get wrong.
     """
-    work = df
+    hardness = F.when(F.col("label") > 0.5, -F.col("prob")).otherwise(F.col("prob"))
+    cuts = {"loss": (F.col("loss"), loss_cuts), "score_band": (hardness, score_cuts)}
+    cuts = {k: (c, cfg) for k, (c, cfg) in cuts.items() if cfg}
+    found = quantile_edges(df, {k: (c, cfg["quantiles"]) for k, (c, cfg) in cuts.items()}, task_rows) if cuts else {}
     tags: list[Column] = [F.struct(F.lit("all").alias("bucket"), F.lit("all").alias("source"))]
 
-    def named(index: Column, labels: Sequence[str]) -> Column:
-        return F.get(F.array(*[F.lit(x) for x in labels]), index)
-
     def tag(bucket: Column, source: str) -> None:
         tags.append(F.struct(bucket.alias("bucket"), F.lit(source).alias("source")))
 
-    if loss_cuts:
-        tag(named(bucket_by_quantiles(work, "loss", loss_cuts["quantiles"], task_rows, False), loss_cuts["labels"]), "loss")
-    if score_cuts:
-        work = work.withColumn("_hard", F.when(F.col("label") > 0.5, -F.col("prob")).otherwise(F.col("prob")))
-        tag(named(bucket_by_quantiles(work, "_hard", score_cuts["quantiles"], task_rows, False), score_cuts["labels"]),
-            "score_band")
+    for k, (c, cfg) in cuts.items():
+        tag(F.get(F.array(*[F.lit(x) for x in cfg["labels"]]), bucket_of(c, found[k], unique=False)), k)
     for col, edges in (length_edges or {}).items():
         v = F.col(col)
         cases = None
@@ -336,7 +351,7 @@ def bucket_memberships(
     for c in lengths:
         primary = primary.when(F.col(c) == best, F.lit(f"primary_domain_{c.removesuffix('_len')}"))
     tag(primary, "primary_domain")
-    return work.select("*", F.inline(F.array(*tags))).where(F.col("bucket").isNotNull())
+    return df.select("*", F.inline(F.array(*tags))).where(F.col("bucket").isNotNull())
 
 
 def bucket_outcomes(members: DataFrame, min_n: int = 50, min_pos: int = 5, task_rows: int = TASK_ROWS) -> DataFrame:

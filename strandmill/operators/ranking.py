@@ -54,13 +54,15 @@ def running_totals(
     totals: Mapping[str, Column],
     slice_on: Column | None = None,
     task_rows: int = TASK_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given total order.
 
     ``slice_on`` is any numeric expression that never decreases along ``order``; it defaults to the
-    first order column and only decides where large groups are cut, never the result.
+    first order column and only decides where large groups are cut, never the result.  ``sizes`` are
+    known upper bounds of (rows, rows of the largest group), which save the counting job.
     """
-    n, largest = group_sizes(df, keys)
+    n, largest = sizes if sizes is not None else group_sizes(df, keys)
     if largest <= task_rows:
         part = Window.partitionBy(*_keys(keys)) if keys else Window.partitionBy()
         w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,10 +105,10 @@ def running_totals(
 
 def global_rank(
     df: DataFrame, order: Sequence[Column], name: str = "rank", keys: Sequence[str] = (),
-    slice_on: Column | None = None, task_rows: int = TASK_ROWS,
+    slice_on: Column | None = None, task_rows: int = TASK_ROWS, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """1-based rank over the whole table (or per key) in a total order."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, slice_on, task_rows)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, slice_on, task_rows, sizes)
 
 
 def exact_quantiles(
@@ -128,7 +130,7 @@ def exact_quantiles(
 
     hist = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(hist, keys, [F.col("_x")], {"_upto": F.col("_c")}, task_rows=task_rows)
+    ranked = running_totals(hist, keys, [F.col("_x")], {"_upto": F.col("_c")}, task_rows=task_rows, sizes=(n, largest))
     if keys:
         ranked = ranked.join(sizes, list(keys))
     else:

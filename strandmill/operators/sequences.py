@@ -110,6 +110,114 @@ def truncate(df: DataFrame, ceilings: Mapping[str, int]) -> DataFrame:
     return df.withColumns(out)
 
 
+# Run-count bucket edges; last position / size of each session bucket but the open one.
+RUN_EDGES = [2, 5, 10, 25, 50, 100, 200]
+POSITION_EDGES = [2, 3, 4, 6, 11]
+SESSION_SIZE_EDGES = [2, 3, 5, 9, 17]
+
+
+def run_bucket(count: Column, edges: Sequence[int] = RUN_EDGES) -> Column:
+    """1 for a single event, else one more than the edges reached."""
+    return F.when(count == 1, F.lit(1)).otherwise(S.edges_passed(count, edges, "right") + 1)
+
+
+def _positions(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def compress_runs(
+    df: DataFrame, domain: str, action: str, item: str, protect_recent: int = 0, edges: Sequence[int] = RUN_EDGES,
+) -> DataFrame:
+    """Run-length compression inside the row: the last event of each run, with its ``run_bucket``.
+
+    Row form of ``sequence_rows.run_length_compress``; one narrow projection, no shuffle.
+    """
+    by_time = F.array_sort(F.transform(domain, lambda e, i: F.struct(e["ts"].alias("k"), i.alias("i"), e.alias("e"))))
+
+    def starts(rows: Column, i: Column) -> Column:
+        n, here, prev = F.size(rows), F.get(rows, i)["e"], F.get(rows, i - 1)["e"]
+        new = (i == 0) | (here[action] != prev[action]) | (here[item] != prev[item])
+        return new | ((n > protect_recent) & (i >= n - protect_recent)) if protect_recent > 0 else new
+
+    def keep(rows: Column, first: Column, start: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(first, j + 1), F.size(rows)) - 1
+        return F.get(rows, end)["e"].withField("run_bucket", run_bucket(end - start + 1, edges))
+
+    out = A.let(by_time, lambda rows: A.let(
+        F.filter(_positions(F.size(rows)), lambda i: starts(rows, i)),
+        lambda first: F.transform(first, lambda start, j: keep(rows, first, start, j))))
+    return df.withColumn(domain, out)
+
+
+def add_session_state(
+    df: DataFrame, domain: str, threshold: int = 3600, gap_buckets: int = 64, category: str | None = None,
+    daypart: bool = False, weekend: bool = False,
+) -> DataFrame:
+    """Gap, session, position and transition fields on every event, inside the row.
+
+    Row form of ``sequence_rows.session_state``; needs the ``time_bucket`` field.
+    """
+    edges = F.array(*[F.lit(float(e)) for e in [0, *RECENCY_EDGES]])
+    old = df.schema[domain].dataType.elementType.fieldNames()
+
+    def approx(bucket: Column) -> Column:
+        return F.get(edges, F.least(F.greatest(bucket, F.lit(0)), F.lit(len(RECENCY_EDGES))))
+
+    def fresh(t: Column, i: Column) -> Column:
+        here, far = F.get(t, i), F.abs(approx(F.get(t, i)) - approx(F.get(t, i - 1))) > float(threshold)
+        return (here > 0) & ((i == 0) | far)
+
+    def valid_in(t: Column, first: Column, length: Column) -> Column:
+        return F.size(F.filter(F.slice(t, first + 1, length), lambda b: b > 0))
+
+    def coded(valid: Column, yes: Column) -> Column:
+        return F.when(~valid, F.lit(0)).when(yes, F.lit(2)).otherwise(F.lit(1))
+
+    def grow(t: Column, new: Column, begins: Column, e: Column, i: Column) -> Column:
+        valid, is_new = e["time_bucket"] > 0, F.get(new, i)
+        follows = (F.coalesce(F.get(t, i + 1), F.lit(0)) > 0) & ~F.coalesce(F.get(new, i + 1), F.lit(True))
+        session = F.size(F.filter(begins, lambda s: s <= i))
+        first = F.when(session > 0, F.get(begins, session - 1)).otherwise(0)
+        after = F.coalesce(F.get(begins, session), F.size(t))
+        step = F.least(F.abs(F.get(t, i) - F.get(t, i - 1)), F.lit(gap_buckets - 1))
+        fields = {
+            "gap": F.when(i == 0, F.lit(0)).otherwise(step), "ss_prev": coded(valid, ~is_new),
+            "ss_next": coded(valid, follows), "ss_bnd": coded(valid, is_new | ~follows),
+            "ss_pos": F.when(valid, S.edges_passed(valid_in(t, first, i - first + 1), POSITION_EDGES, "right") + 1).otherwise(0),
+            "ss_len": F.when(valid, S.edges_passed(valid_in(t, first, after - first), SESSION_SIZE_EDGES, "right") + 1).otherwise(0),
+        }
+        if daypart:
+            fields["daypart"] = event_daypart(e["ts"])
+        if weekend:
+            fields["weekend"] = event_weekend(e["ts"])
+        return F.struct(*[e[f].alias(f) for f in old if f not in fields], *[c.alias(f) for f, c in fields.items()])
+
+    def transitions(rows: Column, e: Column, i: Column) -> Column:
+        cur = e[category]
+        prev = F.coalesce(F.get(rows, i - 1)[category], F.lit(0))
+        nxt = F.coalesce(F.get(rows, i + 1)[category], F.lit(0))
+        has_prev, has_next = (cur > 0) & (prev > 0), (cur > 0) & (nxt > 0)
+        fields = {
+            "cat_same_prev": F.when(~has_prev, 0).when(cur == prev, 2).otherwise(1),
+            "cat_same_next": F.when(~has_next, 0).when(cur == nxt, 2).otherwise(1),
+            "cat_change": F.when(~has_prev, 0).when(cur != prev, 2).otherwise(1),
+        }
+        for name, value in fields.items():
+            e = e.withField(name, value)
+        return e
+
+    def rebuilt(rows: Column) -> Column:
+        return A.let(F.transform(rows, lambda e: e["time_bucket"]), lambda t: A.let(
+            F.transform(_positions(F.size(t)), lambda i: fresh(t, i)), lambda new: A.let(
+                F.filter(_positions(F.size(t)), lambda i: F.get(new, i)),
+                lambda begins: F.transform(rows, lambda e, i: grow(t, new, begins, e, i)))))
+
+    out = A.let(F.col(domain), rebuilt)
+    if category:
+        out = A.let(out, lambda rows: F.transform(rows, lambda e, i: transitions(rows, e, i)))
+    return df.withColumn(domain, out)
+
+
 def impression_time_categories(ts: Column) -> dict[str, Column]:
     hour, weekday = S.hour_id(ts), S.weekday_id(ts)
     weekend, daypart = S.weekend_from_weekday(weekday), S.daypart_from_hour(hour)
@@ -331,4 +439,4 @@ def set_size(slots: Column) -> Column:
 
 def l2_normalised(values: Column) -> Column:
     size = F.greatest(A.norm(values), F.lit(1e-6))
-    return F.transform(values, lambda v: v.cast("double") / size)
+    return A.let(size, lambda n: F.transform(values, lambda v: v.cast("double") / n))

@@ -40,9 +40,9 @@ def pca_project(values: Column, state: dict[str, list] | None, k: int) -> Column
     """(x - mean) . components; zeros when unfitted.  The state is d x k numbers, fixed by the schema."""
     if not state:
         return F.array(*[F.lit(0.0)] * k)
+    axes = F.array(*[A.double_array(c) for c in state["components"][:k]])
     centred = F.zip_with(values.cast("array<double>"), A.double_array(state["mean"]), lambda x, m: x - m)
-    return F.transform(
-        F.array(*[A.double_array(c) for c in state["components"][:k]]), lambda c: A.dot(centred, c))
+    return A.let(centred, lambda x: F.transform(axes, lambda c: A.dot(x, c)))
 
 
 def gram(df: DataFrame, column: str) -> np.ndarray:

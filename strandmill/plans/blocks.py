@@ -163,7 +163,7 @@ class SequenceCompress(Block):
     def __init__(self, run_domains: Mapping[str, tuple[str, str]] | None = None, protect_recent: Mapping[str, int] | None = None,
                  budget_domains: Mapping[str, Mapping] | None = None, count_boundaries: Sequence[int] | None = None) -> None:
         self.runs, self.protect = dict(run_domains or {}), dict(protect_recent or {})
-        self.budgets, self.edges = dict(budget_domains or {}), list(count_boundaries or R.RUN_EDGES)
+        self.budgets, self.edges = dict(budget_domains or {}), list(count_boundaries or Q.RUN_EDGES)
         for d, k in self.protect.items():
             if k < 0:
                 raise ValueError(f"protect_recent[{d}] must be >= 0")
@@ -174,18 +174,17 @@ class SequenceCompress(Block):
         return [_per_event(d, "run_bucket", len(self.edges) + 2) for d in {**self.runs, **self.budgets}]
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
-        for d in {**self.runs, **self.budgets}:
-            df = R.rewrite_domain(df, d, self._operator(d), KEY)
+        for d, (action, item) in self.runs.items():
+            if d not in self.budgets:
+                df = Q.compress_runs(df, d, action, item, self.protect.get(d, 0), self.edges)
+        for d in self.budgets:
+            df = R.rewrite_domain(df, d, self._budget(d), KEY)
         return df
 
-    def _operator(self, domain: str):
-        keep = self.protect.get(domain, 0)
-        if domain in self.budgets:
-            cfg = self.budgets[domain]
-            return lambda rows, key: R.budget_compress(
-                rows, cfg["group_key"], cfg["prefer_diverse"], cfg["cap"], keep, self.edges, key)
-        return lambda rows, key: R.run_length_compress(
-            rows, *self.runs[domain], protect_recent=keep, edges=self.edges, key=key)
+    def _budget(self, domain: str):
+        cfg, keep = self.budgets[domain], self.protect.get(domain, 0)
+        return lambda rows, key: R.budget_compress(
+            rows, cfg["group_key"], cfg["prefer_diverse"], cfg["cap"], keep, self.edges, key)
 
 
 class SequenceTruncate(Block):
@@ -355,20 +354,10 @@ class SessionState(Block):
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         for d in self.domains:
-            df = R.rewrite_domain(df, d, self._operator(d), KEY)
+            df = Q.add_session_state(
+                df, d, self.thr.get(d, 3600), self.gaps, self.category.get(d), self.daypart, self.weekend)
         return df
 
-    def _operator(self, domain: str):
-        def run(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-            out = R.session_state(rows, "time_bucket", self.thr.get(domain, 3600), self.gaps, self.category.get(domain), key)
-            if self.daypart:
-                out = out.withColumn("daypart", Q.event_daypart(F.col("ets")))
-            if self.weekend:
-                out = out.withColumn("weekend", Q.event_weekend(F.col("ets")))
-            return out
-
-        return run
-
 
 class FrequencyFilter(Block):
     key = "freq_filter"

@@ -38,7 +38,7 @@ def edges_sql(value: str, edges, side: str = "left") -> str:
 
 
 def bucket_sql(count: str) -> str:
-    return f"CASE WHEN {count} = 1 THEN 1 ELSE {edges_sql(count, R.RUN_EDGES, 'right')} + 1 END"
+    return f"CASE WHEN {count} = 1 THEN 1 ELSE {edges_sql(count, Q.RUN_EDGES, 'right')} + 1 END"
 
 
 TB = HIST + f""",
@@ -173,7 +173,7 @@ def q5(spark, sf):
 @query("q6_run_count_bucket", f"SELECT o_custkey, {bucket_sql('count(*)')}::INTEGER AS bucket FROM orders GROUP BY o_custkey")
 def q6(spark, sf):
     n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("o_custkey", R.run_bucket(F.col("n")).alias("bucket"))
+    return n.select("o_custkey", Q.run_bucket(F.col("n")).alias("bucket"))
 
 
 @query("q7_budget_compress", f"""WITH {ORDERS_HIST},
@@ -430,7 +430,7 @@ ps AS (SELECT *, CASE WHEN len <= 12 THEN pos WHEN ch = 0 THEN pos
 
 @query("q28_recency_pool", f"""WITH RECURSIVE {POOL} SELECT sample_id, slot, count(*) AS n_pooled, avg(item) AS item, avg(action) AS action FROM ps GROUP BY sample_id, slot""")
 def q28(spark, sf):
-    out = R.recency_pool(R.explode_events(order_samples(spark, sf), "seq_a"), ["item", "action"], chunks=3, tokens=4)
+    out = R.recency_pool(order_samples(spark, sf), "seq_a", ["item", "action"], chunks=3, tokens=4)
     return out.select("sample_id", "slot", "n_pooled", "item", "action")
 
 

@@ -24,16 +24,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def key_values(text: Column) -> Column:
-    """``a=1,b=2`` -> array of (k, v); parts without '=' are left out."""
-    parts = F.filter(F.split(text, ","), lambda p: F.instr(p, "=") > 0)
-    return F.transform(parts, lambda p: F.struct(
-        F.substring_index(p, "=", 1).alias("k"), p.substr(F.instr(p, "=") + 1, F.length(p)).alias("v")))
+def context_value(context: Column, name: str) -> Column:
+    """Whole number behind the last ``name=`` of a comma-separated context."""
+    return F.regexp_extract(context, rf"^(?:.*,)?{name}=([^,]*)", 1).try_cast("long")
 
 
-def context_value(context: Column, name: str) -> Column:
-    hits = F.filter(key_values(context), lambda kv: kv["k"] == name)
-    return F.try_to_number(F.get(hits, F.size(hits) - 1)["v"], F.lit("999999999999999999")).cast("long")
+def after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``."""
+    return F.substring(text, F.instr(text, mark) + len(mark), F.length(text))
 
 
 def diagnostic_events(lines: DataFrame, order: Sequence[str] = ORDER, file: str = "file_path") -> DataFrame:
@@ -56,27 +54,24 @@ def diagnostic_metrics(
     running count, so long logs are cut into slices like any other large group.
     """
     events = diagnostic_events(lines, order, file)
-    is_config = (F.col("event") == "CONFIG").cast("long")
-    counted = running_totals(events, [file], [F.col(c) for c in order], {"_configs": is_config}, task_rows=task_rows)
+    run = running_totals(events, [file], [F.col(c) for c in order], {
+        "_configs": (F.col("event") == "CONFIG").cast("long"),
+        "_preambles": (F.col("event") == "PREAMBLE").cast("long")}, task_rows=task_rows)
     # Configs seen so far tell which experiment a PREAMBLE belongs to; the lines after follow it.
-    run = running_totals(
-        counted, [file], [F.col(c) for c in order],
-        {"_preambles": (F.col("event") == "PREAMBLE").cast("long")}, task_rows=task_rows)
     starts = run.where(F.col("event") == "PREAMBLE").select(file, "_preambles", F.col("_configs").alias("_at"))
-    numbered = run.join(starts, [file, "_preambles"], "left").withColumn("experiment", F.coalesce("_at", F.lit(0)))
-    sep = F.instr("_rest", ";;")
-    split = numbered.where((sep > 0) & (F.col("event") != "CONFIG")).select(
-        file, *order, "experiment", "event", F.substring_index("_rest", ";;", 1).alias("context"),
-        F.explode(F.split(F.expr("substr(_rest, instr(_rest, ';;') + 2)"), ";;")).alias("_seg"))
+    numbered = run.where(F.col("event") != "CONFIG").join(starts, [file, "_preambles"], "left")
+    split = numbered.where(F.instr("_rest", ";;") > 0).select(
+        file, *order, F.coalesce("_at", F.lit(0)).alias("experiment"), "event",
+        F.substring_index("_rest", ";;", 1).alias("_context"), F.explode(F.split(after(F.col("_rest"), ";;"), ";;")).alias("_seg"))
     coded = split.where(F.instr("_seg", ":") > 0).select(
-        file, *order, "experiment", "event", "context", F.substring_index("_seg", ":", 1).alias("code"),
-        F.expr("substr(_seg, instr(_seg, ':') + 1)").alias("payload"))
-    rows = coded.select(
-        file, *order, "experiment", "event", "code", context_value(F.col("context"), "epoch").alias("epoch"),
-        context_value(F.col("context"), "step").alias("step"), F.inline(key_values(F.col("payload"))))
+        file, *order, "experiment", "event", F.substring_index("_seg", ":", 1).alias("code"),
+        context_value(F.col("_context"), "epoch").alias("epoch"), context_value(F.col("_context"), "step").alias("step"),
+        F.explode(F.split(after(F.col("_seg"), ":"), ",")).alias("_kv"))
+    rows = coded.where(F.instr("_kv", "=") > 0)
+    text = after(F.col("_kv"), "=")
     return rows.select(
-        file, *order, "experiment", "event", "code", "epoch", "step", F.col("k").alias("key"),
-        F.col("v").alias("text"), F.col("v").try_cast("double").alias("value"))
+        file, *order, "experiment", "event", "code", "epoch", "step", F.substring_index("_kv", "=", 1).alias("key"),
+        text.alias("text"), text.try_cast("double").alias("value"))
 
 
 TRIAL = r"TUNE\|TRIAL_END\|trial=(\d+),auc=([\d.]+),best_so_far=[\d.]+;;PARAMS:(\{.*\})"

@@ -34,7 +34,7 @@ def test_time_bucket_missing(spark):
 
 @pytest.mark.parametrize(("count", "bucket"), [(1, 1), (2, 2), (4, 2), (5, 3), (9, 3), (10, 4), (199, 7), (200, 8), (5000, 8)])
 def test_run_bucket_edges(spark, count, bucket):
-    assert one(spark, R.run_bucket(F.col("c")), c=count) == bucket
+    assert one(spark, Q.run_bucket(F.col("c")), c=count) == bucket
 
 
 def test_edges_passed_is_searchsorted(spark):
@@ -205,7 +205,7 @@ def test_chunk_ratio_solves_the_length(spark):
 
 def test_pooling_keeps_every_event(random_sequences):
     seqs, df = random_sequences
-    out = R.recency_pool(R.explode_events(df, "seq_a"), ["item"], chunks=2, tokens=4, buckets=["category"]).collect()
+    out = R.recency_pool(df, "seq_a", ["item"], chunks=2, tokens=4, buckets=["category"]).collect()
     for sid, seq in enumerate(seqs):
         mine = [r for r in out if r["sample_id"] == sid]
         assert sum(r["n_pooled"] for r in mine) == len(seq)
@@ -223,6 +223,26 @@ def test_rewrite_domain_keeps_empty_rows_and_columns(random_sequences):
         assert [e["ts"] for e in r["seq_a"]] == sorted(e["ts"] for e in r["seq_a"])
 
 
+@pytest.mark.parametrize("protect", [0, 3])
+def test_wide_and_row_compression_agree(random_sequences, protect):
+    _, df = random_sequences
+    rows = R.run_length_compress(R.explode_events(df, "seq_a"), protect_recent=protect).select("sample_id", "new_pos", "ets", "item", "run_bucket")
+    flat = Q.compress_runs(df, "seq_a", "action", "item", protect).select("sample_id", F.posexplode("seq_a").alias("p", "e"))
+    wide_rows = flat.select("sample_id", "p", "e.ts", "e.item", "e.run_bucket")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, wide_rows.collect()))
+    assert Q.compress_runs(df, "seq_a", "action", "item", protect).count() == df.count()
+
+
+def test_wide_and_row_sessions_agree(random_sequences):
+    _, df = random_sequences
+    seq = F.transform("seq_a", lambda e: e.withField("time_bucket", F.when(e["item"] == 0, 0).otherwise(e["ts"] * 4)))
+    df = df.withColumn("seq_a", seq)
+    names = ["gap", "ss_prev", "ss_next", "ss_bnd", "ss_pos", "ss_len", "cat_same_prev", "cat_same_next", "cat_change"]
+    rows = R.session_state(R.explode_events(df, "seq_a"), category="category").select("sample_id", "pos", *names)
+    flat = Q.add_session_state(df, "seq_a", category="category").select("sample_id", F.posexplode("seq_a").alias("pos", "e"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, flat.select("sample_id", "pos", *[f"e.{n}" for n in names]).collect()))
+
+
 def test_wide_and_row_truncation_agree(random_sequences):
     _, df = random_sequences
     wide_rows = Q.truncate(df, {"seq_a": 7}).select("sample_id", F.posexplode("seq_a").alias("p", "e")).select("sample_id", "p", "e.ts", "e.item")
