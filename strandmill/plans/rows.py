@@ -118,7 +118,10 @@ def s8(spark, sf):
 
 
 def diagnostic_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Log lines written from the events: one file per event type, in event order."""
+    """Log lines written from the events: one file per event type, in event order.
+
+    The explode makes each line a stored value, as in a file, rather than a formula every parser step repeats.
+    """
     log = event_log(spark, sf)
     c = {n: F.col(n).cast("string") for n in ("event_id", "user_id", "item")}
     v = F.format_string("%.2f", F.col("value"))
@@ -129,7 +132,7 @@ def diagnostic_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item") % 25 == 2, F.lit("DIAG|PREAMBLE|run=1;;DATASET:files=1,free text")).when(
         F.col("item") % 25 == 3, F.concat(F.lit("loss is "), v)).otherwise(step)
     return log.select(F.col("event_type").alias("file_path"), F.lit(0).cast("long").alias("block"),
-                      F.col("event_id").alias("line_no"), line.alias("line"))
+                      F.col("event_id").alias("line_no"), F.explode(F.array(line)).alias("line"))
 
 
 DIAG_SQL = EV + """,

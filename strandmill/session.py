@@ -12,11 +12,14 @@ def build_session(app: str = "strandmill", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Recording the Python call site of every column costs more than building the column, and the
+    # large feature expressions here are generated, so their call sites would say nothing.
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -25,7 +28,7 @@ def build_session(app: str = "strandmill", master: str | None = None, **conf: st
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings that results depend on (UTC seconds)."""
+    """Pin the run-time setting that results depend on (UTC seconds)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

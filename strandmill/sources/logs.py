@@ -39,10 +39,9 @@ def diagnostic_events(lines: DataFrame, order: Sequence[str] = ORDER, file: str
 
     Text before ``DIAG|`` (a logging prefix) is ignored; lines without a context are skipped.
     """
-    body = F.regexp_extract("line", r"(DIAG\|.+)$", 1)
-    found = lines.select(file, *order, body.alias("_b")).where(F.size(F.split("_b", r"\|", 3)) == 3)
-    parts = F.split("_b", r"\|", 3)
-    return found.select(file, *order, parts[1].alias("event"), parts[2].alias("_rest"))
+    tail = after(F.col("line"), "DIAG|")
+    found = lines.where((F.instr("line", "DIAG|") > 0) & (F.instr(tail, "|") > 0))
+    return found.select(file, *order, F.substring_index(tail, "|", 1).alias("event"), after(tail, "|").alias("_rest"))
 
 
 def diagnostic_metrics(
