@@ -86,7 +86,7 @@ def mixture(docs: DataFrame, entropy: float, repeats: float, id_col: str = "doc_
     each = sized.join(quota, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     each = each.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
     each = each.where((F.col("epoch") < F.col("epochs")) | (F.col("rest") > 0)).withColumn("order", _order(F.col("epoch")))
-    placed = running(each, ["source", "epoch"], "order", [], {"before": "size"}, rows)
+    placed = running(each, ["source", "epoch"], "order", [], {"before": "size"}, rows, int((kinds or 0) * (repeats + 1)))
     kept = placed.where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("rest")))
     return kept.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("size").alias("n_tokens"),
                        F.round("weight", 6).alias("weight"), F.lit(alpha).alias("alpha"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from strandmill.llm.tables import cut, small
 from strandmill.llm.texts import by_bytes, utf8
 
 PART_BYTES = 2 << 20
+#: Sets of either side that a comparison of blocks holds, on average.
+CELL = 64
 
 
 def _ragged(rows: list[np.ndarray]) -> pa.Array:
@@ -79,6 +82,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("n", "levels", "hashes")]).mapInArrow(_confirm, "a long, b long")
 
 
+def _cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """All links between two bounded blocks of sets."""
+    found = []
+    if len(left) and len(right):
+        left, right = left.drop_duplicates(["id", "levels"]), right.drop_duplicates(["id", "levels"])
+        levels = np.stack([np.frombuffer(v, dtype=np.uint16) for v in right["levels"]])
+        sets = [np.asarray(h, dtype=np.int64).view(np.uint64) for h in right["hashes"]]
+        ids, sizes = right["id"].tolist(), right["n"].to_numpy()
+        for a, n, own, hashes in zip(left["id"].tolist(), left["n"].tolist(), left["levels"], left["hashes"], strict=True):
+            own = np.broadcast_to(np.frombuffer(own, dtype=np.uint16), levels.shape)
+            near = sketch.joint_estimate(own, levels, np.full(len(sizes), n), sizes) >= sketch.LEAST_ESTIMATE
+            hashes = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+            found += [(min(a, ids[k]), max(a, ids[k])) for k in np.flatnonzero(near).tolist() if sketch.linked(hashes, sets[k])]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _across(apart: DataFrame, hub: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets outside a large component and the blocks of it whose buckets they share.
+
+    Blocks hold about CELL sets of either side, so neither a group of any size nor its pairs lie in
+    one task or in rows.
+    """
+    size = hub.groupBy("hub").agg(F.count_distinct("rep").alias("size"))
+    block = F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / CELL) + 1).alias("block")
+    blocks = cut(hub.join(size, "hub").select("bucket", "hub", "rep", block))
+    asks = cut(apart.select("bucket", "rep").join(blocks.select("bucket", "hub", "block").distinct(), "bucket").select("hub", "block", "rep").distinct())
+    width = cut(asks.groupBy("hub", "block").agg((F.floor(F.count(F.lit(1)) / CELL) + 1).alias("width")))
+    left = asks.join(width, ["hub", "block"]).select("hub", "block", F.pmod(F.xxhash64("rep"), "width").alias("part"), F.col("rep").alias("id")).join(sets, "id")
+    right = blocks.select("hub", "block", "rep").distinct().join(width, ["hub", "block"]).select(
+        "hub", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("part"), F.col("rep").alias("id")).join(
+        sets.toDF(*[f"{c}_" for c in sets.columns]).toDF(*sets.columns), "id")
+    cells = lambda df: df.select("hub", "block", "part", "id", "n", "levels", "hashes").groupBy("hub", "block", "part")
+    return cells(left).cogroup(cells(right)).applyInPandas(_cell, "a long, b long")
+
+
 def _labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes (rep, ...) with ``comp``; a node without an edge is its own component."""
     found = components(edges).select(F.col("node").alias("rep"), "component")
@@ -94,8 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a band value are candidates, and their sets are read again; (3) exactly: a candidate with
     under 75 % of its shingles in any other candidate can have no link; (4) in each bucket all are
     held against the smallest, by estimate and then whole sets; (5) in buckets that still hold two
-    components, whatever is not in the largest one is held against all of another component.  So
-    pairs inside a component are never formed, and none across components is skipped.
+    components, whatever is not in the largest one is held against all of another component, in blocks
+    where that is large.  So pairs inside a component are never formed, and none across is skipped.
 
     Bands of a link at exactly 0.75 agree nowhere with a chance of 2.5e-7, and the sieve by estimate
     stands six deviations below 0.75.  Null or empty text: no shingles, own component.  Null id:
@@ -130,13 +168,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(_labels(edges, members))
     parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("hub"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    open_ = members.join(mixed.select("bucket", F.col("hub.comp").alias("hub")), "bucket")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.where(F.col("comp") != F.col("hub")).join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (
+    open_ = cut(members.join(mixed.select("bucket", F.col("hub.comp").alias("hub"), (F.col("hub.k") > CELL).alias("large")), "bucket"))
+    apart = open_.where(F.col("comp") != F.col("hub"))
+    x, y = apart.alias("x"), open_.where((F.col("comp") != F.col("hub")) | ~F.col("large")).alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (
         (F.col("y.comp") == F.col("y.hub")) | (F.col("x.rep") < F.col("y.rep"))) & _reachable(
         F.col("x.n"), F.col("x.core"), F.col("y.n"), F.col("y.core"))).select(
         F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    edges = edges.unionByName(_verified(rest, sets))
+    edges = edges.unionByName(_verified(rest, sets)).unionByName(_across(apart.where("large"), open_.where("large and comp = hub"), sets))
 
     found = components(edges).select(F.col("node").alias("rep"), "component")
     classes = cut(reps.join(found, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component")))

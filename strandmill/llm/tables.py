@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows a task orders at most, on average; the slice count follows from the row count.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 20_000
 #: Rows of (at most three) numbers that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,11 +41,12 @@ def slice_of(order: Column, slices: int) -> Column:
     return F.floor(lead * F.lit(slices) / F.lit(1 << 32)).cast("long")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column], totals: dict[str, str], rows: int) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column], totals: dict[str, str], rows: int, groups: int = 1) -> DataFrame:
     """Totals of the rows before each row, per key, in the order of an md5 column.
 
     Slices of the hash are ordered apart and shifted by the totals of the slices before them, so a
-    key with a third of all rows is spread over tasks.  ``totals`` maps new columns to summed ones.
+    key with a third of all rows is spread over tasks.  ``totals`` maps new columns to summed ones,
+    ``groups`` bounds the number of keys: with the slices it tells whether the shifts may be broadcast.
     """
     slices = rows // SLICE_ROWS + 1
     work = df.withColumn("_slice", slice_of(F.col(order), slices))
@@ -57,6 +58,6 @@ def running(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Colum
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = work.join(small(shift, slices), same, "left").withColumns({
+    out = work.join(small(shift, slices * groups), same, "left").withColumns({
         n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n, c in totals.items()})
     return out.drop("_slice", "_k_slice", *[f"_k_{k}" for k in keys], *[f"_o_{n}" for n in totals])
