@@ -96,12 +96,12 @@ def run_chain(spark: SparkSession, sf: str) -> DataFrame:
 @query("u2_feature_chain", f"""WITH {LENS}, l5 AS (SELECT sample_id, {', '.join(f'least({d}_len, 5) AS {d}_len' for d in DOMAINS[2:])} FROM lens){SPLIT},
 wts AS (SELECT max((ts // 3600 + 0.5) * 3600) AS ref FROM imp, cut WHERE ts < cutoff)
 SELECT sample_id, ts >= cutoff AS is_valid, seq_c_len, seq_d_len, ((ts + 28800) % 86400) // 3600 + 1 AS time_hour,
-  40::INTEGER AS n_state, 32::INTEGER AS n_stats FROM imp JOIN l5 USING (sample_id), cut""")
+  36::INTEGER AS n_state, 32::INTEGER AS n_stats FROM imp JOIN l5 USING (sample_id), cut""")
 def u2(spark, sf):
     """A configured chain of thirteen blocks, fitted on the training rows and applied to all."""
     df = run_chain(spark, sf)
     n_state = len([c for c in df.columns if c.startswith("conv_state_")])
-    return df.select("sample_id", "is_valid", "seq_c_len", "seq_d_len", "time_hour", F.lit(n_state + 4).alias("n_state"),
+    return df.select("sample_id", "is_valid", "seq_c_len", "seq_d_len", "time_hour", F.lit(n_state).alias("n_state"),
                      F.size("dense_seq_stats").alias("n_stats"))
 
 
