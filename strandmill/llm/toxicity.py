@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.join(small(chosen, positive_rows + unlabelled_rows), F.col(id_col) == F.col("_sid")).select(F.col(text_col).cast("string").alias("text"), "positive")
     for key in ("m0", "m1", "m2"):  # copies of a text would lend it their number
         texts = cut(texts.select("text", "positive").mapInArrow(_least, "text string, positive boolean, m0 long, m1 long, m2 long") if key == "m0" else texts)
-        texts = texts.dropDuplicates(["positive", key])
+        texts = texts.groupBy("positive", key).agg(F.min(F.struct("text", "m0", "m1", "m2")).alias("_t")).select("positive", "_t.*")
     texts = cut(texts.select("text", "positive").repartition(6))
     sizes = {r["positive"]: r["count"] for r in texts.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), max(sizes.get(False, 0), 1)
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (share >= 0.5)).select("f", clear.alias("z")).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     features = np.array(sorted(r["f"] for r in top), dtype=np.int64)
     got = texts.mapInArrow(_rows(features), "positive boolean, known binary").collect()
+    got.sort(key=lambda r: (r["positive"], bytes(r["known"])))  # sums do not depend on how rows arrive
     rows = [np.frombuffer(bytes(r["known"]), dtype=np.int32) for r in got]
     weights, bias = fit_non_negative(rows, positive := np.array([r["positive"] for r in got], dtype=bool), len(features), prior)
     # No more unlabelled text than the prior says may stand above the middle.
