@@ -39,8 +39,7 @@ def numbered_timeline(
     )
     counts = {f"n_{d}": F.when(F.col("domain") == d, 1).otherwise(0).cast("long") for d in domains}
     return running_totals(
-        ev.unionByName(pr), keys, [F.col("ts"), F.col("_kind"), F.col("_tie")], counts,
-        slice_on=F.col("ts"), task_rows=task_rows,
+        ev.unionByName(pr), keys, [F.col("ts"), F.col("_kind"), F.col("_tie")], counts, task_rows=task_rows,
     )
 
 

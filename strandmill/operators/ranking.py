@@ -1,21 +1,23 @@
 """Ordered aggregates that stay distributed: running totals, ranks, exact quantiles.
 
 Every function first checks how large its largest ordering group is.  Groups that fit one task use
-a plain window; a group beyond ``task_rows`` is cut into slices of its ordering value, ordered
-inside the slices in parallel, and shifted by the totals of the slices before it.  The slice totals
-are the only thing ordered as a whole, and their number is fixed by the slice count.
+a plain window.  Beyond ``task_rows`` the rows are range-partitioned by key and whole order tuple,
+numbered inside those slices in parallel, and shifted by the totals of the slices before.  Both ways
+give the same answer, nulls, NaN and ties included: a null key is a group, nulls order first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.session import cut
+
 TASK_ROWS = 1_000_000
-MAX_SLICES = 4096
+#: Rows of the offsets (one per slice at most) that may be broadcast.
+BROADCAST_SLICES = 100_000
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
@@ -32,19 +34,22 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["m"] or 0)
 
 
-def _slice_column(df: DataFrame, slice_on: Column, rows: int, task_rows: int) -> DataFrame:
-    """Add ``_slice``: a monotone, evenly filled bucket number of the ordering value."""
-    wanted = min(MAX_SLICES, max(2, 2 * (rows // max(task_rows, 1) + 1)))
-    probs = [i / wanted for i in range(1, wanted)]
-    marked = df.withColumn("_slice_on", slice_on.cast("double"))
-    cuts = marked.agg(
-        F.percentile_approx("_slice_on", probs, max(10_000, 10 * wanted)).alias("c")
-    ).first()["c"] or []
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_slice_on", outputCol="_slice").transform(marked)
-    return bucketed.withColumn("_slice", F.col("_slice").cast("int")).drop("_slice_on")
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int) -> DataFrame:
+    """``df`` with ``_slice``, which never decreases along (keys, order).
+
+    Range bounds come from samples and differ from run to run, so the dealt rows are written down
+    before their slice is used twice.
+    """
+    dealt = df.repartitionByRange(slices, *_keys(keys), *order)
+    return cut(dealt.withColumn("_slice", F.spark_partition_id()))
+
+
+def same_keys(keys: Sequence[str], others: Sequence[str]) -> Column:
+    """Null-safe equality of two lists of columns; true for empty lists."""
+    out = F.lit(True)
+    for k, o in zip(keys, others, strict=True):
+        out = out & F.col(k).eqNullSafe(F.col(o))
+    return out
 
 
 def running_totals(
@@ -52,63 +57,47 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
-    slice_on: Column | None = None,
     task_rows: int = TASK_ROWS,
     sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given total order.
 
-    ``slice_on`` is any numeric expression that never decreases along ``order``; it defaults to the
-    first order column and only decides where large groups are cut, never the result.  ``sizes`` are
-    known upper bounds of (rows, rows of the largest group), which save the counting job.
+    ``sizes`` are known upper bounds of (rows, rows of the largest group), which save the counting
+    job.  The slices cut hot values too, as long as the order tuple tells their rows apart.
     """
     n, largest = sizes if sizes is not None else group_sizes(df, keys)
+    part = Window.partitionBy(*_keys(keys))
     if largest <= task_rows:
-        part = Window.partitionBy(*_keys(keys)) if keys else Window.partitionBy()
         w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(col).over(w) for name, col in totals.items()})
 
-    slice_on = slice_on if slice_on is not None else order[0]
-    work = df.withColumns({f"_v_{name}": col for name, col in totals.items()})
-    if keys:
-        # Only groups too large for one task are cut: at most rows / task_rows of them.
-        big = (
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > max(task_rows, n // 10_000)).select(*keys, F.lit(True).alias("_big"))
-        )
-        work = work.join(F.broadcast(big), list(keys), "left")
-        sliced = _slice_column(work, slice_on, n, task_rows)
-        work = sliced.withColumn("_slice", F.when(F.col("_big"), F.col("_slice")).otherwise(0)).drop("_big")
-    else:
-        work = _slice_column(work, slice_on, n, task_rows)
-
-    per_slice = work.groupBy(*keys, "_slice").agg(
-        *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals]
-    )
-    before = (Window.partitionBy(*_keys(keys)) if keys else Window.partitionBy()).orderBy(
-        "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = 2 * (n // max(task_rows, 1) + 1)
+    work = _sliced(df.withColumns({f"_v_{name}": col for name, col in totals.items()}), keys, order, slices)
+    per_slice = work.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
+    before = part.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # A slice begins inside one group at most, so only that group of it has an offset.
+    known = [f"_k{i}" for i in range(len(keys))]
     offsets = per_slice.select(
-        *keys, "_slice",
-        *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in totals],
-    )
-    if not keys:
-        offsets = F.broadcast(offsets)  # one row per slice, at most MAX_SLICES
+        *[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)], F.col("_slice").alias("_at"),
+        F.count(F.lit(1)).over(before).alias("_earlier"),
+        *[F.sum(f"_s_{name}").over(before).alias(f"_o_{name}") for name in totals],
+    ).where("_earlier > 0").drop("_earlier")
+    if slices <= BROADCAST_SLICES:
+        offsets = F.broadcast(offsets)
+    joined = work.join(offsets, (F.col("_slice") == F.col("_at")) & same_keys(keys, known), "left")
     inside = Window.partitionBy(*_keys(keys), F.col("_slice")).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    joined = work.join(offsets, [*keys, "_slice"])
-    out = joined.withColumns(
-        {name: F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}") for name in totals}
-    )
-    scratch = ["_slice"] + [f"_v_{n_}" for n_ in totals] + [f"_o_{n_}" for n_ in totals]
-    return out.drop(*scratch)
+    sums = {name: (F.sum(f"_v_{name}").over(inside), F.col(f"_o_{name}")) for name in totals}
+    out = joined.withColumns({name: F.coalesce(own + earlier, own, earlier) for name, (own, earlier) in sums.items()})
+    return out.drop("_slice", "_at", *known, *[f"_{x}_{name}" for x in "vo" for name in totals])
 
 
 def global_rank(
     df: DataFrame, order: Sequence[Column], name: str = "rank", keys: Sequence[str] = (),
-    slice_on: Column | None = None, task_rows: int = TASK_ROWS, sizes: tuple[int, int] | None = None,
+    task_rows: int = TASK_ROWS, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """1-based rank over the whole table (or per key) in a total order."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, slice_on, task_rows, sizes)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, task_rows, sizes)
 
 
 def exact_quantiles(
@@ -117,10 +106,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, one column per named probability.
 
+    Null values do not count; NaN is the largest value.
     Small groups use the built-in ``percentile``; larger ones find the two bracketing values of each
     quantile by rank over the distinct values, so no task ever holds a whole group.
     """
-    clean = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    # Adding zero makes one value of both zeros, as grouping does.
+    clean = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_x")).where(F.col("_x").isNotNull())
     n, largest = group_sizes(clean, keys)
     names = list(probs)
     if largest <= task_rows:
@@ -128,11 +119,12 @@ def exact_quantiles(
         out = clean.groupBy(*keys).agg(grid.alias("_q"))
         return out.select(*keys, *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(names)])
 
-    hist = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(hist, keys, [F.col("_x")], {"_upto": F.col("_c")}, task_rows=task_rows, sizes=(n, largest))
+    hist = cut(clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    known = [f"_k{i}" for i in range(len(keys))]
+    sizes = hist.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)]).agg(F.sum("_c").alias("_n"))
+    ranked = running_totals(hist, keys, [F.col("_x")], {"_upto": F.col("_c")}, task_rows=task_rows)
     if keys:
-        ranked = ranked.join(sizes, list(keys))
+        ranked = ranked.join(sizes, same_keys(keys, known)).drop(*known)
     else:
         ranked = ranked.withColumn("_n", F.lit(n).cast("long"))
     first = F.col("_upto") - F.col("_c")
@@ -146,10 +138,9 @@ def exact_quantiles(
         aggs += [at(F.floor(pos)).alias(f"_lo_{k}"), at(F.ceil(pos)).alias(f"_hi_{k}"),
                  F.max(pos - F.floor(pos)).alias(f"_f_{k}")]
     out = ranked.groupBy(*keys).agg(*aggs)
+    lo, hi, part = ({k: F.col(f"_{x}_{k}") for k in names} for x in ("lo", "hi", "f"))
     return out.select(*keys, *[
-        (F.col(f"_lo_{k}") + F.col(f"_f_{k}") * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k)
-        for k in names
-    ])
+        F.when(lo[k] == hi[k], lo[k]).otherwise((1.0 - part[k]) * lo[k] + part[k] * hi[k]).alias(k) for k in names])
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float], task_rows: int = TASK_ROWS) -> list[float]:
@@ -160,9 +151,8 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float], task_rows
 
 
 def keep_first(
-    df: DataFrame, order: Sequence[Column], n: Column | int, slice_on: Column | None = None,
-    task_rows: int = TASK_ROWS,
+    df: DataFrame, order: Sequence[Column], n: Column | int, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """The first ``n`` rows in a total order, without ordering the table in one task."""
-    ranked = global_rank(df, order, "_rank", (), slice_on, task_rows)
+    ranked = global_rank(df, order, "_rank", (), task_rows)
     return ranked.where(F.col("_rank") <= n).drop("_rank")

@@ -75,7 +75,7 @@ def top_fraction_flags(
 ) -> DataFrame:
     """Boolean per fraction: among the ``max(1, n // divisor)`` largest values (ties by ``tie``)."""
     n = df.count()
-    ranked = global_rank(df, [F.col(value).desc(), F.col(tie)], "_rank", slice_on=-F.col(value), task_rows=task_rows, sizes=(n, n))
+    ranked = global_rank(df, [F.col(value).desc(), F.col(tie)], "_rank", task_rows=task_rows, sizes=(n, n))
     return ranked.withColumns(
         {name: F.col("_rank") <= max(1, n // div) for name, div in fractions.items()}).drop("_rank")
 

@@ -38,11 +38,55 @@ def test_sliced_plan_orders_no_whole_group(skewed):
 
 def test_rank_descending_slices(skewed):
     order = [F.desc("v"), F.asc("id")]
-    a = global_rank(skewed, order, "r", slice_on=-F.col("v"))
-    b = global_rank(skewed, order, "r", slice_on=-F.col("v"), task_rows=50)
+    a = global_rank(skewed, order, "r")
+    b = global_rank(skewed, order, "r", task_rows=50)
     assert sorted(map(tuple, a.select("id", "r").collect())) == sorted(map(tuple, b.select("id", "r").collect()))
 
 
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null keys, null, NaN and infinite values, and one value that half of all rows hold."""
+    rows = []
+    for i in range(1000):
+        v = [None, float("nan"), float("inf"), 1.0, 1.0, 1.0, float(i % 7), -0.0, 0.0, 1.0][i % 10]
+        rows.append((i, None if i % 4 == 0 else i % 3, v, None if i % 5 == 0 else i % 2))
+    return spark.createDataFrame(rows, "id long, key long, v double, w long").cache()
+
+
+@pytest.mark.parametrize("keys", [[], ["key"], ["v"]])
+@pytest.mark.parametrize("falling", [False, True])
+def test_both_plans_agree_on_nulls_nan_and_hot_values(awkward, keys, falling):
+    order = [F.desc("v") if falling else F.col("v"), F.col("id")]
+    totals = {"s": F.col("w"), "r": F.lit(1)}
+    plain, sliced = (
+        sorted(map(tuple, running_totals(awkward, keys, order, totals, task_rows=t).select("id", "s", "r").collect()))
+        for t in (10**6, 50))
+    assert len(plain) == 1000 and plain == sliced
+
+
+def test_no_task_orders_a_hot_value(awkward):
+    from strandmill.operators.ranking import _sliced
+
+    sizes = _sliced(awkward, [], [F.col("v"), F.col("id")], 20).groupBy("_slice").count().agg(F.max("count")).first()
+    assert sizes[0] <= 150
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_quantiles_agree_on_nulls_nan_and_hot_values(awkward, keys):
+    probs = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.83, "e": 1.0}
+    plain, sliced = (sorted(map(str, exact_quantiles(awkward, keys, "v", probs, t).collect())) for t in (10**6, 3))
+    assert plain == sliced and len(plain) == (4 if keys else 1)
+
+
+def test_reports_agree_on_nulls_and_nan(awkward):
+    df = awkward.select(F.col("id").alias("sample_id"), "key", F.col("v").alias("logit"), (F.col("id") % 2).alias("label"))
+    both = [(E.group_auc(df, "key", task_rows=t).first(), P.top_fraction_flags(df, "logit", "sample_id", {"tenth": 10}, t).where(
+        "tenth").agg(F.count("*"), F.sum("sample_id")).first(), P.class_capped(df, "key", {1: 20}, 3, ["sample_id"], t).count())
+        for t in (10**6, 50)]
+    assert both[0][0]["gauc"] == pytest.approx(both[1][0]["gauc"]) and both[0][0]["coverage"] == both[1][0]["coverage"]
+    assert both[0][1:] == both[1][1:]
+
+
 @pytest.mark.parametrize("task_rows", [10**6, 64])
 def test_exact_quantiles_match_numpy(skewed, task_rows):
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
