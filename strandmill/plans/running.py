@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
@@ -115,12 +113,11 @@ def u2_events(spark, sf):
 
 @query("u4_score_predicate", f"""WITH {IMP} SELECT count(*) AS n, sum(label)::BIGINT AS pos FROM imp WHERE 1.0 / (1.0 + exp(-(logit * 0.5))) > 0.6""")
 def u4(spark, sf):
-    """A row predicate on a vectorised Python scorer."""
-    @F.pandas_udf("double")
-    def scorer(logit: pd.Series) -> pd.Series:
-        return 1.0 / (1.0 + np.exp(-(logit * 0.5)))
+    """A row predicate on a scorer; one that is a column expression needs no Python rows."""
+    def scorer(logit: Column) -> Column:
+        return S.sigmoid(logit * 0.5)
 
-    hits = predictions(spark, sf).where(scorer("logit") > 0.6)
+    hits = predictions(spark, sf).where(scorer(F.col("logit")) > 0.6)
     return hits.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
 
 

@@ -1,13 +1,12 @@
-"""Sinks: predictions, split snapshots with an identity manifest, and the metrics table."""
+"""Sinks: predictions, snapshots named by the content they come from, and the metrics table."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 import time
 from collections.abc import Mapping
-from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,108 +23,90 @@ def write_predictions(df: DataFrame, path: str, order: str, fmt: str = "json") -
 # --- snapshots ----------------------------------------------------------------------------------
 
 def row_set_digest(df: DataFrame, key: str) -> DataFrame:
-    """Order-free identity of a row set: count, sum of keys, xor of keys and xor of key hashes."""
+    """Order-free identity of a row set: count, sum of keys (modulo 2^63), xor of keys and of key hashes."""
+    total = F.coalesce(F.sum(F.col(key).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(key), F.lit(0)).alias("key_sum"),
+        F.count(F.lit(1)).alias("rows"), (total % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long").alias("key_sum"),
         F.coalesce(F.bit_xor(key), F.lit(0)).alias("key_xor"),
         F.coalesce(F.bit_xor(F.xxhash64(key)), F.lit(0)).alias("hash_xor"))
 
 
-def _hash(obj: Any) -> str:
-    return hashlib.sha256(json.dumps(obj, sort_keys=True, default=str).encode()).hexdigest()
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and time of the parquet files of a folder; their content is not read."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet")
+    return files.load(path).select("path", "length", "modificationTime")
 
 
-def dataset_signature(spark: SparkSession, path: str) -> dict:
-    """Names, sizes and modification times of the input files (the listing, not the data)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(path)
-    one = F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))
-    row = files.select(F.xxhash64(one).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x")).first()
-    return {"files": row["n"], "xor": row["x"]}
+def content_identity(tables: Mapping[str, DataFrame], settings: Mapping | None = None) -> DataFrame:
+    """(part, rows, digest) per named table, from all values of all its rows in any order.
 
-
-def build_manifest(
-    spark: SparkSession, dataset: str, rows: DataFrame, key: str, blocks: Mapping | None = None,
-    fit_state: Any = None,
-) -> dict:
-    digest = row_set_digest(rows, key).first().asDict()
-    return {
-        "version": 1, "dataset": dataset, "signature": dataset_signature(spark, dataset),
-        "rows": {k: str(v) for k, v in digest.items()}, "blocks": _hash(dict(blocks or {})),
-        "fit_state": _hash(fit_state) if fit_state is not None else "",
-    }
+    ``settings`` adds a part of its own and must be plain JSON.  Fitted state goes in as its tables,
+    so a refit that changes one number is another identity.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    text = json.dumps(dict(settings or {}), sort_keys=True)
+    out = spark.range(1).select(F.lit("settings").alias("part"), F.lit(1).cast("long").alias("rows"), F.sha2(F.lit(text), 256).alias("digest"))
+    for name, df in tables.items():
+        two = df.select(*[F.xxhash64(*extra, *[F.col(f"`{c}`") for c in sorted(df.columns)]).alias(h) for h, extra in (
+            ("h", []), ("g", [F.lit(name)]))])
+        sums = [F.coalesce(F.sum(F.col(h).cast("decimal(20,0)")), F.lit(0)).cast("string") for h in "hg"]
+        out = out.unionByName(two.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("digest")).select(
+            F.lit(f"table {name}").alias("part"), "rows", "digest"))
+    return out
 
 
-def manifest_key(manifest: Mapping) -> str:
-    return _hash({k: v for k, v in manifest.items() if k != "created_at"})[:16]
+def identity_key(identity: DataFrame) -> str:
+    """One name for all parts (their number is that of the tables given)."""
+    part = F.concat_ws("=", "part", F.col("rows").cast("string"), "digest")
+    return identity.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(part))), 256)).first()[0][:32]
 
 
 class SnapshotStore:
-    """Validation rows written once per identity; Spark's _SUCCESS marks a whole write."""
+    """Rows written once per identity: ``data/<key>``, and one line per snapshot in ``manifest``.
+
+    A snapshot counts when Spark has marked its write as whole.  Beside the one just written the
+    ``keep_last`` newest stay.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keep_last: int = 3) -> None:
         self.spark, self.root, self.keep_last = spark, root.rstrip("/"), max(1, keep_last)
-        self._jvm = spark._jvm
-        self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _manifest(self, folder: str) -> dict | None:
-        if not self._fs.exists(self._path(f"{folder}/rows/_SUCCESS")):
-            return None
-        if not self._fs.exists(self._path(f"{folder}/manifest/_SUCCESS")):
-            return None
-        rows = self.spark.read.text(f"{folder}/manifest").collect()  # one line
-        return json.loads(rows[0][0]) if rows else None
-
-    def find(self, manifest: Mapping) -> str | None:
-        folder = f"{self.root}/{manifest_key(manifest)}"
-        stored = self._manifest(folder)
-        if stored is None:
-            return None
-        stored.pop("created_at", None)
-        return folder if stored == json.loads(json.dumps(manifest)) else None
-
-    def load_or_write(self, manifest: Mapping, rows: DataFrame) -> DataFrame:
-        folder = self.find(manifest)
-        if folder is None:
-            folder = f"{self.root}/{manifest_key(manifest)}"
-            rows.write.mode("overwrite").parquet(f"{folder}/rows")
-            payload = json.dumps({**manifest, "created_at": time.time()})
-            self.spark.createDataFrame([(payload,)], "value string").coalesce(1).write.mode("overwrite").text(
-                f"{folder}/manifest")
-            self._prune(folder)
-        return self.spark.read.parquet(f"{folder}/rows")
-
-    def _prune(self, keep: str) -> None:
-        done = []
-        for status in self._fs.listStatus(self._path(self.root)):
-            folder = status.getPath().toString()
-            if folder.rstrip("/").endswith(keep.rsplit("/", 1)[1]):
-                continue
-            manifest = self._manifest(folder)
-            if manifest is not None:
-                done.append((manifest["created_at"], folder))
-        for _, folder in sorted(done, reverse=True)[self.keep_last:]:
-            self._fs.delete(self._path(folder), True)
 
+    def _folder(self, key: str) -> str:
+        return f"{self.root}/data/{key}"
 
-# --- metrics ------------------------------------------------------------------------------------
+    def _at(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
-def flatten_metrics(metrics: Mapping, prefix: str = "") -> list[tuple[str, float]]:
-    """Nested numbers as ``a/b/c`` keys; anything else is left out."""
-    out: list[tuple[str, float]] = []
-    for k, v in metrics.items():
-        name = f"{prefix}/{k}" if prefix else k
-        if isinstance(v, Mapping):
-            out += flatten_metrics(v, name)
-        elif isinstance(v, (bool, int, float)):
-            out.append((name, float(v)))
-    return out
+    def find(self, key: str) -> str | None:
+        files, mark = self._at(f"{self._folder(key)}/_SUCCESS")
+        return self._folder(key) if files.exists(mark) else None
 
+    def load_or_write(self, identity: DataFrame, rows: DataFrame) -> DataFrame:
+        key = identity_key(identity)
+        if not self.find(key):
+            rows.write.mode("overwrite").parquet(self._folder(key))
+            line = identity.agg(F.collect_list(F.struct("part", "rows", "digest")).alias("parts"))
+            line.select(F.lit(key).alias("key"), F.lit(time.time()).alias("written_at"), "parts").write.mode("append").parquet(
+                f"{self.root}/manifest")
+            for old in self.expired():
+                files, folder = self._at(self._folder(old))
+                files.delete(folder, True)
+        return self.spark.read.parquet(self._folder(key))
+
+    def expired(self) -> list[str]:
+        """Keys behind the newest and the ``keep_last`` before it."""
+        lines = self.spark.read.parquet(f"{self.root}/manifest").groupBy("key").agg(F.max("written_at").alias("written_at"))
+        return [r["key"] for r in lines.orderBy(F.desc("written_at"), "key").offset(self.keep_last + 1).collect()]
+
+
+# --- metrics ------------------------------------------------------------------------------------
 
 def append_metrics(spark: SparkSession, path: str, metrics: Mapping, step: int, at: float | None = None) -> None:
-    rows = [(k, step, v, at if at is not None else time.time()) for k, v in flatten_metrics(metrics)]
+    """One row per number of a nested mapping, under its names joined by ``/``; anything else is left out."""
+    flat = next(iter(pd.json_normalize(dict(metrics), sep="/").to_dict("records")), {})
+    at = time.time() if at is None else at
+    rows = [(k, step, float(v), at) for k, v in flat.items() if isinstance(v, (bool, int, float))]
     spark.createDataFrame(rows, "key string, step long, value double, ts double").write.mode("append").parquet(path)
 
 

@@ -44,18 +44,28 @@ def test_predictions_keep_the_last(spark, tmp_path):
 def test_snapshot_is_reused_only_for_the_same_identity(spark, three_files, tmp_path):
     rows = spark.read.option("recursiveFileLookup", "true").parquet(three_files)
     store = K.SnapshotStore(spark, str(tmp_path / "snap"), keep_last=1)
-    m = K.build_manifest(spark, three_files, rows, "id", {"time_cats": {}})
-    assert store.find(m) is None
+    name = lambda df, **more: K.content_identity({"files": K.listing(spark, three_files), "rows": df}, more)
+    m = name(rows, blocks="time_cats")
+    assert store.find(K.identity_key(m)) is None
     assert store.load_or_write(m, rows).count() == 12
-    assert store.find(m) is not None
-    again = K.build_manifest(spark, three_files, rows.repartition(5), "id", {"time_cats": {}})
-    assert K.manifest_key(again) == K.manifest_key(m)
-    fewer = K.build_manifest(spark, three_files, rows.where("id < 200"), "id", {"time_cats": {}})
-    assert store.find(fewer) is None
+    assert store.find(K.identity_key(m)) is not None
+    assert K.identity_key(name(rows.repartition(5), blocks="time_cats")) == K.identity_key(m)
+    assert store.find(K.identity_key(name(rows.where("id < 200"), blocks="time_cats"))) is None
     for i in range(3):
-        other = K.build_manifest(spark, three_files, rows, "id", {"n": i})
-        store.load_or_write(other, rows)
-    assert store.find(other) is not None and len(list((tmp_path / "snap").iterdir())) == 2
+        store.load_or_write(name(rows, n=i), rows)
+    assert store.find(K.identity_key(name(rows, n=2))) and len(list((tmp_path / "snap" / "data").iterdir())) == 2
+
+
+def test_identity_sees_the_content_of_fitted_state(spark):
+    a, b = (spark.createDataFrame([(1, x), (2, None)], "dim long, scale double") for x in (0.5, 0.25))
+    key = lambda df: K.identity_key(K.content_identity({"state": df}))
+    assert key(a) == key(a.orderBy("dim")) and key(a) != key(b) and key(a) != key(a.unionAll(a))
+    assert key(a.limit(0)) != key(a)
+
+
+def test_row_set_digest_of_large_keys(spark):
+    got = K.row_set_digest(spark.createDataFrame([(2**62,), (2**62,), (2**62 - 1,)], "id long"), "id").first()
+    assert got["rows"] == 3 and got["key_sum"] == (3 * 2**62 - 1) % 2**63
 
 
 def test_metrics_upsert(spark, tmp_path):
