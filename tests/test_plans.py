@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandmill.operators import sequence_rows as R
+from strandmill.operators.ranking import global_rank
 from strandmill.plans import base
 
 QUERIES = entry.queries()
@@ -33,11 +34,18 @@ def test_no_pair_joins(spark, tiny, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_event_scan_is_pruned(spark, tiny):
-    df = QUERIES["g0_global_rank"](spark, tiny)
-    text = df._jdf.queryExecution().executedPlan().toString()
-    scan = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
-    assert len(scan.split(",")) == 5
+def test_ranked_scan_is_pruned(spark, tiny):
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    df = spark.read.parquet(f"{tiny}/lineitem.parquet")
+    out = global_rank(df, [F.col(c) for c in columns], "rank").select(*columns, "rank")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.search(r"ReadSchema: struct<([^>]*)>", text).group(1).split(",")) == 3
+
+
+def test_dealt_rows_hold_only_what_is_asked(spark, tiny):
+    # The scan lies behind the written rows: five columns, what is summed, the slice.
+    text = QUERIES["g0_global_rank"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.search(r"Scan ExistingRDD\[([^\]]*)\]", text).group(1).split(",")) == 7
 
 
 def test_session_rows_share_one_exchange(spark, tiny):
