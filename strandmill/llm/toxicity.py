@@ -14,12 +14,16 @@ from strandmill.llm.sketch import Shingler
 from strandmill.llm.tables import cut, small
 from strandmill.llm.texts import NON_ALNUM, by_bytes, byte_table, mix, seeds, utf8
 
-BITS, SIZES = 20, (4, 5, 6)
+BITS, SIZES = 20, (4, 5, 6, 8)
+#: The first, second, ... occurrence of an n-gram in a text are features of their own, up to this one.
+LEVELS = 4
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents; and of the model.
 POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 8000, 4096
 PART_BYTES, STEPS = 1 << 20, 300
 #: Share of the confirmed documents that must hold an n-gram for it to become a feature.
 LEAST_SHARE = 0.01
+#: Standard errors between the two rates; millions of n-grams are compared, so chance alone reaches some.
+LEAST_CLEAR = 8.0
 
 
 def held_out(id_: Column) -> Column:
@@ -56,13 +60,15 @@ class Grams:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many positive and unlabelled documents of the partition hold each feature."""
-    grams, seen = Grams(), np.zeros((2, 1 << BITS), dtype=np.int32)
+    grams, seen = Grams(), np.zeros((2, LEVELS << BITS), dtype=np.int32)
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         for k, positive in enumerate(batch.column(1).to_pylist()):
             found = [x[x >= 0] for x in grams.each(data, offsets[k: k + 2])]
             if found:
-                seen[int(positive)][np.unique(np.concatenate(found))] += 1
+                own, times = np.unique(np.concatenate(found), return_counts=True)
+                for level in range(LEVELS):
+                    seen[int(positive)][own[times > level].astype(np.int64) * LEVELS + level] += 1
     rows = np.flatnonzero(seen[1])
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seen[1][rows], pa.int64()), pa.array(seen[0][rows], pa.int64())], names=["f", "p", "u"])
 
@@ -88,23 +94,22 @@ class Model:
 
 
 def _hits(grams: Grams, place: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature place) of the distinct known features of each text; place 0 is none."""
-    texts, known = [], []
+    """(text number, feature place) of the known features of each text; place 0 is none."""
+    of_interest, both = place.any(axis=1), [np.zeros(0, dtype=np.int64)]
     for x in grams.each(data, offsets):
-        p = place[x]
-        at = np.flatnonzero((p > 0) & (x >= 0))
-        texts.append(np.searchsorted(offsets[1:] - offsets[0], at, "right"))
-        known.append(p[at])
-    if not texts:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    both = np.unique(np.concatenate(texts) * (FEATURES + 1) + np.concatenate(known))
-    return both // (FEATURES + 1), both % (FEATURES + 1)
+        at = np.flatnonzero(of_interest[x] & (x >= 0))
+        both.append((np.searchsorted(offsets[1:] - offsets[0], at, "right") << BITS) + x[at])
+    own, times = np.unique(np.concatenate(both), return_counts=True)
+    text, known = own >> BITS, place[own & ((1 << BITS) - 1)]
+    row, level = np.nonzero((known > 0) & (times[:, None] > np.arange(LEVELS)))
+    return text[row], known[row, level]
 
 
 def _places(features: np.ndarray) -> np.ndarray:
-    place = np.zeros(1 << BITS, dtype=np.int64)
+    """Place of each feature by n-gram and occurrence."""
+    place = np.zeros(LEVELS << BITS, dtype=np.int32)
     place[features] = np.arange(1, len(features) + 1)
-    return place
+    return place.reshape(-1, LEVELS)
 
 
 def _rows(features: np.ndarray):
@@ -150,6 +155,15 @@ def fit_non_negative(rows: list[np.ndarray], positive: np.ndarray, features: int
     return w[:-1], float(w[-1])
 
 
+def _middle(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut of least non-negative risk under the 0/1 loss: both kinds of error, counted with the class prior."""
+    values = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = np.append((values[1:] + values[:-1]) / 2, values[-1] + 1.0)
+    found = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    flagged = 1 - np.searchsorted(np.sort(unlabelled), cuts) / max(len(unlabelled), 1)
+    return float(cuts[np.argmin(np.round(prior * (1 - found) + np.maximum(flagged - prior * found, 0), 9))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
     """Learn from confirmed toxic documents and unlabelled ones; None without confirmed documents.
@@ -182,15 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Unlabelled text holds toxic text at the rate of the prior, so this is the share of toxic text among
     # that with the feature; the least count keeps out words of a few copied documents.
     share = prior * a / (b + 2 / n_u)
-    top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (share >= 0.5)).select("f", clear.alias("z")).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (share >= 0.5) & (clear >= LEAST_CLEAR)).select("f", clear.alias("z")).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     features = np.array(sorted(r["f"] for r in top), dtype=np.int64)
     got = texts.mapInArrow(_rows(features), "positive boolean, known binary").collect()
     got.sort(key=lambda r: (r["positive"], bytes(r["known"])))  # sums do not depend on how rows arrive
     rows = [np.frombuffer(bytes(r["known"]), dtype=np.int32) for r in got]
     weights, bias = fit_non_negative(rows, positive := np.array([r["positive"] for r in got], dtype=bool), len(features), prior)
-    # No more unlabelled text than the prior says may stand above the middle.
-    spread = [weights[r].sum() + bias for r, p in zip(rows, positive, strict=True) if not p]
-    return Model(features, weights, bias - max(0.0, float(np.quantile(spread, 1 - prior))) if spread else bias)
+    f = np.array([weights[r].sum() + bias for r in rows])
+    return Model(features, weights, bias - _middle(f[positive], f[~positive], prior))
 
 
 def _scored(model: Model | None, where: int):
