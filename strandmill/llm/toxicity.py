@@ -22,8 +22,8 @@ POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 8000, 4096
 PART_BYTES, STEPS = 1 << 20, 300
 #: Share of the confirmed documents that must hold an n-gram for it to become a feature.
 LEAST_SHARE = 0.01
-#: Standard errors between the two rates; millions of n-grams are compared, so chance alone reaches some.
-LEAST_CLEAR = 8.0
+#: Least log-likelihood ratio of a feature: beyond what chance gives to the best of so many features.
+LEAST_CLEAR = float(np.log(LEVELS << BITS))
 
 
 def held_out(id_: Column) -> Column:
@@ -140,14 +140,14 @@ def fit_non_negative(rows: list[np.ndarray], positive: np.ndarray, features: int
     w, m, s = np.zeros(features + 2), np.zeros(features + 2), np.zeros(features + 2)
     w[-1] = -2.0
     for step in range(1, steps + 1):
-        f = np.bincount(owner, weights=w[flat], minlength=len(rows)) + w[-1]
+        f = np.bincount(owner, weights=w[flat], minlength=len(rows)).astype(float) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
         loss_n = -np.log(np.maximum(1 - p, 1e-12))
         rest = float((loss_n * scale[1]).sum() - prior * (loss_n * scale[0]).sum())
         slope = prior * scale[0] * (p - 1)
         side = scale[1] * p - prior * scale[0] * p
         slope = slope + side if rest >= 0 else -side
-        g = np.bincount(flat, weights=slope[owner], minlength=features + 2)
+        g = np.bincount(flat, weights=slope[owner], minlength=features + 2).astype(float)
         g[-1] = slope.sum()
         g[:-1] += decay * w[:-1]
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Only ids that are not held out are used.  The class prior is the share of toxic among all labels
     there.  The sample is bounded: the ``positive_rows`` and ``unlabelled_rows`` documents of lowest
-    id digest.  Features are the n-grams that set the confirmed documents apart most clearly.
+    id digest.  Features are the n-gram occurrences that set the confirmed documents apart most clearly;
+    where chance explains them all, every text gets the same score.
     """
     given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     known = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
@@ -192,11 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = texts.mapInArrow(_document_counts, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / n_p, F.col("u") / n_u
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
-    clear = (a - b) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-9)
+    part = lambda n, rate, all_: F.when(rate > 0, n * F.log(rate / all_)).otherwise(0.0)
+    clear = F.round(part(F.col("p"), a, both) + part(F.col("u"), b, both) + part(n_p - F.col("p"), 1 - a, 1 - both) + part(n_u - F.col("u"), 1 - b, 1 - both), 9)
     # Unlabelled text holds toxic text at the rate of the prior, so this is the share of toxic text among
     # that with the feature; the least count keeps out words of a few copied documents.
     share = prior * a / (b + 2 / n_u)
-    top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (share >= 0.5) & (clear >= LEAST_CLEAR)).select("f", clear.alias("z")).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (a > b) & (share >= 0.5) & (clear >= LEAST_CLEAR)).select("f", clear.alias("clear")).orderBy(F.desc("clear"), "f").limit(FEATURES).collect()
     features = np.array(sorted(r["f"] for r in top), dtype=np.int64)
     got = texts.mapInArrow(_rows(features), "positive boolean, known binary").collect()
     got.sort(key=lambda r: (r["positive"], bytes(r["known"])))  # sums do not depend on how rows arrive
