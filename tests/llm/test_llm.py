@@ -191,6 +191,31 @@ def test_nearest_vectors(spark):
     assert (tree.search(q, 5, 1.3)[0][:, :1] <= exact[:, -1:]).mean() > 0.8
 
 
+def brute_nearest(rows, asked, k):
+    rows, asked, out = {(i, tuple(v)) for i, v in rows}, {(i, tuple(v)) for i, v in asked}, {}
+    for q, v in asked:
+        out[q] = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["one_hot", "binary", "repeated", "long", "tiny"])
+def test_nearest_vectors_ties_and_repeats(spark, kind):
+    r = np.random.default_rng(3)
+    v = {"one_hot": np.eye(8)[r.integers(0, 8, 600)] * r.integers(1, 60, (600, 1)), "binary": r.integers(0, 2, (600, 9)).astype(float),
+         "repeated": r.integers(1, 5, (600, 4)).astype(float), "long": r.integers(-9, 10, (600, 6)).astype(float), "tiny": r.integers(1, 5, (600, 4)) * 1e-200}[kind]
+    rows = [(int(i), x.tolist()) for i, x in zip(r.permutation(600), v, strict=True) if x.any()]
+    if kind == "repeated":
+        rows = [x for x in rows if x[0] != 0 and x[0] != 1] + [(0, [5.0] * 4)] * 30 + [(1, [5.0] * 4), (2, [5.0] * 4)]
+    if kind == "long":
+        rows.append((1000, [1e9] * 6))
+    asked = [x for x in rows if x[0] % 20 == 0] * 2
+    schema = "vec_id long, embedding array<double>"
+    got = collections.defaultdict(list)
+    for x in vptree.nearest(frame(spark, rows, schema), frame(spark, asked, schema), k=5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((-x.score, x.vec_id))
+    assert got == brute_nearest(rows, asked, 5)
+
+
 def test_sharding(spark):
     rows = rows_with_clashes([(i, f"t{i % 5}") for i in range(1003)]) + [(None, None, None, None)] * 3
     docs = frame(spark, rows)
