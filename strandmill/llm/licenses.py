@@ -1,4 +1,4 @@
-"""Licence texts in documents: a positional index of their rarest words, intersected by relative position."""
+"""Licence texts in documents: places of the key phrases' rarest words, verified by relative position."""
 
 from __future__ import annotations
 
@@ -66,19 +66,23 @@ def document_frequency(worded: DataFrame, vocabulary: Sequence[str]) -> dict[str
     return {r["w"]: r["n"] for r in worded.select(present.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def rarest(template: Template, frequency: dict[str, int]) -> list[int]:
-    """Positions of the template's two words of highest inverse document frequency."""
-    return sorted(range(len(template.words)), key=lambda k: (frequency.get(template.words[k], 0), template.words[k], k))[:2]
+def rarest(template: Template, frequency: dict[str, int]) -> int:
+    """Position of the key phrase's word of highest inverse document frequency.
+
+    A place must have the whole key phrase, so looking up any one of its words misses none:
+    the frequencies decide the work, never the result.
+    """
+    return min(template.key_at, key=lambda k: (frequency.get(template.words[k], 0), template.words[k], k))
 
 
-def _places(template: Template, anchors: list[int], found: Column, words: Column) -> Column:
+def _places(template: Template, anchor: int, found: Column, words: Column) -> Column:
     """array<struct<start, share>>: where the wording stands well enough."""
     at = lambda start, k: F.coalesce(F.get(words, start + k) == template.words[k], F.lit(False))
-    first, *others = anchors
-    starts = F.transform(F.filter(found, lambda i: at(i - first, first) & (i >= first)), lambda i: i - first)
+    starts = F.transform(F.filter(found, lambda i: at(i - anchor, anchor) & (i >= anchor)), lambda i: i - anchor)
     stands = lambda k: lambda s: at(s, k)
-    for k in [*others, *template.key_at]:
-        starts = F.filter(starts, stands(k))
+    for k in template.key_at:
+        if k != anchor:
+            starts = F.filter(starts, stands(k))
     n = len(template.words)
     share = lambda s: sum((at(s, k).cast("int") for k in range(1, n)), at(s, 0).cast("int")) / F.lit(float(n))
     scored = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), share(s).alias("share")))
@@ -88,20 +92,21 @@ def _places(template: Template, anchors: list[int], found: Column, words: Column
 def license_scan(docs: DataFrame, base: Sequence[Template] = BASE, wordings: Sequence[Template] = WORDINGS, text_col: str = "text") -> DataFrame:
     """``docs`` with _n_words and _found: array<struct<label, start, share, base>> of every licence wording.
 
-    A first pass counts in how many documents each licence word occurs.  In the second, a document's
-    places of the wordings' rarest words are looked up once; for each wording those whose other
-    rare word stands at the right distance are candidates, its key phrase is verified in place, and
-    the share of all its words that agree there must reach the wording's own.  All of it stays in
-    the row: no shuffle but that of the word counts, whatever a document's length.
+    A wording stands where its whole key phrase does and the share of all its words that agree there
+    reaches the wording's own.  A first pass counts in how many documents each licence word occurs.
+    In the second, a document's places of the key phrases' rarest words are looked up once, the rest
+    of the phrase is verified in place and the share counted; other documents do not change what is
+    found.  All of it stays in the row: no shuffle but that of the word counts, whatever a document's
+    length.
 
     Null and empty texts have no words and find nothing; a place may be found by several wordings;
     repeated rows are scanned alike; other columns pass through.
     """
     worded = docs.withColumn("_words", words_of(F.col(text_col)))
-    vocabulary = sorted({w for t in [*base, *wordings] for w in t.words})
+    vocabulary = sorted({t.words[k] for t in [*base, *wordings] for k in t.key_at})
     frequency = document_frequency(worded, vocabulary)
     anchors = {t: rarest(t, frequency) for t in [*base, *wordings]}
-    asked = sorted({t.words[a[0]] for t, a in anchors.items()})
+    asked = sorted({t.words[a] for t, a in anchors.items()})
     words = F.col("_words")
     marked = worded.withColumn("_at", F.filter(F.transform(words, lambda w, i: F.when(w.isin(asked), i)), lambda i: i.isNotNull()))
     entry = lambda t, b: lambda x: F.struct(

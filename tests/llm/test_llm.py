@@ -101,6 +101,21 @@ def test_licences(spark):
     assert found[5][2] == [("mit", 30_000, False)] and found[6][2] == [("gpl", 1, True)]
 
 
+@pytest.mark.parametrize("others", [[], ["version 2 licensed under the license"] * 9, ["apache"] * 9])
+def test_licences_with_a_word_missing(spark, others):
+    wordings = [t for t in licenses.WORDINGS if len(t.words) >= 8]
+    texts, want = [], []
+    for t in wordings:
+        for k in set(range(len(t.words))) - set(t.key_at):
+            want.append((len(texts), [(t.label, 0, (len(t.words) - 1) / len(t.words))]))
+            texts.append((len(texts), " ".join("other" if i == k else w for i, w in enumerate(t.words))))
+    want.append((len(texts), [("apache-2.0", 1, 7 / 8)]))
+    texts.append((len(texts), "x Licensed under the Apache License, Version 2"))
+    rows = texts + [(1000 + i, x) for i, x in enumerate(others)]
+    out = licenses.license_scan(frame(spark, rows_with_clashes(rows)), base=[], wordings=wordings).where("doc_id < 1000").orderBy("doc_id").collect()
+    assert [(r.doc_id, [(f.label, f.start, f.share) for f in r._found]) for r in out] == want
+
+
 def test_mixture_meets_its_plan(spark):
     rows = [(i, " ".join(words(10 + i % 7, i)), "big" if i % 4 else ("small" if i % 8 else None), 1) for i in range(400)]
     rows += [(None, None, "big", 1), (3, "", "tiny", 1), (3, "", "tiny", 1)]
