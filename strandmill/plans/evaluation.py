@@ -26,11 +26,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_lengths(spark: SparkSession, sf: str, ceiling: int = 5) -> DataFrame:
-    """Predictions with lengths before and after a short ceiling."""
-    df = samples(spark, sf)
-    raw = {f"{d}_raw_len": F.size(d).cast("long") for d in DOMAINS}
-    cut = {f"{d}_len": F.least(F.size(d), F.lit(ceiling)).cast("long") for d in DOMAINS}
-    return df.withColumns({**raw, **cut}).drop(*DOMAINS)
+    """Predictions with lengths before and after a short ceiling; those before count the whole log."""
+    cut = {f"{d}_len": F.least(f"{d}_raw_len", F.lit(ceiling)).cast("long") for d in DOMAINS}
+    return samples(spark, sf).withColumns(cut).drop(*DOMAINS)
 
 
 CUT_LENS = LENS + f""",
@@ -483,7 +481,7 @@ def e32(spark, sf):
 
 @query("e33_group_importance")
 def e33(spark, sf):
-    df = samples(spark, sf).select("sample_id", "label", "logit", *[F.size(d).alias(f"n_{d}") for d in DOMAINS]).where(F.col("label").isNotNull())
+    df = samples(spark, sf).select("sample_id", "label", "logit", *[F.col(f"{d}_raw_len").alias(f"n_{d}") for d in DOMAINS]).where(F.col("label").isNotNull())
 
     def scorer(active):
         parts = {"score": F.col("logit"), "clicks": F.log1p(F.col("n_seq_a")) - 2.0, "purchases": F.log1p(F.col("n_seq_c")) - 2.0}

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators.history import attach_histories, counts_as_of
+from strandmill.plans import catalog
+from strandmill.plans.evaluation import with_lengths
 
 DOMAINS = ["x", "y"]
 
@@ -61,3 +63,15 @@ def test_no_pair_join(log):
     out = attach_histories(im, ev, ["user_id"], DOMAINS, ["ts", "item"], 4, F.col("event_id"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_report_lengths_count_the_whole_log(spark, tmp_path):
+    rows = [(i, 1, "click", i) for i in range(150)] + [(200, 1, "error", 7), (300, 1, "view", 200), (301, 2, "view", 5), (302, 1, "view", 80)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, second long").selectExpr(
+        "event_id", "user_id", "event_type", "cast(10.0 as double) as value", "'{\"k\": 3}' as props",
+        "cast(timestamp_seconds(1704067200 + second) as timestamp_ntz) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    cols = ["seq_a_len", "seq_a_raw_len", "seq_d_len", "seq_d_raw_len"]
+    got = {r.sample_id: tuple(r[c] for c in cols) for r in with_lengths(spark, str(tmp_path)).collect()}
+    assert got == {300: (5, 150, 1, 1), 301: (0, 0, 0, 0), 302: (5, 80, 1, 1)}
+    report = {r.domain: r.asDict() for r in catalog.QUERIES["e22_sequence_lengths"](spark, str(tmp_path)).collect()}
+    assert 150 in report["seq_a"].values()
