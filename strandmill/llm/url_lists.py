@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.tables import cut
 
-#: A longer host is no valid host name; such URLs match no entry.
-HOST_CHARS = 253
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host of an absolute URL, without user and port; null if there is none."""
     host = F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    return F.when((host != "") & (F.length(host) <= HOST_CHARS), host)
+    return F.when(host != "", host)
 
 
-def keys_of(url: Column, depth: int) -> Column:
-    """Patterns that could name a URL: its host, every parent domain, the host with its first path parts."""
+def keys_of(url: Column, depth: int, levels: Sequence[int]) -> Column:
+    """Patterns that could name a URL: its last labels, as many as ``levels`` says, and the host with its first path parts."""
     host = host_of(url)
     labels = F.split(host, "\\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tried = F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n <= F.size(labels))
+    domains = F.transform(tried, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.slice(F.split(path, "/", depth + 1), 1, depth)
     paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")))
@@ -53,13 +53,17 @@ def judge_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url"
     of all captures is therefore a few hundred rows in the ordered pass, and plain join rows, which
     Spark splits, in the two joins.
 
+    Of a host's parent domains only those with as many labels as some listed domain are tried, so a
+    host of any length costs no more than its text and the list's levels.
+
     A null URL or day, or a URL without host, gives "none"; repeated captures are judged alike; an
     empty list gives "none" throughout.
     """
     spans = cut(intervals(changes))
     depth = spans.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
+    levels = sorted(r["n"] for r in spans.where(~F.col("pattern").contains("/")).select(F.size(F.split("pattern", "\\.")).alias("n")).distinct().collect())
     asked = cut(captures.select(F.col(url_col).alias("_u"), F.col(day_col).alias("_d")).dropna().distinct()
-                .select("_u", "_d", F.explode(keys_of(F.col("_u"), depth - 1)).alias("pattern")))
+                .select("_u", "_d", F.explode(keys_of(F.col("_u"), depth - 1, levels)).alias("pattern")))
     none = lambda kind: F.lit(None).cast(kind)
     points = asked.select("pattern", F.col("_d").alias("day"), none("struct<action:string,valid_from:date,valid_to:date>").alias("entry")).distinct()
     listed = spans.select("pattern", F.col("valid_from").alias("day"), F.struct("action", "valid_from", "valid_to").alias("entry"))

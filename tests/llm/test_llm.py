@@ -148,6 +148,16 @@ def test_url_lists(spark):
     assert url_lists.judge_captures(pages, changes.limit(0)).where("_verdict = 'none'").count() == 8
 
 
+def test_url_lists_judge_long_hosts(spark):
+    changes = spark.sql("SELECT * FROM VALUES ('a.org', 'block', DATE '2024-01-10'), ('b.a.org/en', 'allow', DATE '2024-01-10') AS t(pattern, action, day)")
+    urls = [(1, "http://" + "x" * 300 + ".a.org/en"), (2, "http://" + "y." * 5000 + "A.org"), (3, "http://" + "z" * 300 + "a.org/"), (4, "http://b.a.org/en/1"), (5, "http://org/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("day", F.lit("2024-01-11").cast("date"))
+    got = sorted((r.page_id, r._verdict, r._pattern) for r in url_lists.judge_captures(pages, changes).collect())
+    assert got == [(1, "block", "a.org"), (2, "block", "a.org"), (3, "none", None), (4, "allow", "b.a.org/en"), (5, "none", None)]
+    hosts = {r.pattern for r in queries.list_changes(pages.select("page_id", "url")).collect()}
+    assert any(len(p) > 253 for p in hosts)
+
+
 def brute_hits(text, items):
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
     w, hit, named = cut(text), set(), set()
