@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, licenses, mixing, near_dups, quality, sharding, tokens, toxicity, url_lists, vptree
+from strandmill.llm import decontaminate, dialogue, licenses, mixing, near_dups, quality, sharding, spelling, threshold, tokens, toxicity, url_lists, vptree
 from strandmill.llm.tables import cut, table
 
 ENTROPY, REPEATS, SHARDS = 0.9, 2.0, 16
@@ -116,9 +116,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_exact_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer scores of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return threshold.top_scores(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024.0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return dialogue.repair_conversations(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms that the words of all documents vary."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan, op2_source_mixture, op3_url_lists, op4_near_duplicates, op5_toxicity, op6_nearest_vectors, op7_token_counts,
-    op8_decontamination, op9_quality, op10_sharding)}
+    op8_decontamination, op9_quality, op10_sharding, op11_exact_top_scores, op12_conversation_repair, op13_spelling_variants)}
 
 #: Lower case of A-Z alone, and the words between all other ASCII characters.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -216,6 +232,98 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM d LEFT JOIN w USING (r) LEFT JOIN k USING (r)"""
 
+_TOP_SQL = """WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+#: One row: what each byte adds to a crc32 (polynomial in reversed bits).
+_CRC_TABLE = """SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of the UTF-8 of a text below U+0800, with a column ``t`` of the table at hand."""
+    code = "unicode(ch)"
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 + ({code} >> 6), 128 + ({code} & 63)] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {utf8}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _edit(to: int, source: str, initial: str) -> str:
+    """The entry that keeps or reroles the row after the entry ``source``."""
+    keep = f"WHEN left(role, 1) = '{initial}' THEN {{'c': {source}.c + late, 'a': {source}.a || 'K', 't': {source}.t || chr(10) || role || ':' || text}}"
+    rerole = "" if initial == "s" else f"ELSE {{'c': {source}.c + 1 + late, 'a': {source}.a || 'R', 't': {source}.t || chr(10) || '{dialogue.ROLES.get(to)}:' || text}}"
+    return f"CASE WHEN gone OR {source} IS NULL THEN NULL {keep} {rerole} END"
+
+
+def _repair_sql() -> str:
+    drop = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + 2, 'a': {s}.a || 'D', 't': {s}.t}} END"
+    insert = lambda s, role: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + 5, 'a': {s}.a || 'I', 't': {s}.t || chr(10) || '{role}:'}} END"
+    entry = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE tab AS ({_CRC_TABLE}),
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations, tab),
+live AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit)),
+k AS (SELECT *, md5(length(role) || ':' || role || text) AS key, rtrim(text, {blanks}) AS trimmed FROM live),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS i FROM k),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM o),
+r AS (
+  SELECT *, trimmed = '' OR again AS gone, CASE WHEN trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS late FROM n),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (trimmed = '') AS blank,
+    count(*) FILTER (again AND trimmed <> '') AS duplicate, count(*) FILTER (late > 0) AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM r GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {entry} AS s1, {{'c': 5::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS s2,
+    {{'c': 10::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, n0, n1, m2, {least('n3', insert('m2', 'assistant'))} FROM (
+    SELECT *, {least('n2', insert('n0', 'user'), insert('n1', 'user'), insert('n3', 'user'))} AS m2 FROM (
+      SELECT dp.conv_id, r.i, {drop('s0')} AS n0, {least(drop('s1'), _edit(1, 's0', 's'))} AS n1,
+        {least(drop('s2'), _edit(2, 's0', 'u'), _edit(2, 's1', 'u'), _edit(2, 's3', 'u'))} AS n2, {least(drop('s3'), _edit(3, 's2', 'a'))} AS n3
+      FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))),
+best AS (
+  SELECT dp.conv_id, {least('s0', 's3')} AS e FROM dp JOIN counts ON dp.conv_id IS NOT DISTINCT FROM counts.conv_id AND dp.i = counts.rows)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+_SPELLING_SQL = f"""WITH RECURSIVE tab AS ({_CRC_TABLE}),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per_doc, tab),
+noised AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM noised WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM cut a JOIN w ON w.word = a.rest
+  UNION SELECT w.word, a.word, a.n FROM cut a JOIN w ON w.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, list_min(list({{'m': -m, 'o': other}})) AS b FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * w.n THEN b.o END AS form, CASE WHEN -b.m >= 10 * w.n THEN -b.m END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS beyond FROM formed
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN formed f ON f.word = walk.beyond)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk ON walk.word = f.word AND walk.beyond IS NULL"""
+
 SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(), "op2_source_mixture": _MIX_SQL, "op3_url_lists": _URL_SQL, "op6_nearest_vectors": _NEAREST_SQL,
-    "op8_decontamination": _BENCH_SQL}
+    "op8_decontamination": _BENCH_SQL, "op11_exact_top_scores": _TOP_SQL, "op12_conversation_repair": _repair_sql(),
+    "op13_spelling_variants": _SPELLING_SQL}
