@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.tables import cut
+from strandmill.llm.tables import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,21 +27,25 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
     ``edges`` has long columns a and b.  Nulls and loops are left out; repeated edges count once; no
-    edges give no rows.  Each round is cut off in the shared folder; a path of n edges needs about
-    log n rounds.
+    edges give no rows.  Each round is a table in the shared folder, dropped after the next; a path of n
+    edges needs about log n rounds.
     """
-    edges = cut(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = None
     while True:
-        edges = cut(_stars(_stars(edges, True), False))
+        edges, last = scratch.keep(_stars(_stars(edges, True), False)), edges
+        scratch.drop(last)
         now = sign(edges)
         if now == before or not now[0]:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    scratch.drop(edges)
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,18 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
-
-    Only where no folder is set (tests on one machine) one is made.
-    """
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where none is set (tests on one machine) one is made."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="strandmill-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from there."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written in the shared folder, to be dropped as soon as the tables made from them are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.held = spark, f"{_shared(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.held)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.held[id(df)][1])
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.held[id(df)] = (df, "")
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow side for broadcast if its counted rows are within the bound; else it shuffles."""
     return F.broadcast(df) if rows <= most else df

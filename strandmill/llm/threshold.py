@@ -95,10 +95,10 @@ def _entries(base: DataFrame, asked: DataFrame, pick, lists: int, shards: int, b
     return cells(left).cogroup(cells(right)).applyInArrow(_gather(pick), ENTRIES)
 
 
-def _exact(pairs: DataFrame, base: DataFrame, asked: DataFrame) -> DataFrame:
-    """``pairs`` (q, row) with ids, query_id and the whole score."""
+def _exact(pairs: DataFrame, base: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """``pairs`` (q, row) with ids, query_id and the whole score, and with ``more`` of their columns."""
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
-    return pairs.join(base, "row").join(asked, "q").select("q", "query_id", "ids", product.alias("score"))
+    return pairs.join(base, "row").join(asked, "q").select("q", "query_id", "ids", product.alias("score"), *more)
 
 
 def _ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -158,5 +158,5 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float
     possible = cut(seen.where(lists * F.col("score") + unseen >= lists * F.col("cutoff")).select("q", "row", "cutoff", F.when(F.col("n") == lists, F.col("score")).alias("score")))
     whole = possible.where("score is not null and score >= cutoff").join(base.select("row", "ids"), "row").join(
         probes.select("q", "query_id"), "q").select("q", "query_id", "ids", "score")
-    open_ = _exact(possible.where("score is null").select("q", "row"), base, probes)
+    open_ = _exact(possible.where("score is null").select("q", "row", "cutoff"), base, probes, "cutoff").where("score >= cutoff").drop("cutoff")
     return _ranked(whole.unionByName(open_), "query_id", k).select("query_id", "rank", "vec_id", "score")
