@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
 from strandmill.operators.evaluate import percentile_names
-from strandmill.operators.ranking import TASK_ROWS, exact_quantiles, running_totals
+from strandmill.operators.ranking import TASK_ROWS, exact_quantiles, running_totals, same_keys
+from strandmill.session import cut
 
 
 def dense_column_stats(df: DataFrame, column: str) -> DataFrame:
@@ -109,19 +110,53 @@ def best_so_far(series: DataFrame, keys: Sequence[str], step: str, score: str, p
         "stopped", (F.max("plateau").over(upto) >= patience)).drop("_i", "_up")
 
 
-def early_stop(series: DataFrame, keys: Sequence[str], step: str, score: str, patience: int, delta: float) -> DataFrame:
-    """Early stopping with a minimum improvement: the best is path dependent, so fold the series."""
-    ordered = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(step), F.col(score).cast("double").alias("v")))).alias("_s"))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (x["v"] > acc["best"] + delta)
-        n = F.when(better, F.lit(0)).otherwise(acc["n"] + 1)
-        return F.struct(F.when(better, x["v"]).otherwise(acc["best"]).alias("best"), n.alias("n"),
-                        (acc["stop"] | (n >= patience)).alias("stop"))
+def early_stop(
+    series: DataFrame, keys: Sequence[str], step: str, score: str, patience: int, delta: float, task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """Early stopping with a minimum improvement: best, plateau and stopped of every series.
 
-    return ordered.select(*keys, F.aggregate("_s", start, fold).alias("_r")).select(
-        *keys, F.col("_r.best").alias("best"), F.col("_r.n").alias("plateau"), F.col("_r.stop").alias("stopped"))
+    A step improves if it beats the last improvement by more than ``delta``; the first known score improves.  Only
+    records (scores above all before) can improve, so the records of a series are found by running maxima; each points
+    to the first record above its score + delta, an as-of pass in the order of scores; and what the first record
+    reaches is found by doubling the pointers.  No series is held in one row or one task.  Null and NaN scores
+    are steps that improve nothing; without a known score best is null, plateau 0.  Null keys are a series.
+    """
+    value = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
+    rows = series.select(*keys, F.col(step).alias("_step"), value.alias("_v"))
+    counted = running_totals(rows, keys, [F.col("_step")], {"_i": F.lit(1).cast("long")}, task_rows)
+    record = running_totals(counted, keys, [F.col("_i")], {}, task_rows, peaks={"_top": F.col("_v")}, inclusive=False)
+    record = cut(record.where(F.col("_v").isNotNull() & (F.col("_top").isNull() | (F.col("_v") > F.col("_top")))).select(*keys, "_i", "_v", F.col("_top").isNull().alias("_first")))
+    length = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+    # Read from the highest score down: the last record passed before a probe is the least one above it.
+    probes = record.select(*keys, (F.col("_v") + delta).alias("_level"), F.lit(1).alias("_probe"), "_i", F.lit(None).cast("long").alias("_next"))
+    marks = record.select(*keys, F.col("_v").alias("_level"), F.lit(2).alias("_probe"), "_i", F.col("_i").alias("_next"))
+    line = running_totals(marks.unionByName(probes), keys, [-F.col("_level"), F.col("_probe"), F.col("_i")], {}, task_rows, peaks={"_to": -F.col("_next")})
+    jump = cut(line.where("_probe = 1").select(*keys, "_i", (-F.col("_to")).alias("_next")))
+    known = [f"_k{i}" for i in range(len(keys))]
+
+    def renamed(df: DataFrame, *names: str) -> DataFrame:
+        return df.toDF(*known, *names)
+
+    path = cut(record.where("_first").select(*keys, "_i"))
+    leap, before = jump.where("_next is not null"), 0
+    while True:  # as many rounds as the longest path has binary digits
+        beyond = path.join(renamed(leap, "_from", "_to"), same_keys(keys, known) & (F.col("_i") == F.col("_from"))).select(*keys, F.col("_to").alias("_i"))
+        path = cut(path.unionByName(beyond).distinct())
+        now = path.count()
+        if now == before:
+            break
+        before = now
+        leap = cut(leap.join(renamed(leap, "_from", "_to"), same_keys(keys, known) & (F.col("_next") == F.col("_from"))).select(*keys, "_i", F.col("_to").alias("_next")))
+
+    on_path = path.join(renamed(jump, "_from", "_to"), same_keys(keys, known) & (F.col("_i") == F.col("_from"))).select(*keys, "_i", F.col("_to").alias("_next"))
+    on_path = on_path.join(renamed(record.select(*keys, "_i", "_v"), "_from", "_v"), same_keys(keys, known) & (F.col("_i") == F.col("_from"))).select(*keys, "_i", "_next", "_v")
+    wait = F.max(F.col("_next") - F.col("_i") - 1)
+    ends = on_path.groupBy(*keys).agg(F.max("_v").alias("_best"), F.max("_i").alias("_last"), wait.alias("_wait"))
+    out = length.join(renamed(ends, "_best", "_last", "_wait"), same_keys(keys, known), "left")
+    plateau = F.coalesce(F.col("_n") - F.col("_last"), F.lit(0))
+    return out.select(*keys, F.col("_best").alias("best"), plateau.cast("int").alias("plateau"),
+                      (F.greatest(plateau, F.coalesce("_wait", F.lit(0))) >= patience).alias("stopped"))
 
 
 def incremental_auc(series: DataFrame, keys: Sequence[str], step: str, auc: str) -> DataFrame:

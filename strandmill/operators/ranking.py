@@ -59,37 +59,44 @@ def running_totals(
     totals: Mapping[str, Column],
     task_rows: int = TASK_ROWS,
     sizes: tuple[int, int] | None = None,
+    peaks: Mapping[str, Column] | None = None,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Inclusive running sums per key in the given total order.
+    """Running sums (``totals``) and running maxima (``peaks``, nulls left out) per key in the given total order.
 
-    ``sizes`` are known upper bounds of (rows, rows of the largest group), which save the counting
-    job.  The slices cut hot values too, as long as the order tuple tells their rows apart.
+    The row itself counts, unless ``inclusive`` is false.  ``sizes`` are known upper bounds of (rows, rows of the
+    largest group), which save the counting job.  The slices cut hot values too, as long as the order tuple tells
+    their rows apart.
     """
     n, largest = sizes if sizes is not None else group_sizes(df, keys)
     part = Window.partitionBy(*_keys(keys))
+    last = Window.currentRow if inclusive else -1
+    made = {name: (F.sum, col) for name, col in totals.items()} | {name: (F.max, col) for name, col in (peaks or {}).items()}
     if largest <= task_rows:
-        w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({name: F.sum(col).over(w) for name, col in totals.items()})
+        w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumns({name: agg(col).over(w) for name, (agg, col) in made.items()})
 
     slices = 2 * (n // max(task_rows, 1) + 1)
-    work = _sliced(df.withColumns({f"_v_{name}": col for name, col in totals.items()}), keys, order, slices)
-    per_slice = work.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
+    work = _sliced(df.withColumns({f"_v_{name}": col for name, (_, col) in made.items()}), keys, order, slices)
+    per_slice = work.groupBy(*keys, "_slice").agg(*[agg(f"_v_{name}").alias(f"_s_{name}") for name, (agg, _) in made.items()])
     before = part.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # A slice begins inside one group at most, so only that group of it has an offset.
     known = [f"_k{i}" for i in range(len(keys))]
     offsets = per_slice.select(
         *[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)], F.col("_slice").alias("_at"),
         F.count(F.lit(1)).over(before).alias("_earlier"),
-        *[F.sum(f"_s_{name}").over(before).alias(f"_o_{name}") for name in totals],
+        *[agg(f"_s_{name}").over(before).alias(f"_o_{name}") for name, (agg, _) in made.items()],
     ).where("_earlier > 0").drop("_earlier")
     if slices <= BROADCAST_SLICES:
         offsets = F.broadcast(offsets)
     joined = work.join(offsets, (F.col("_slice") == F.col("_at")) & same_keys(keys, known), "left")
-    inside = Window.partitionBy(*_keys(keys), F.col("_slice")).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    sums = {name: (F.sum(f"_v_{name}").over(inside), F.col(f"_o_{name}")) for name in totals}
-    out = joined.withColumns({name: F.coalesce(own + earlier, own, earlier) for name, (own, earlier) in sums.items()})
-    return out.drop("_slice", "_at", *known, *[f"_{x}_{name}" for x in "vo" for name in totals])
+    inside = Window.partitionBy(*_keys(keys), F.col("_slice")).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    values = {}
+    for name, (agg, _) in made.items():
+        own, earlier = agg(f"_v_{name}").over(inside), F.col(f"_o_{name}")
+        values[name] = F.coalesce(own + earlier, own, earlier) if agg is F.sum else F.greatest(own, earlier)
+    out = joined.withColumns(values)
+    return out.drop("_slice", "_at", *known, *[f"_{x}_{name}" for x in "vo" for name in made])
 
 
 def global_rank(

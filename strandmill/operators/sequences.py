@@ -101,10 +101,14 @@ def newest_first(seq: Column, ceiling: int) -> Column:
 
 
 def truncate(df: DataFrame, ceilings: Mapping[str, int]) -> DataFrame:
-    """Sort and cut each domain, recording the length before the cut."""
+    """Sort and cut each domain, recording the length before the cut; a ``{domain}_raw_len`` already there stays.
+
+    The sample table may hold the newest events alone; its own lengths count the whole log.
+    """
     out: dict[str, Column] = {}
     for domain, ceiling in ceilings.items():
-        out[f"{domain}_raw_len"] = F.size(domain).cast("long")
+        if f"{domain}_raw_len" not in df.columns:
+            out[f"{domain}_raw_len"] = F.size(domain).cast("long")
         out[domain] = newest_first(F.col(domain), ceiling)
         out[f"{domain}_len"] = F.least(F.size(domain).cast("long"), F.lit(ceiling).cast("long"))
     return df.withColumns(out)
@@ -321,12 +325,19 @@ def target_evidence(
     A non-positive item or an empty history leaves all eight at 0; a known history without a match
     sets only ``gap_missing``.  The last action is last by position, not by time.
     """
-    usable = (item_id > 0) & (F.size(seq) > 0)
     hits = F.filter(seq, lambda e: (e[field] == target) & (target > 0))
     n = F.size(hits)
-    since = last_gap(hits, imp_ts)
-    capped = S.clip(since, hi=max_gap)
     action = F.get(hits, F.greatest(n - 1, F.lit(0)))["action"]
+    usable = (item_id > 0) & (F.size(seq) > 0)
+    return evidence_features(n, last_gap(hits, imp_ts), action, usable, thresholds, max_length, max_gap, missing_value, max_action)
+
+
+def evidence_features(
+    n: Column, since: Column, action: Column, usable: Column, thresholds: Sequence[int] = (3600, 86400, 604800),
+    max_length: int = MAX_LENGTH, max_gap: int = YEAR, missing_value: float = 1.0, max_action: int = 32,
+) -> dict[str, Column]:
+    """The eight statistics from the number of matches, the seconds since the last and its action."""
+    capped = S.clip(since, hi=max_gap)
 
     def guarded(value: Column) -> Column:
         return F.when(usable, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -366,6 +377,11 @@ def temporal_velocity(
         gaps = F.transform(hits, lambda e: gap(imp_ts, e["ts"]))
         counts[f"_rec_{d}"] = F.size(F.filter(gaps, lambda g: g <= VELOCITY_WINDOW)).cast("double")
         counts[f"_base_{d}"] = F.size(F.filter(gaps, lambda g: g <= VELOCITY_BASE)).cast("double")
+    return counts, velocity_features(domains, ad_domain)
+
+
+def velocity_features(domains: Sequence[str], ad_domain: str = "seq_c") -> dict[str, Column]:
+    """Velocity of the target category from ``_rec_{domain}`` (3 days) and ``_base_{domain}`` (30 days)."""
     rec = {d: F.col(f"_rec_{d}") for d in domains}
     out = {
         f"td_cat_velocity_{d}": F.when(F.col(f"_base_{d}") > 0, F.log1p(rec[d]) / F.log1p(F.col(f"_base_{d}")))
@@ -377,7 +393,7 @@ def temporal_velocity(
     out["td_cross_domain_organic"] = F.log1p(sum((active[d] for d in organic), F.lit(0.0))) / math.log1p(3.0)
     out["td_cross_domain_ratio"] = (
         F.log1p(sum((rec[d] for d in organic), F.lit(0.0))) / F.log1p(rec[ad_domain] + 1.0))
-    return counts, out
+    return out
 
 
 def temporal_fatigue(seq: Column, imp_ts: Column, advertiser: Column) -> tuple[dict[str, Column], dict[str, Column]]:
@@ -394,17 +410,22 @@ def temporal_fatigue(seq: Column, imp_ts: Column, advertiser: Column) -> tuple[d
             return (g <= hi) if lo is None else (g > lo) & (g <= hi)
         return F.size(F.filter("_gaps", test)).cast("double")
 
-    recent, base = within(None, FATIGUE_RECENT), within(None, FATIGUE_BASE)
-    near, mid = within(None, VELOCITY_WINDOW), within(VELOCITY_WINDOW, FATIGUE_BASE)
+    return scratch, fatigue_features(
+        n, within(None, FATIGUE_RECENT), within(None, FATIGUE_BASE), within(None, VELOCITY_WINDOW),
+        within(VELOCITY_WINDOW, FATIGUE_BASE), F.array_max("_gaps"))
+
+
+def fatigue_features(n: Column, recent: Column, base: Column, near: Column, mid: Column, oldest: Column) -> dict[str, Column]:
+    """The exposure curve from counts in windows and the seconds since the first exposure."""
     near_days, mid_days = VELOCITY_WINDOW / 86400.0, (FATIGUE_BASE - VELOCITY_WINDOW) / 86400.0
     accel = S.ratio(near / near_days, mid / mid_days)
-    return scratch, {
+    return {
         "td_adv_n_exposures_log": log_share(n, MAX_EXPOSURES),
         "td_adv_recent_exposures": log_share(recent, MAX_RECENT_EXPOSURES),
         "td_adv_fatigue_ratio": F.least(S.ratio(recent, base), F.lit(1.0)),
         "td_adv_exposure_accel": F.when(mid > 0, F.least(F.log1p(accel) / math.log1p(10), F.lit(1.0)))
         .when(near > 0, 1.0).otherwise(0.0),
-        "td_adv_days_since_first": F.coalesce(log_share(F.array_max("_gaps"), YEAR), F.lit(0.0)),
+        "td_adv_days_since_first": F.coalesce(log_share(oldest, YEAR), F.lit(0.0)),
     }
 
 
@@ -418,12 +439,17 @@ def temporal_context(
     known = [F.transform(F.filter(F.col(d), lambda e: e["category"] > 0), lambda e: e["category"]) for d in domains]
     every = F.concat(*known)
     hits = F.size(F.filter(every, lambda c: (c == category) & (category > 0))).cast("double")
+    return context_features(F.coalesce(seen, F.lit(False)), F.size(day), F.size(F.array_distinct(F.transform(day, lambda e: e["advertiser"]))),
+                            hits, F.size(every).cast("double"))
+
+
+def context_features(seen: Column, ad_load: Column, advertisers: Column, hits: Column, every: Column) -> dict[str, Column]:
+    """First exposure, ad load and distinct advertisers of a day, share of the target category."""
     return {
-        "td_first_exposure_flag": (~F.coalesce(seen, F.lit(False))).cast("double"),
-        "td_ad_load_24h_log": log_share(F.size(day), MAX_AD_LOAD),
-        "td_n_advertisers_24h_log": log_share(
-            F.size(F.array_distinct(F.transform(day, lambda e: e["advertiser"]))), MAX_ADVERTISERS),
-        "td_category_share": hits / F.greatest(F.size(every).cast("double"), F.lit(1.0)),
+        "td_first_exposure_flag": (~seen).cast("double"),
+        "td_ad_load_24h_log": log_share(ad_load, MAX_AD_LOAD),
+        "td_n_advertisers_24h_log": log_share(advertisers, MAX_ADVERTISERS),
+        "td_category_share": hits / F.greatest(every, F.lit(1.0)),
     }
 
 

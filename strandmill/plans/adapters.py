@@ -85,11 +85,8 @@ def with_predictions(df: DataFrame) -> DataFrame:
     })
 
 
-def samples_from_orders(spark: SparkSession, sf_dir: str, ceiling: int = ORDER_CEILING) -> DataFrame:
-    """One sample per order; the history is the customer's line items of earlier orders.
-
-    Order dates have day grain, so equal timestamps are common; whole rows break the ties.
-    """
+def order_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(orders as impressions, line items as events); whole rows break the ties of the day-grained times."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("user_id"),
         seconds("o_orderdate").alias("ts"))
@@ -106,5 +103,14 @@ def samples_from_orders(spark: SparkSession, sf_dir: str, ceiling: int = ORDER_C
         F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                  "l_shipdate").alias("whole_row"))
+    return orders, events
+
+
+def samples_from_orders(spark: SparkSession, sf_dir: str, ceiling: int = ORDER_CEILING) -> DataFrame:
+    """One sample per order; the history is the customer's line items of earlier orders.
+
+    Order dates have day grain, so equal timestamps are common; whole rows break the ties.
+    """
+    orders, events = order_log(spark, sf_dir)
     return attach_histories(
         orders, events, ["user_id"], ["seq_a"], PAYLOAD, ceiling, tie=F.col("whole_row"))

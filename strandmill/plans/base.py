@@ -73,12 +73,22 @@ hist AS (
     least(raw_len, 64) - rev AS pos, greatest(imp_ts - ts, 0) AS gap FROM hist0 WHERE rev <= 64),
 doms AS (SELECT unnest(['seq_a', 'seq_b', 'seq_c', 'seq_d']) AS dom)"""
 
-LENS = HIST + """,
+#: The same history with every earlier event.
+FULL_HIST = IMP + """,
+hist AS (
+  SELECT i.sample_id, i.ts AS imp_ts, e.dom, e.ts, e.action, e.item, e.category, e.campaign, e.advertiser, i.ts - e.ts AS gap,
+    row_number() OVER (PARTITION BY i.sample_id, e.dom ORDER BY e.ts, e.event_id) - 1 AS pos
+  FROM imp i JOIN dev e ON e.user_id = i.user_id AND e.ts < i.ts),
+doms AS (SELECT unnest(['seq_a', 'seq_b', 'seq_c', 'seq_d']) AS dom)"""
+
+_LENGTHS = """,
 lens AS (
   SELECT i.sample_id,
     count(h.sample_id) FILTER (dom = 'seq_a') AS seq_a_len, count(h.sample_id) FILTER (dom = 'seq_b') AS seq_b_len,
     count(h.sample_id) FILTER (dom = 'seq_c') AS seq_c_len, count(h.sample_id) FILTER (dom = 'seq_d') AS seq_d_len
   FROM imp i LEFT JOIN hist h USING (sample_id) GROUP BY i.sample_id)"""
+LENS = HIST + _LENGTHS
+FULL_LENS = FULL_HIST + _LENGTHS
 
 ORDERS_HIST = """ohist0 AS (
   SELECT o.o_orderkey AS sample_id, floor(epoch(p.o_orderdate))::BIGINT AS ts,
@@ -94,6 +104,7 @@ ORDERS_HIST = """ohist0 AS (
 ohist AS (
   SELECT sample_id, ts, action, item, category, campaign, advertiser, raw_len, least(raw_len, 64) - rev AS pos
   FROM ohist0 WHERE rev <= 64)"""
+FULL_ORDERS_HIST = ORDERS_HIST.replace("least(raw_len, 64) - rev", "raw_len - rev").replace(" WHERE rev <= 64", "")
 
 SPLIT = """,
 cut AS (SELECT CAST(floor(quantile_cont(ts, 0.8)) AS BIGINT) AS cutoff FROM imp)"""

@@ -14,7 +14,7 @@ from strandmill.operators import vectors as V
 from strandmill.operators.importance import group_importance
 from strandmill.operators.ranking import exact_quantiles, global_rank
 from strandmill.plans.adapters import DOMAINS, event_log, table
-from strandmill.plans.base import EV, HIST, IMP, LENS, SPLIT, query, samples
+from strandmill.plans.base import EV, FULL_LENS, HIST, IMP, LENS, SPLIT, query, samples
 from strandmill.sources.samples import scan, with_flat_index
 
 LEN_COLS = [f"{d}_len" for d in DOMAINS]
@@ -31,7 +31,7 @@ def with_lengths(spark: SparkSession, sf: str, ceiling: int = 5) -> DataFrame:
     return samples(spark, sf).withColumns(cut).drop(*DOMAINS)
 
 
-CUT_LENS = LENS + f""",
+CUT_LENS = FULL_LENS + f""",
 pl AS (SELECT i.*, {', '.join(f'l.{d}_len AS {d}_raw_len, least(l.{d}_len, 5) AS {d}_len' for d in DOMAINS)} FROM imp i JOIN lens l USING (sample_id))"""
 
 

@@ -17,9 +17,11 @@ from strandmill.operators import sequences as Q
 from strandmill.operators import vectors as V
 from strandmill.operators.history import counts_as_of
 from strandmill.operators.splits import time_split
-from strandmill.plans.adapters import DOMAINS, domain_events, event_log, impressions, samples_from_events, table
-from strandmill.plans.base import EV, HIST, IMP, LENS, ORDERS_HIST, SPLIT, order_samples, query, samples
-from strandmill.plans.rows import FIRST_SEEN_SQL, cleaned, with_targets
+from strandmill.operators.target_history import distinct_in_window, first_seen_from_log
+from strandmill.plans.adapters import DOMAINS, domain_events, event_log, impressions, order_log, samples_from_events, table
+from strandmill.plans.base import (
+    EV, FULL_HIST, FULL_ORDERS_HIST, HIST, IMP, LENS, ORDERS_HIST, SPLIT, order_samples, query, samples)
+from strandmill.plans.rows import FIRST_SEEN_SQL, cleaned, past_of, targeted
 from strandmill.session import shared_dir
 
 LOG4000 = "ln(4001.0)"
@@ -81,10 +83,11 @@ def a3(spark, sf):
     return fits.frequent_values(fits.category_counts(train_rows(spark, sf, "item_id", "category"), {"item_id": 200, "category": 11}, {}), 17)
 
 
-@query("a4_first_seen_mapping", f"""WITH {ORDERS_HIST} SELECT item, arg_min(campaign, sample_id * 1000 + pos) AS campaign,
-  arg_min(advertiser, sample_id * 1000 + pos) AS advertiser FROM ohist WHERE item > 0 GROUP BY item""")
+@query("a4_first_seen_mapping", f"""WITH {FULL_ORDERS_HIST} SELECT item, arg_min(campaign, sample_id * 1000000 + pos) AS campaign,
+  arg_min(advertiser, sample_id * 1000000 + pos) AS advertiser FROM ohist WHERE item > 0 GROUP BY item""")
 def a4(spark, sf):
-    return fits.first_seen(order_samples(spark, sf), "seq_a", "item", ["campaign", "advertiser"], "sample_id")
+    orders, lines = order_log(spark, sf)
+    return first_seen_from_log(orders, lines, ["user_id"], "item", ["campaign", "advertiser"], "sample_id", "whole_row")
 
 
 WEIGHT = IMP + SPLIT + """,
@@ -196,7 +199,7 @@ def q7(spark, sf):
 TOP10 = f"""WITH {ORDERS_HIST}, t AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ts DESC, pos) - 1 AS p FROM ohist)"""
 
 
-@query("q8_seq_truncate", TOP10 + " SELECT sample_id, p::INTEGER AS new_pos, item, ts AS ets, least(raw_len, 64) AS raw_len FROM t WHERE p < 10")
+@query("q8_seq_truncate", TOP10 + " SELECT sample_id, p::INTEGER AS new_pos, item, ts AS ets, raw_len FROM t WHERE p < 10")
 def q8(spark, sf):
     cut = Q.truncate(order_samples(spark, sf), {"seq_a": 10})
     rows = cut.select("sample_id", F.posexplode("seq_a").alias("new_pos", "e"), F.col("seq_a_raw_len").alias("raw_len"))
@@ -264,7 +267,8 @@ def q12(spark, sf):
 
 
 KINDS = {"item": "item_id", "campaign": "t_campaign", "advertiser": "t_advertiser"}
-TARGETS = HIST + SPLIT + FIRST_SEEN_SQL + """,
+KIND_OF = {k: (k, t) for k, t in KINDS.items()} | {"category": ("category", "category")}
+TARGETS = FULL_HIST + SPLIT + FIRST_SEEN_SQL + """,
 tgt AS (SELECT i.*, coalesce(s.campaign, 0) AS t_campaign, coalesce(s.advertiser, 0) AS t_advertiser FROM imp i LEFT JOIN seen s ON s.item = i.item_id)"""
 
 
@@ -280,18 +284,23 @@ SELECT sample_id, kind, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS flag, l
   CASE WHEN gap <= 3600 THEN 1.0 ELSE 0.0 END::DOUBLE AS recent_1, CASE WHEN gap <= 86400 THEN 1.0 ELSE 0.0 END::DOUBLE AS recent_2,
   CASE WHEN gap <= 604800 THEN 1.0 ELSE 0.0 END::DOUBLE AS recent_3, CASE WHEN n > 0 THEN least(act, 32) / 32.0 ELSE 0.0 END::DOUBLE AS last_action FROM k""")
 def q13(spark, sf):
-    df, seq = with_targets(spark, sf), F.col("seq_c")
-    parts = [F.struct(F.lit(k).alias("kind"), *[c.alias(n) for n, c in Q.target_evidence(
-        seq, F.col("ts"), F.col(t), k, F.col("item_id")).items()]) for k, t in KINDS.items()]
-    return df.select("sample_id", F.inline(F.array(*parts)))
+    imp, events = targeted(spark, sf)
+    ads = events.where("domain = 'seq_c'")
+    past = past_of(imp, ads, {k: KIND_OF[k] for k in KINDS}, {}, ["seq_c"], payload=["action"])
+    whole = counts_as_of(imp, ads, ["user_id"], {"now": F.col("ts")}, ["seq_c"]).select("sample_id", F.col("now_seq_c").alias("n_all"))
+    every = imp.join(whole, "sample_id").select("sample_id", "ts", "item_id", "n_all", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))
+    out = Q.evidence_features(
+        F.coalesce("now_seq_c", F.lit(0)), F.col("ts") - F.col("last_seq_c.ts"), F.col("last_seq_c.action"), (F.col("item_id") > 0) & (F.col("n_all") > 0))
+    return every.join(past, ["sample_id", "kind"], "left").select("sample_id", "kind", *[c.alias(n) for n, c in out.items()])
 
 
 @query("q14_target_ids", f"""WITH {TARGETS} SELECT sample_id, CASE WHEN EXISTS(SELECT 1 FROM hist h WHERE h.sample_id = tgt.sample_id
   AND h.dom = 'seq_c' AND h.item = tgt.item_id) THEN item_id ELSE 0 END AS target_item, t_campaign AS target_campaign FROM tgt""")
 def q14(spark, sf):
-    df = with_targets(spark, sf)
-    hit = Q.in_history(F.col("seq_c"), F.col("item_id"))
-    return df.select("sample_id", F.when(hit, F.col("item_id")).otherwise(0).alias("target_item"), F.col("t_campaign").alias("target_campaign"))
+    imp, events = targeted(spark, sf)
+    past = past_of(imp, events.where("domain = 'seq_c'"), {"item": KIND_OF["item"]}, {}, ["seq_c"])
+    return imp.join(past, "sample_id", "left").select(
+        "sample_id", F.when(F.col("now_seq_c") > 0, F.col("item_id")).otherwise(0).alias("target_item"), F.col("t_campaign").alias("target_campaign"))
 
 
 def conversion_sql(hist: str) -> str:
@@ -301,8 +310,6 @@ def conversion_sql(hist: str) -> str:
     return f", cc AS (SELECT i.sample_id, {counts} FROM imp i LEFT JOIN {hist} h USING (sample_id) GROUP BY i.sample_id)"
 
 
-FULL_HIST = IMP + """,
-full_hist AS (SELECT i.sample_id, e.dom, e.item, e.category, i.ts - e.ts AS gap FROM imp i JOIN dev e ON e.user_id = i.user_id AND e.ts < i.ts)"""
 WINDOWS = [Q.window_name(w) for w in Q.CONVERSION_WINDOWS]
 COUNT_NAMES = [f"{d}_n" for d in DOMAINS] + [f"{d}_n_{w}" for d in DOMAINS for w in WINDOWS]
 
@@ -322,7 +329,7 @@ def exact_conversion_counts(spark, sf) -> DataFrame:
         (F.col(f"now_{d}") - F.col(f"w{w}_{d}")).alias(f"{d}_n_{Q.window_name(w)}") for d in DOMAINS for w in Q.CONVERSION_WINDOWS])
 
 
-@query("q15_exact_counts_from_log", f"WITH {FULL_HIST}{conversion_sql('full_hist')} SELECT * FROM cc")
+@query("q15_exact_counts_from_log", f"WITH {FULL_HIST}{conversion_sql('hist')} SELECT * FROM cc")
 def q15_exact(spark, sf):
     return exact_conversion_counts(spark, sf)
 
@@ -355,18 +362,37 @@ def q16(spark, sf):
     return df.select("sample_id", *[c.alias(n) for n, c in Q.conversion_state(DOMAINS).items()])
 
 
-@query("q17_temporal_velocity", f"""WITH {HIST}, v AS (
+@query("q16_state_from_log", f"WITH {FULL_HIST}{conversion_sql('hist')} SELECT sample_id, {_state_sql()} FROM cc")
+def q16_log(spark, sf):
+    df = exact_conversion_counts(spark, sf)
+    return df.select("sample_id", *[c.alias(n) for n, c in Q.conversion_state(DOMAINS).items()])
+
+
+def velocity_sql(hist: str) -> str:
+    return f"""WITH {hist}, v AS (
   SELECT i.sample_id, {', '.join(f"count(h.item) FILTER (h.dom = '{d}' AND h.gap <= 259200) AS r_{d}, count(h.item) FILTER (h.dom = '{d}' AND h.gap <= 2592000) AS b_{d}" for d in DOMAINS)}
   FROM imp i LEFT JOIN hist h ON h.sample_id = i.sample_id AND h.category = i.category GROUP BY i.sample_id)
 SELECT sample_id, {', '.join(f"CASE WHEN b_{d} > 0 THEN ln(1.0 + r_{d}) / ln(1.0 + b_{d}) ELSE 0.0 END AS td_cat_velocity_{d}" for d in DOMAINS)},
   ({' + '.join(f'CAST(r_{d} > 0 AS INTEGER)' for d in DOMAINS)}) / 4.0::DOUBLE AS td_cross_domain_active,
   ln(1.0 + CAST(r_seq_a > 0 AS INTEGER) + CAST(r_seq_b > 0 AS INTEGER) + CAST(r_seq_d > 0 AS INTEGER)) / ln(4.0) AS td_cross_domain_organic,
-  ln(1.0 + r_seq_a + r_seq_b + r_seq_d) / ln(2.0 + r_seq_c) AS td_cross_domain_ratio FROM v""")
+  ln(1.0 + r_seq_a + r_seq_b + r_seq_d) / ln(2.0 + r_seq_c) AS td_cross_domain_ratio FROM v"""
+
+
+@query("q17_temporal_velocity", velocity_sql(HIST))
 def q17(spark, sf):
     counts, out = Q.temporal_velocity(DOMAINS, F.col("ts"), F.col("category"))
     return samples(spark, sf).withColumns(counts).select("sample_id", *[c.alias(n) for n, c in out.items()])
 
 
+@query("q17_velocity_from_log", velocity_sql(FULL_HIST))
+def q17_log(spark, sf):
+    log = event_log(spark, sf)
+    imp = impressions(log).select("sample_id", "ts", "user_id", "category")
+    past = past_of(imp, domain_events(log), {"category": KIND_OF["category"]}, {"rec": Q.VELOCITY_WINDOW, "base": Q.VELOCITY_BASE}, DOMAINS)
+    counts = {f"_{w}_{d}": F.coalesce(F.col(f"now_{d}") - F.col(f"{w}_{d}"), F.lit(0)).cast("double") for w in ("rec", "base") for d in DOMAINS}
+    return imp.join(past, "sample_id", "left").withColumns(counts).select("sample_id", *[c.alias(n) for n, c in Q.velocity_features(DOMAINS).items()])
+
+
 @query("q18_temporal_fatigue", f"""WITH {TARGETS}, f AS (
   SELECT i.sample_id, count(h.item) AS n, count(h.item) FILTER (h.gap <= 86400) AS rec, count(h.item) FILTER (h.gap <= 2592000) AS base,
     count(h.item) FILTER (h.gap <= 259200) AS near, count(h.item) FILTER (h.gap > 259200 AND h.gap <= 2592000) AS mid, max(h.gap) AS oldest
@@ -376,8 +402,12 @@ SELECT sample_id, ln(1.0 + n) / ln(501.0) AS td_adv_n_exposures_log, ln(1.0 + re
   CASE WHEN mid > 0 THEN least(ln(1.0 + (near / 3.0) / (mid / 27.0)) / ln(11.0), 1.0) WHEN near > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS td_adv_exposure_accel,
   coalesce(ln(1.0 + oldest) / {LOGYEAR}, 0.0) AS td_adv_days_since_first FROM f""")
 def q18(spark, sf):
-    scratch, out = Q.temporal_fatigue(F.col("seq_c"), F.col("ts"), F.col("t_advertiser"))
-    return with_targets(spark, sf).withColumns(scratch).select("sample_id", *[c.alias(n) for n, c in out.items()])
+    imp, events = targeted(spark, sf)
+    windows = {"recent": Q.FATIGUE_RECENT, "near": Q.VELOCITY_WINDOW, "base": Q.FATIGUE_BASE}
+    past = past_of(imp, events.where("domain = 'seq_c'"), {"advertiser": KIND_OF["advertiser"]}, windows, ["seq_c"])
+    n = {w: F.coalesce(F.col("now_seq_c") - F.col(f"{w}_seq_c"), F.lit(0)).cast("double") for w in windows}
+    out = Q.fatigue_features(F.coalesce("now_seq_c", F.lit(0)).cast("double"), n["recent"], n["base"], n["near"], n["base"] - n["near"], F.col("ts") - F.col("first_seq_c"))
+    return imp.join(past, "sample_id", "left").select("sample_id", *[c.alias(n) for n, c in out.items()])
 
 
 @query("q19_temporal_context", f"""WITH {TARGETS} SELECT i.sample_id,
@@ -387,8 +417,19 @@ def q18(spark, sf):
   count(h.item) FILTER (h.category = i.category)::DOUBLE / greatest(count(h.item), 1) AS td_category_share
 FROM tgt i LEFT JOIN hist h USING (sample_id) GROUP BY i.sample_id, i.t_advertiser, i.category""")
 def q19(spark, sf):
-    out = Q.temporal_context(DOMAINS, F.col("ts"), F.col("category"), F.col("t_advertiser"))
-    return with_targets(spark, sf).select("sample_id", *[c.alias(n) for n, c in out.items()])
+    imp, events = targeted(spark, sf)
+    past = past_of(imp, events, {k: KIND_OF[k] for k in ("advertiser", "category")}, {}, DOMAINS)
+    of = lambda kind, count, name: past.where(F.col("kind") == kind).select("sample_id", count.alias(name))
+    counts = counts_as_of(imp, events, ["user_id"], {"now": F.col("ts"), "day": F.col("ts") - Q.AD_LOAD_WINDOW}, DOMAINS)
+    whole = lambda p: sum((F.col(f"{p}_{d}") for d in DOMAINS[1:]), F.col(f"{p}_{DOMAINS[0]}"))
+    known = counts_as_of(imp, events.where("category > 0"), ["user_id"], {"now": F.col("ts")}, DOMAINS).select("sample_id", whole("now").alias("n_known"))
+    ads = distinct_in_window(imp, events.where("domain = 'seq_c'"), ["user_id"], "advertiser", Q.AD_LOAD_WINDOW)
+    df = imp.select("sample_id").join(of("advertiser", F.col("now_seq_c"), "n_adv"), "sample_id", "left").join(
+        of("category", whole("now"), "n_cat"), "sample_id", "left").join(
+        counts.select("sample_id", (F.col("now_seq_c") - F.col("day_seq_c")).alias("n_day")), "sample_id").join(known, "sample_id").join(ads, "sample_id")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    out = Q.context_features(none("n_adv") > 0, F.col("n_day"), F.col("n_distinct"), none("n_cat").cast("double"), F.col("n_known").cast("double"))
+    return df.select("sample_id", *[c.alias(n) for n, c in out.items()])
 
 
 @query("q24_magnitude_ratio", """SELECT vec_id, ln(1.0 + abs(list_avg(CAST(embedding[1:32] AS DOUBLE[])))) - ln(1.0 + abs(list_avg(CAST(embedding[33:64] AS DOUBLE[])))) AS ratio
@@ -404,12 +445,24 @@ def q25(spark, sf):
     return cleaned(spark, sf).select("sample_id", Q.set_size(F.col("user_cat_f15")).alias("set_size"))
 
 
-@query("q26_category_overlap", f"""WITH {HIST} SELECT i.sample_id, CASE WHEN EXISTS(SELECT 1 FROM hist h WHERE h.sample_id = i.sample_id
-  AND h.dom = 'seq_c' AND h.category = i.category) THEN 1.0 ELSE 0.0 END::DOUBLE AS overlap FROM imp i""")
+def overlap_sql(hist: str) -> str:
+    return f"""WITH {hist} SELECT i.sample_id, CASE WHEN EXISTS(SELECT 1 FROM hist h WHERE h.sample_id = i.sample_id
+  AND h.dom = 'seq_c' AND h.category = i.category) THEN 1.0 ELSE 0.0 END::DOUBLE AS overlap FROM imp i"""
+
+
+@query("q26_category_overlap", overlap_sql(HIST))
 def q26(spark, sf):
     return samples(spark, sf).select("sample_id", Q.in_history(F.col("seq_c"), F.col("category"), "category").cast("double").alias("overlap"))
 
 
+@query("q26_overlap_from_log", overlap_sql(FULL_HIST))
+def q26_log(spark, sf):
+    log = event_log(spark, sf)
+    imp = impressions(log)
+    past = past_of(imp, domain_events(log).where("domain = 'seq_c'"), {"category": KIND_OF["category"]}, {}, ["seq_c"])
+    return imp.select("sample_id").join(past, "sample_id", "left").select("sample_id", F.coalesce((F.col("now_seq_c") > 0).cast("double"), F.lit(0.0)).alias("overlap"))
+
+
 @query("q27_pca_projection")
 def q27(spark, sf):
     df = table(spark, sf, "embeddings")

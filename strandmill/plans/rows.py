@@ -12,8 +12,9 @@ from strandmill.operators import sequences as Q
 from strandmill.operators.evaluate import drop_nan_scores
 from strandmill.operators.registry import DeclaredSchema, Feature, Registry, bare_glob, concat_features, write_back
 from strandmill.operators.splits import time_split
-from strandmill.plans.adapters import DOMAINS, event_log, samples_from_events, table
-from strandmill.plans.base import EV, HIST, IMP, LENS, SPLIT, query, samples
+from strandmill.operators.target_history import first_seen_from_log, target_history
+from strandmill.plans.adapters import DOMAINS, domain_events, event_log, impressions, samples_from_events, table
+from strandmill.plans.base import EV, FULL_HIST, HIST, IMP, LENS, SPLIT, query, samples
 from strandmill.sources import logs as L
 from strandmill.sources import samples as X
 from strandmill.sources import sinks as K
@@ -357,42 +358,65 @@ def f5(spark, sf):
 
 
 FIRST_SEEN_SQL = """,
-seen AS (SELECT h.item, arg_min(h.campaign, h.sample_id * 1000 + h.pos) AS campaign,
-    arg_min(h.advertiser, h.sample_id * 1000 + h.pos) AS advertiser
+seen AS (SELECT h.item, arg_min(h.campaign, h.sample_id * 1000000 + h.pos) AS campaign,
+    arg_min(h.advertiser, h.sample_id * 1000000 + h.pos) AS advertiser
   FROM hist h, cut WHERE h.dom = 'seq_c' AND h.imp_ts < cutoff AND h.item > 0 GROUP BY h.item)"""
 
 
 def item_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    train = time_split(samples(spark, sf).select("sample_id", "ts", "seq_c"), "ts", 0.2).where(~F.col("is_valid"))
-    return fits.first_seen(train, "seq_c", "item", ["campaign", "advertiser"], "sample_id")
+    """item -> campaign and advertiser as first seen in the whole histories of the training impressions."""
+    log = event_log(spark, sf)
+    train = time_split(impressions(log).select("sample_id", "user_id", "ts"), "ts", 0.2).where(~F.col("is_valid"))
+    ads = domain_events(log).where("domain = 'seq_c'")
+    return first_seen_from_log(train, ads, ["user_id"], "item", ["campaign", "advertiser"], "sample_id", "event_id")
 
 
-def with_targets(spark: SparkSession, sf: str) -> DataFrame:
+def targeted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(impressions with their target campaign and advertiser, events of all domains), both of the whole log."""
+    log = event_log(spark, sf)
     mapping = item_mapping(spark, sf).withColumnRenamed("item", "item_id")
-    return fits.attach_mapping(samples(spark, sf), mapping, "item_id", {"campaign": "t_campaign", "advertiser": "t_advertiser"})
+    known = impressions(log).select("sample_id", "ts", "user_id", "item_id", "category")
+    return fits.attach_mapping(known, mapping, "item_id", {"campaign": "t_campaign", "advertiser": "t_advertiser"}), domain_events(log)
+
 
+def past_of(imp: DataFrame, events: DataFrame, targets: dict[str, tuple[str, str]], windows: dict[str, int], domains: list[str], **more) -> DataFrame:
+    """``target_history`` of a user's log: probes now and ``windows`` seconds before."""
+    at = {"now": F.col("ts"), **{name: F.col("ts") - w for name, w in windows.items()}}
+    return target_history(imp, events, ["user_id"], targets, at, domains, "event_id", **more)
 
-@query("j1_item_lookup", f"""WITH {HIST}{SPLIT}{FIRST_SEEN_SQL} SELECT i.sample_id, coalesce(s.campaign, 0) AS t_campaign,
+
+@query("j1_item_lookup", f"""WITH {FULL_HIST}{SPLIT}{FIRST_SEEN_SQL} SELECT i.sample_id, coalesce(s.campaign, 0) AS t_campaign,
   coalesce(s.advertiser, 0) AS t_advertiser FROM imp i LEFT JOIN seen s ON s.item = i.item_id""")
 def j1(spark, sf):
-    return with_targets(spark, sf).select("sample_id", "t_campaign", "t_advertiser")
+    return targeted(spark, sf)[0].select("sample_id", "t_campaign", "t_advertiser")
+
+
+def target_sql(hist: str) -> str:
+    return f"""WITH {hist} SELECT i.sample_id, EXISTS(SELECT 1 FROM hist h WHERE h.sample_id = i.sample_id
+  AND h.dom = 'seq_a' AND h.item = i.item_id) AS hit FROM imp i"""
 
 
-@query("j2_target_in_history", f"""WITH {HIST} SELECT i.sample_id, EXISTS(SELECT 1 FROM hist h WHERE h.sample_id = i.sample_id
-  AND h.dom = 'seq_a' AND h.item = i.item_id) AS hit FROM imp i""")
+@query("j2_target_in_history", target_sql(HIST))
 def j2(spark, sf):
     return samples(spark, sf).select("sample_id", Q.in_history(F.col("seq_a"), F.col("item_id")).alias("hit"))
 
 
-@query("j3_target_matches", f"""WITH {HIST} SELECT h.sample_id, h.dom, count(*) AS n, max(h.ts) AS newest FROM hist h JOIN imp i USING (sample_id)
+@query("j2_target_in_log", target_sql(FULL_HIST))
+def j2_log(spark, sf):
+    log = event_log(spark, sf)
+    imp = impressions(log)
+    past = past_of(imp, domain_events(log).where("domain = 'seq_a'"), {"item": ("item", "item_id")}, {}, ["seq_a"])
+    return imp.select("sample_id").join(past, "sample_id", "left").select("sample_id", F.coalesce(F.col("now_seq_a") > 0, F.lit(False)).alias("hit"))
+
+
+@query("j3_target_matches", f"""WITH {FULL_HIST} SELECT h.sample_id, h.dom, count(*) AS n, max(h.ts) AS newest FROM hist h JOIN imp i USING (sample_id)
   WHERE h.category = i.category GROUP BY h.sample_id, h.dom""")
 def j3(spark, sf):
-    df = samples(spark, sf)
-    hits = F.concat(*[
-        F.transform(F.filter(d, lambda e: e["category"] == F.col("category")),
-                    lambda e: F.struct(F.lit(d).alias("dom"), e["ts"].alias("t"))) for d in DOMAINS])
-    rows = df.select("sample_id", F.inline(hits))
-    return rows.groupBy("sample_id", "dom").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("newest"))
+    log = event_log(spark, sf)
+    past = past_of(impressions(log), domain_events(log), {"category": ("category", "category")}, {}, DOMAINS)
+    each = F.array(*[F.struct(F.lit(d).alias("dom"), F.col(f"now_{d}").alias("n"), F.col(f"last_{d}.ts").alias("newest")) for d in DOMAINS])
+    return past.select("sample_id", F.inline(each)).where("n > 0")
+
 
 
 @query("j4_build_samples", f"""WITH {HIST} SELECT i.sample_id, i.label, d.dom, count(h.item) AS n, coalesce(max(h.raw_len), 0) AS raw_len,
