@@ -354,18 +354,39 @@ def bucket_memberships(
     return df.select("*", F.inline(F.array(*tags))).where(F.col("bucket").isNotNull())
 
 
-def bucket_outcomes(members: DataFrame, min_n: int = 50, min_pos: int = 5, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Denominators and outcomes per bucket, with AUC only for the length and domain families."""
+def bucket_names(lengths: Sequence[str], loss_cuts: Mapping | None = None, score_cuts: Mapping | None = None,
+                 length_edges: Mapping[str, Sequence[int]] | None = None) -> list[tuple[str, str]]:
+    """(bucket, source) of every bucket that ``bucket_memberships`` can give with the same configuration."""
+    out = [("all", "all")]
+    out += [(label, source) for source, cfg in (("loss", loss_cuts), ("score_band", score_cuts)) if cfg for label in cfg["labels"]]
+    for col, edges in (length_edges or {}).items():
+        out += [(f"{col}_{lo}_to_{hi}", "seq_len") for lo, hi in zip(edges[:-1], edges[1:], strict=True)] + [(f"{col}_gt_{edges[-1]}", "seq_len")]
+    out += [(f"active_domains_{n}", "active_domain_count") for n in range(len(lengths) + 1)]
+    return out + [(f"primary_domain_{c.removesuffix('_len')}", "primary_domain") for c in [*lengths, "none"]]
+
+
+def bucket_outcomes(
+    members: DataFrame, min_n: int = 50, min_pos: int = 5, task_rows: int = TASK_ROWS, buckets: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Denominators and outcomes per bucket, with AUC only for the length and domain families.
+
+    ``buckets`` are all (bucket, source) that could have members: one without any gets a row with n = 0, no outcomes and
+    the reason ``empty``.
+    """
     keys = ["bucket", "source"]
     base = members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0.5).alias("pos"),
         F.avg("loss").alias("logloss"), F.avg("prob").alias("mean_pred"))
     aucs = auc_by(members.where(F.col("source").isin(*sorted(AUC_SOURCES))), keys, "prob", task_rows=task_rows)
     out = base.join(aucs.select(*keys, "auc"), keys, "left")
+    if buckets is not None:
+        # A list as long as the configuration.
+        every = members.sparkSession.createDataFrame(list(buckets), "bucket string, source string")
+        out = F.broadcast(every).join(out, keys, "full").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "pos")})
     valid = (F.col("n") >= min_n) & (F.col("pos") >= min_pos)
     return out.select(
-        *keys, "n", "pos", (F.col("pos") / F.col("n")).alias("pos_rate"), valid.cast("long").alias("valid"),
-        F.when(valid, "").when(F.col("n") < min_n, "min_bucket_n").otherwise("min_bucket_pos").alias("skip"),
+        *keys, "n", "pos", F.when(F.col("n") > 0, F.col("pos") / F.greatest("n", F.lit(1))).alias("pos_rate"), valid.cast("long").alias("valid"),
+        F.when(valid, "").when(F.col("n") == 0, "empty").when(F.col("n") < min_n, "min_bucket_n").otherwise("min_bucket_pos").alias("skip"),
         "logloss", "mean_pred", "auc")
 
 

@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.functions import arrays as A
 from strandmill.functions import scalars as S
+from strandmill.operators.ranking import TASK_ROWS, running_totals
 from strandmill.operators.registry import DeclaredSchema, Registry
 
 # Columns that pass the output contract without being registered features.
@@ -87,7 +88,7 @@ def token_ids(value: Column, vocab: int, native: bool = False) -> Column:
     return F.pmod(hashed, F.lit(vocab - 1)) + 1
 
 
-def padded(values: Column, width: int) -> dict[str, Column]:
+def padded(values: Column, width: int | Column) -> dict[str, Column]:
     """Fixed-width export: zero-padded values and a validity mask."""
     n = F.size(values)
     return {
@@ -104,6 +105,29 @@ def export_padded(df: DataFrame, column: str, width: int | None = None) -> DataF
     return df.withColumns({f"{column}_values": parts["values"], f"{column}_mask": parts["mask"]})
 
 
+def export_padded_batches(
+    df: DataFrame, key: str, column: str, batch_rows: int, batch_values: int | None = None, task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """Pad a sequence column batch by batch: ``batch``, ``{column}_values`` and ``{column}_mask``, as wide as the batch needs.
+
+    Rows are put in order of length, then ``key``, and dealt by running totals: a batch ends after
+    ``batch_rows`` rows, and with ``batch_values`` also where the running number of values passes a multiple of it.  So rows of
+    like length share a batch, a long sequence widens its own batch alone, and no batch holds
+    more than it should.  The width is the longest of the batch, at least 1.  A null sequence is an empty one.
+    """
+    length = F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)).cast("long")
+    sized = df.withColumn("_n", length)
+    dealt = running_totals(sized, [], [F.col("_n"), F.col(key)], {"_row": F.lit(1).cast("long"), "_sum": F.col("_n")}, task_rows)
+    chunk = F.floor((F.col("_row") - 1) / batch_rows)
+    by_values = F.floor((F.col("_sum") - F.col("_n")) / batch_values) if batch_values else F.lit(0).cast("long")
+    work = dealt.withColumns({"_chunk": chunk, "_part": by_values})
+    together = Window.partitionBy("_chunk", "_part")
+    wide = work.withColumn("_width", F.greatest(F.max("_n").over(together), F.lit(1)).cast("int"))
+    parts = padded(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)), F.col("_width"))
+    return wide.withColumns({"batch": F.struct(F.col("_chunk").alias("chunk"), F.col("_part").alias("part")),
+                             f"{column}_values": parts["values"], f"{column}_mask": parts["mask"]}).drop("_n", "_row", "_sum", "_chunk", "_part", "_width")
+
+
 def export_flat(df: DataFrame, key: str, column: str) -> DataFrame:
     """Jagged export: one row per element."""
     return df.select(key, F.posexplode(column).alias("pos", "value"))

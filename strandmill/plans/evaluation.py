@@ -308,11 +308,12 @@ mem AS (SELECT {keep}, 'all' AS bucket, 'all' AS source FROM hd
 
 @query("e17_bucket_outcomes", f"""WITH {_members_sql()}, au AS ({auc_sql('mem', 'prob', 'bucket, source')}),
 ag AS (SELECT bucket, source, count(*) AS n, sum(label)::BIGINT AS pos, avg(loss) AS logloss, avg(prob) AS mean_pred FROM mem GROUP BY bucket, source)
-SELECT ag.bucket, ag.source, ag.n, ag.pos, ag.pos::DOUBLE / ag.n AS pos_rate, CASE WHEN ag.n >= 50 AND ag.pos >= 5 THEN 1 ELSE 0 END::BIGINT AS valid,
-  CASE WHEN ag.n >= 50 AND ag.pos >= 5 THEN '' WHEN ag.n < 50 THEN 'min_bucket_n' ELSE 'min_bucket_pos' END AS skip, logloss, mean_pred,
-  CASE WHEN source IN ('seq_len', 'active_domain_count', 'primary_domain') THEN auc END AS auc FROM ag JOIN au USING (bucket, source)""")
+SELECT bk.bucket, bk.source, coalesce(ag.n, 0) AS n, coalesce(ag.pos, 0) AS pos, ag.pos::DOUBLE / ag.n AS pos_rate, CASE WHEN ag.n >= 50 AND ag.pos >= 5 THEN 1 ELSE 0 END::BIGINT AS valid,
+  CASE WHEN ag.n >= 50 AND ag.pos >= 5 THEN '' WHEN ag.n IS NULL THEN 'empty' WHEN ag.n < 50 THEN 'min_bucket_n' ELSE 'min_bucket_pos' END AS skip, logloss, mean_pred,
+  CASE WHEN bk.source IN ('seq_len', 'active_domain_count', 'primary_domain') THEN auc END AS auc
+FROM (VALUES {', '.join(f"('{b}', '{s}')" for b, s in E.bucket_names(LEN_COLS, **BUCKETS))}) bk(bucket, source) LEFT JOIN ag USING (bucket, source) LEFT JOIN au USING (bucket, source)""")
 def e17(spark, sf):
-    return E.bucket_outcomes(members(spark, sf))
+    return E.bucket_outcomes(members(spark, sf), buckets=E.bucket_names(LEN_COLS, **BUCKETS))
 
 
 @query("e18_pair_cosine", """WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CAST(embedding[1:32] AS DOUBLE[]) AS u, CAST(embedding[33:64] AS DOUBLE[]) AS w,

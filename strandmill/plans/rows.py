@@ -266,6 +266,19 @@ def p11(spark, sf):
     return rows.select("sample_id", "pos", F.col("e.b_values").alias("value"), F.col("e.b_mask").alias("mask"))
 
 
+@query("p11_padded_batches", f"""WITH {LENS}, r AS (SELECT *, row_number() OVER (ORDER BY seq_b_len, sample_id) - 1 AS i, sum(seq_b_len) OVER (ORDER BY seq_b_len, sample_id) - seq_b_len AS upto FROM lens),
+b AS (SELECT sample_id, seq_b_len, i // 64 AS chunk, upto // 200 AS part FROM r),
+w AS (SELECT *, greatest(max(seq_b_len) OVER (PARTITION BY chunk, part), 1) AS width FROM b),
+g AS (SELECT *, unnest(range(width)) AS pos FROM w)
+SELECT g.sample_id, g.chunk::BIGINT AS chunk, g.part::BIGINT AS part, g.pos::INTEGER AS pos, coalesce(h.item, 0) AS value, (g.pos < g.seq_b_len)::BOOLEAN AS mask
+FROM g LEFT JOIN hist h ON h.sample_id = g.sample_id AND h.dom = 'seq_b' AND h.pos = g.pos""")
+def p11_batches(spark, sf):
+    df = samples(spark, sf).select("sample_id", F.transform("seq_b", lambda e: e["item"]).alias("b"))
+    out = N.export_padded_batches(df, "sample_id", "b", batch_rows=64, batch_values=200)
+    rows = out.select("sample_id", "batch.*", F.posexplode(F.arrays_zip("b_values", "b_mask")).alias("pos", "e"))
+    return rows.select("sample_id", "chunk", "part", "pos", F.col("e.b_values").alias("value"), F.col("e.b_mask").alias("mask"))
+
+
 @query("p12_flat_export", f"WITH {HIST} SELECT sample_id, pos::INTEGER AS pos, item AS value FROM hist WHERE dom = 'seq_d'")
 def p12(spark, sf):
     return N.export_flat(samples(spark, sf).select("sample_id", F.transform("seq_d", lambda e: e["item"]).alias("v")), "sample_id", "v")
