@@ -61,10 +61,8 @@ def searches(items: Iterable[tuple[str, bytes]], window: int) -> list[Search]:
         words = tuple(cutter(raw))
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            named = by_length.setdefault(size, {}).setdefault(words[i: i + size], [])
-            if name not in named:
-                named.append(name)
-    return [Search(windows, size) for size, windows in sorted(by_length.items())]
+            by_length.setdefault(size, {}).setdefault(words[i: i + size], {})[name] = None
+    return [Search({w: list(names) for w, names in windows.items()}, size) for size, windows in sorted(by_length.items())]
 
 
 def _segments(raw: bytes, cutter) -> Iterator[list[bytes]]:
@@ -79,7 +77,7 @@ def _segments(raw: bytes, cutter) -> Iterator[list[bytes]]:
         at = end
 
 
-def spans_of(raw: bytes, found: list[Search], cutter) -> tuple[int, list[tuple[int, int, str]]]:
+def spans_of(raw: bytes, found: list[Search], cutter) -> tuple[int, list[tuple[int, int, str | None]]]:
     """(word count, merged spans of words per item) of one text."""
     seen, tail, open_, done = 0, [], {}, []
     reach = max((s.length for s in found), default=1) - 1
@@ -100,7 +98,7 @@ def spans_of(raw: bytes, found: list[Search], cutter) -> tuple[int, list[tuple[i
                     open_[item] = [at, at + size - 1]
         seen += len(words)
         tail = whole[-reach:] if reach else []
-    return seen, sorted(done + [(a, b, item) for item, (a, b) in open_.items()])
+    return seen, sorted(done + [(a, b, item) for item, (a, b) in open_.items()], key=lambda s: (*s[:2], s[2] is None, s[2] or ""))
 
 
 def _pass(items: list[tuple[str, bytes]], window: int, text: str, first: bool):
@@ -130,10 +128,10 @@ def find_passages(
 
     Nothing is shuffled.  The items are measured first; beyond ``pass_bytes`` they are cut by hash
     into as many passes as it takes, one after another over the same rows, so a worker never holds
-    more.  Null or empty texts have no words and no spans; items without words or id take no part,
-    equal items are all named.  Repeated rows are searched alike; other columns pass through.
+    more.  Null or empty texts have no words and no spans; items without words take no part, the spans of
+    those without id have item null, equal items are all named.  Repeated rows are searched alike; other columns pass through.
     """
-    named = items.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).dropna()
+    named = items.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).dropna(subset=["raw"])
     total = named.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     passes = int(total // pass_bytes + 1)
     out = docs

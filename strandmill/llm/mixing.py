@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.tables import cut, running, small
@@ -58,7 +58,7 @@ def plan(sized: DataFrame, entropy: float, repeats: float) -> tuple[DataFrame, f
     The budget is the least that gives every source one whole epoch: ``epochs`` whole permutations
     and ``rest`` further tokens, whole / rest = (largest total / total) ** (1 - exponent).
     """
-    sources = cut(sized.groupBy("source").agg(F.sum("size").alias("total")))
+    sources = cut(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("total")))
     alpha = exponent(sources, entropy, repeats)
     top = sources.agg(F.max("total").alias("most"), F.sum(F.pow("total", F.lit(alpha))).alias("z"), F.count(F.lit(1)).alias("n")).first()
     passes = F.pow(F.lit(float(top["most"] or 1)) / F.col("total"), F.lit(1 - alpha))
@@ -76,34 +76,46 @@ def mixture(docs: DataFrame, entropy: float, repeats: float, id_col: str = "doc_
 
     Every document is emitted in each whole epoch of its source; the last, partial epoch is the
     part of its permutation that starts within ``rest`` tokens.  A null source is a source; null and
-    empty texts have size 1; null ids and repeated rows are emitted like others; equal rows tie and
-    give equal emissions.  An empty table gives none.
+    empty texts have size 1; null ids and repeated rows are emitted like others.  Rows of equal id, source and size are
+    ordered as one with their number, so however many they are, they lie in one place, where the budget cuts
+    between them.  An empty table gives none; other columns are not read.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_size(F.col(text_col)).alias("size")))
+    name = lambda c: F.col(f"`{c}`")
+    sized = cut(docs.select(name(id_col).alias("id"), name(source_col).alias("source"), token_size(name(text_col)).alias("size")).groupBy(
+        "id", "source", "size").agg(F.count(F.lit(1)).alias("k")))
     sources, alpha, kinds = plan(sized, entropy, repeats)
     rows = sized.count()
     quota = small(sources.withColumnRenamed("source", "_s"), kinds or 0)
     each = sized.join(quota, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     each = each.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
     each = each.where((F.col("epoch") < F.col("epochs")) | (F.col("rest") > 0)).withColumn("order", _order(F.col("epoch")))
-    placed = running(each, ["source", "epoch"], "order", [], {"before": "size"}, rows, int((kinds or 0) * (repeats + 1)))
-    kept = placed.where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("rest")))
+    placed = running(each.withColumn("bulk", F.col("size") * F.col("k")), ["source", "epoch"], "order", [], {"before": "bulk"}, rows, int((kinds or 0) * (repeats + 1)))
+    fit = F.greatest(F.least(F.ceil((F.col("rest") - F.col("before")) / F.col("size")), F.col("k")), F.lit(0))
+    sent = placed.withColumn("sent", F.when(F.col("epoch") < F.col("epochs"), F.col("k")).otherwise(fit).cast("long")).where("sent > 0")
+    kept = sent.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sent") - 1)))
     return kept.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("size").alias("n_tokens"),
                        F.round("weight", 6).alias("weight"), F.lit(alpha).alias("alpha"),
-                       (F.col("epoch") * F.col("total") + F.col("before")).alias("start_token"))
+                       (F.col("epoch") * F.col("total") + F.col("before") + F.col("nth") * F.col("size")).alias("start_token"))
 
 
 def mixed_documents(docs: DataFrame, entropy: float, repeats: float, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mixture emits it, with their columns unchanged.
 
     The partial epoch is realised by the digest of its last document, one value per source, so the
-    texts are neither joined by id nor shuffled.
+    texts are neither joined by id nor shuffled.  Of equal rows at that place (they tie) the emissions go round: as
+    many of them as the mixture emits there, by a running number within their digest.  Given columns may have any names.
     """
-    sized = docs.select("*", F.col(id_col).alias("id"), token_size(F.col(text_col)).alias("size"))
-    emitted = mixture(docs, entropy, repeats, id_col, text_col, source_col)
-    last = emitted.withColumns({"id": F.col(id_col), "size": F.col("n_tokens"), "_s": F.col(source_col)}).withColumn("order", _order(F.col("epoch")))
-    ends = cut(last.groupBy("_s", "epoch").agg(F.max("order").alias("upto")).groupBy("_s").agg(F.max(F.struct("epoch", "upto")).alias("_last")))
-    out = sized.join(small(ends, ends.count()), F.col(source_col).eqNullSafe(F.col("_s")))
-    copies = F.col("_last.epoch") + (_order(F.col("_last.epoch")) <= F.col("_last.upto")).cast("long")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1).cast("long")))))
-    return out.select(*docs.columns)
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        F.col(f"`{source_col}`").alias("source"), token_size(F.col(f"`{text_col}`")).alias("size"))
+    emitted = mixture(docs, entropy, repeats, id_col, text_col, source_col).select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("_s"), "epoch", F.col("n_tokens").alias("size"))
+    last = emitted.withColumn("order", _order(F.col("epoch"))).groupBy("_s", "epoch", "order").agg(F.count(F.lit(1)).alias("n"))
+    ends = cut(last.groupBy("_s").agg(F.max(F.struct("epoch", "order", "n")).alias("_last")))
+    out = sized.join(small(ends, ends.count()), F.col("source").eqNullSafe(F.col("_s"))).withColumn("order", _order(F.col("_last.epoch")))
+    # Rows at the very end are few: one digest per source.
+    edge = out.where(F.col("order") == F.col("_last.order"))
+    number = F.row_number().over(Window.partitionBy("_s", "order").orderBy(F.xxhash64("row")))
+    turn = edge.withColumn("copies", F.col("_last.epoch") + (number <= F.col("_last.n")).cast("long"))
+    rest = out.where(F.col("order") != F.col("_last.order")).withColumn("copies", F.col("_last.epoch") + (F.col("order") < F.col("_last.order")).cast("long"))
+    every = rest.unionByName(turn).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1).cast("long")))).alias("copy"))
+    return every.select("row.*")

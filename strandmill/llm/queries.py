@@ -91,7 +91,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["item"])))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("_spans", lambda s: s["item"]), lambda i: i.isNotNull())))
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
                       F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated"))
 
@@ -221,13 +221,13 @@ b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least({decontaminate.WINDOW}, len(words)) AS n, array_to_string(words[i: i + least({decontaminate.WINDOW}, len(words)) - 1], ' ') AS win
   FROM b, generate_series(1, (SELECT max(len(words)) FROM b)) AS g(i)
-  WHERE item_id IS NOT NULL AND len(words) > 0 AND i <= len(words) - least({decontaminate.WINDOW}, len(words)) + 1),
+  WHERE len(words) > 0 AND i <= len(words) - least({decontaminate.WINDOW}, len(words)) + 1),
 dw AS (
   SELECT r, n, i, array_to_string(words[i: i + n - 1], ' ') AS win
   FROM (SELECT r, words, unnest(generate_series(1, len(words))) AS i FROM d), (SELECT DISTINCT n FROM bw) WHERE i + n - 1 <= len(words)),
 hit AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, win)),
 w AS (SELECT r, count(DISTINCT ix) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS ix FROM hit) GROUP BY r),
-k AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+k AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM d LEFT JOIN w USING (r) LEFT JOIN k USING (r)"""
