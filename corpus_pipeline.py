@@ -10,32 +10,47 @@ from strandmill.llm.queries import ENTROPY, REPEATS, SHARDS
 from strandmill.llm.tables import cut, table
 
 
+def plain(docs: DataFrame, *kept: str) -> DataFrame:
+    """``docs`` with the columns a stage does not name as c0, c1, ..: they clash with no operator's own."""
+    return docs.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    judged = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return judged.where(~F.col("_toxic")).select(*docs.columns)
+    """Documents that the classifier does not reject.
+
+    Null and empty texts are scored like others, null ids are never held out; rows come back with all their columns, an empty table stays empty.
+    """
+    rows = plain(docs, "doc_id", "text")
+    judged = toxicity.toxicity(rows, table(spark, sf_dir, "labels"))
+    return judged.where(~F.col("_toxic")).select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id."""
+    """One document of each group of near duplicates: the smallest id.  Rows without id, and texts without words, stay."""
     return near_dups.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up less than a twentieth."""
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("_contaminated")).select(*docs.columns)
+    """Documents of which benchmark passages make up less than a twentieth.
+
+    Null and empty texts have no words and stay; ids do not matter; rows come back with all their columns.
+    """
+    rows = plain(docs, "text")
+    judged = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("_contaminated")).select(*rows.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of small sources again until the mixture has its weights."""
+    """Every document once, and those of small sources again until the mixture has its weights.  A null source is a source."""
     return mixing.mixed_documents(docs, ENTROPY, REPEATS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
-    out = sharding.shuffle_to_shards(docs, [F.col(c) for c in ("doc_id", "source", "n_chars", "text")], SHARDS, docs.count())
-    return out.withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_row")
+    """The documents with their shard and slot; given columns of these names are left out.  Nulls and repeated rows are rows like others."""
+    docs = docs.drop("shard", "slot")
+    rows = plain(docs, "doc_id", "source", "n_chars", "text")
+    out = sharding.shuffle_to_shards(rows, [F.col(c) for c in ("doc_id", "source", "n_chars", "text")], SHARDS, rows.count())
+    return out.select(*rows.columns, "_shard", "_slot").toDF(*docs.columns, "shard", "slot")
 
 
 STAGES = [
