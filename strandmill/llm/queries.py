@@ -149,13 +149,11 @@ def _license_sql() -> str:
 t(label, base, least, n, pos, word, key) AS (VALUES {', '.join(rows)}),
 w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS ix FROM d),
 hit AS (SELECT * FROM w WHERE word IN (SELECT word FROM t)),
-df AS (SELECT word, count(DISTINCT r) AS n_docs FROM hit GROUP BY word),
-ranked AS (SELECT t.*, row_number() OVER (PARTITION BY label, base ORDER BY coalesce(n_docs, 0), word, pos) <= 2 AS anchor FROM t LEFT JOIN df USING (word)),
 place AS (
   SELECT r, label, base, ix - pos AS start, count(*) / any_value(n)::DOUBLE AS share
-  FROM hit JOIN ranked USING (word) WHERE ix >= pos GROUP BY r, label, base, ix - pos
+  FROM hit JOIN t USING (word) WHERE ix >= pos GROUP BY r, label, base, ix - pos
   HAVING count(*) / any_value(n)::DOUBLE >= any_value(least)
-    AND count(*) FILTER (anchor) = least(2, any_value(n)) AND sum(key) = (SELECT sum(key) FROM t k WHERE k.label = ranked.label AND k.base = ranked.base)),
+    AND sum(key) = (SELECT sum(key) FROM t k WHERE k.label = t.label AND k.base = t.base)),
 found AS (
   SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     list_sort(list_distinct(list(label) FILTER (base))) AS bl, list_sort(list_distinct(list(label))) AS al, max(share) AS score

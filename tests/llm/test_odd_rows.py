@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandmill.llm import mixing, queries
+from strandmill.llm import licenses, mixing, queries
 
 NAMES = "id size order row k _s _score _toxic _held_out _spans _n_hit _contaminated _row _p _shard _digest _one key n c0 epoch before total".split()
 
@@ -60,3 +60,29 @@ def test_queries_without_rows(spark, tmp_path, tiny):
         spark.read.parquet(f"{tiny}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_licence_sql_states_the_same_rule(spark, tmp_path):
+    """Altered rare words, cut wordings, two wordings at one place, key words apart: the SQL finds what the query finds."""
+    import duckdb
+    from compare import close, rows_of
+
+    texts = []
+    for t in [*licenses.BASE, *licenses.WORDINGS]:
+        for k in range(len(t.words)):
+            texts += [" ".join("other" if i == k else w for i, w in enumerate(t.words)), " ".join(t.words[: k + 1]), " ".join(t.words[k:] + ["x"] + t.words)]
+    texts += ["licensed under cc by nc 4 0 licensed under the apache license version 2", "license apache the apache license", None, ""] + ["version redistribution granted"] * 30
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op1_license_scan"])
+    df = queries.op1_license_scan(spark, str(tmp_path))
+    got, want = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of([d[0] for d in want.description], want.fetchall())
+    assert got[1] == want[1] and len(got[0]) == len(want[0]) == len(texts)
+    assert all(close(a, b) for g, w in zip(got[0], want[0], strict=True) for a, b in zip(g, w, strict=True))
+
+
+def test_licences_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "all rights reserved", 5, 6)], "doc_id long, text string, _words int, _hits int")
+    out = licenses.license_scan(docs)
+    assert out.columns == [*docs.columns, "_n_words", "_found"] and out.first()._hits == 6
