@@ -18,6 +18,8 @@ from strandmill.llm.texts import by_bytes, utf8
 PART_BYTES = 2 << 20
 #: Sets of either side that a cell holds, on average; a set counts once for each so many shingles.
 CELL, SHINGLES = 256, 512
+#: Steps over shared band values in which a neighbourhood finds its smallest member.
+WIDER = 2
 
 
 def _ragged(rows: list[np.ndarray]) -> pa.Array:
@@ -152,12 +154,17 @@ def _stars_met(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFra
 def _blocks_met(members: DataFrame, sets: DataFrame, sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """All sets of different components that share a band value, block against block.
 
-    ``members`` has bucket, node, lead and comp.  A block holds sets of one neighbourhood (their smallest lead), about
+    ``members`` has bucket, node, lead and comp.  A block holds sets of one neighbourhood (the smallest lead a few steps away), about
     CELL of them; components larger than that have blocks of their own, which never meet each other.
     """
     sides = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
     open_ = scratch.keep(members.join(sides, "bucket"))
-    near = scratch.keep(open_.groupBy("node", "comp").agg(F.min("lead").alias("lead")).join(sizes, "node").withColumn("w", _weight(F.col("n"))))
+    named = open_.select("bucket", "node", "comp", "lead")
+    for _ in range(WIDER):  # the least lead among the neighbours: a crowd gets one name, so its blocks are full
+        least = named.groupBy("node").agg(F.min("lead").alias("lead"))
+        lead = open_.select("bucket", "node").join(least, "node").groupBy("bucket").agg(F.min("lead").alias("lead"))
+        named = open_.select("bucket", "node", "comp").join(lead, "bucket")
+    near = scratch.keep(named.groupBy("node", "comp").agg(F.min("lead").alias("lead")).join(sizes, "node").withColumn("w", _weight(F.col("n"))))
     large = near.groupBy("lead", "comp").agg(F.sum("w").alias("of_comp")).where(F.col("of_comp") > CELL).select("lead", "comp", F.col("comp").alias("alone"))
     placed = near.join(large, ["lead", "comp"], "left")
     parts = placed.groupBy("lead", "alone").agg(_parts(F.sum("w")).cast("long").alias("parts")).select(
