@@ -45,7 +45,6 @@ def robust_scaler_fit(
 
     Exact quantiles by default; ``approx`` sketches all positions in one pass without exploding.
     """
-    eps = 1e-6
     vec = A.fit_vector(F.col(column), dim)
     if approx:
         named = df.select(vec.alias("v")).agg(*[
@@ -61,6 +60,12 @@ def robust_scaler_fit(
         long = df.select(F.posexplode(vec).alias("dim", "x")).withColumn("x", pre_transform(F.col("x"), kind))
         q = exact_quantiles(long, ["dim"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, task_rows)
         stats = q.join(long.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")), "dim")
+    return scale_of(stats)
+
+
+def scale_of(stats: DataFrame) -> DataFrame:
+    """``dim``, ``median``, ``scale`` from quartiles and range: the interquartile range, else half the range, else one."""
+    eps = 1e-6
     iqr, half = F.col("q75") - F.col("q25"), 0.5 * (F.col("hi") - F.col("lo"))
     return stats.select(
         "dim", F.col("q50").alias("median"),
@@ -173,6 +178,11 @@ def recency_weight_fit(
 ) -> DataFrame:
     """One row: ``ref_ts`` (centre of the newest bin) and ``norm`` (1 / mean weight)."""
     bins = df.groupBy(F.floor(F.col(ts) / bin_seconds).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return recency_weight_of_bins(bins, halflife_days, bin_seconds, normalize)
+
+
+def recency_weight_of_bins(bins: DataFrame, halflife_days: float = 3.0, bin_seconds: int = 3600, normalize: bool = True) -> DataFrame:
+    """``recency_weight_fit`` from the rows ``n`` of each ``bin``."""
     centred = bins.withColumn("c", (F.col("bin") + 0.5) * float(bin_seconds))
     ref = centred.agg(F.max("c")).scalar()
     weighted = centred.withColumns({"_ref": ref, "_w": F.pow(

@@ -127,13 +127,22 @@ def exact_quantiles(
         return out.select(*keys, *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(names)])
 
     hist = cut(clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    return counted_quantiles(hist, keys, "_x", "_c", probs, task_rows)
+
+
+def counted_quantiles(
+    hist: DataFrame, keys: Sequence[str], value: str, count: str, probs: Mapping[str, float],
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """``exact_quantiles`` of values that are counted already: one row per key and distinct value (not null)."""
+    hist, names = hist.select(*keys, F.col(value).alias("_x"), F.col(count).alias("_c")), list(probs)
     known = [f"_k{i}" for i in range(len(keys))]
-    sizes = hist.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)]).agg(F.sum("_c").alias("_n"))
     ranked = running_totals(hist, keys, [F.col("_x")], {"_upto": F.col("_c")}, task_rows=task_rows)
     if keys:
+        sizes = hist.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)]).agg(F.sum("_c").alias("_n"))
         ranked = ranked.join(sizes, same_keys(keys, known)).drop(*known)
     else:
-        ranked = ranked.withColumn("_n", F.lit(n).cast("long"))
+        ranked = ranked.withColumn("_n", F.lit(hist.agg(F.sum("_c")).first()[0]).cast("long"))
     first = F.col("_upto") - F.col("_c")
 
     def at(index: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import inspect
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import arrays as A
 from strandmill.operators import fit as fits
+from strandmill.operators import fit_pass as once
 from strandmill.operators import sequence_rows as R
 from strandmill.operators import sequences as Q
 from strandmill.operators import vectors as V
 from strandmill.operators.normalize import check_contract
 from strandmill.operators.registry import Feature, Registry
+from strandmill.session import cut
 
 State = dict[str, DataFrame]
 KEY = "sample_id"
@@ -43,9 +46,22 @@ class Block:
     def fit_columns(self) -> list[str]:
         return []
 
-    def fit(self, train: DataFrame) -> State:
+    def entries(self) -> dict[str, Column]:
+        """Statistics for the common pass, by names that say all they depend on: equal ones of two blocks are counted once."""
+        return {}
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        """The state from the slices of the common table that ``entries`` named."""
         return {}
 
+    def own_fit(self, train: DataFrame) -> State:
+        """What the common pass cannot express."""
+        return {}
+
+    def fit(self, train: DataFrame) -> State:
+        made = self.entries()
+        return {**(self.settle(once.slices(once.gather(train, made), list(made))) if made else {}), **self.own_fit(train)}
+
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         raise NotImplementedError
 
@@ -66,6 +82,15 @@ def _add_field(df: DataFrame, domain: str, **fields) -> DataFrame:
     return df.withColumn(domain, F.transform(domain, grow))
 
 
+def _first_entries(domain: str, targets: Sequence[str], order: str) -> dict[str, Column]:
+    names = {t: f"first|{domain}|item|{t}|{order}" for t in targets}
+    return {n: once.first_entries(n, domain, "item", t, order) for t, n in names.items()}
+
+
+def _first_map(parts: Mapping[str, DataFrame], domain: str, targets: Sequence[str], order: str) -> DataFrame:
+    return once.first_targets({t: parts[f"first|{domain}|item|{t}|{order}"] for t in targets}, "item")
+
+
 class RobustScale(Block):
     key = "rssc"
 
@@ -75,13 +100,24 @@ class RobustScale(Block):
     def fit_columns(self) -> list[str]:
         return list(self.columns)
 
-    def fit(self, train: DataFrame) -> State:
-        return {c: fits.robust_scaler_fit(train, c, d, self.kind, self.approx) for c, d in self.columns.items()}
+    def _names(self) -> dict[str, str]:
+        return {c: f"number|{c}|{d}|{self.kind}" for c, d in self.columns.items()}
+
+    def entries(self) -> dict[str, Column]:
+        return {} if self.approx else {n: once.number_entries(n, c, self.columns[c], self.kind) for c, n in self._names().items()}
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        return {c: once.scaler(parts[n]) for c, n in self._names().items()}
+
+    def own_fit(self, train: DataFrame) -> State:
+        """Sketches: one aggregate without exploded rows."""
+        return {c: fits.robust_scaler_fit(train, c, d, self.kind, True) for c, d in self.columns.items()} if self.approx else {}
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         out = {}
         for c, d in self.columns.items():
-            med, scale = (fits.state_vector(state[c], v, d) for v in ("median", "scale"))
+            rows = {r["dim"]: r for r in state[c].collect()}  # as many as the vector has positions
+            med, scale = ([float(rows[i][v]) for i in range(d)] for v in ("median", "scale"))
             out[c] = fits.robust_scale(A.fit_vector(F.col(c), d), med, scale, self.kind, self.clip)
         return df.withColumns(out)
 
@@ -228,10 +264,13 @@ class SampleWeight(Block):
     def fit_columns(self) -> list[str]:
         return [] if self.scheme == "uniform" else ["ts"]
 
-    def fit(self, train: DataFrame) -> State:
-        if self.scheme == "uniform":
-            return {}
-        return {"weight": fits.recency_weight_fit(train, "ts", self.days, self.bins, self.norm)}
+    def entries(self) -> dict[str, Column]:
+        name = f"bin|ts|{self.bins}"
+        return {} if self.scheme == "uniform" else {name: once.bin_entries(name, "ts", self.bins)}
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        bins = parts[f"bin|ts|{self.bins}"].select(F.col("value").alias("bin"), "n")
+        return {"weight": fits.recency_weight_of_bins(bins, self.days, self.bins, self.norm)}
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         if "weight" not in state:
@@ -263,9 +302,11 @@ class TargetHistory(Block):
     def fit_columns(self) -> list[str]:
         return [self.order, self.domain]
 
-    def fit(self, train: DataFrame) -> State:
-        targets = [k for k in self.kinds if k != "item"]
-        return {"map": fits.first_seen(train, self.domain, "item", targets, self.order)} if targets else {}
+    def entries(self) -> dict[str, Column]:
+        return _first_entries(self.domain, [k for k in self.kinds if k != "item"], self.order)
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        return {"map": _first_map(parts, self.domain, [k for k in self.kinds if k != "item"], self.order)}
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         targets = [k for k in self.kinds if k != "item"]
@@ -318,8 +359,11 @@ class TemporalDynamics(Block):
     def fit_columns(self) -> list[str]:
         return [self.order, self.ads]
 
-    def fit(self, train: DataFrame) -> State:
-        return {"map": fits.first_seen(train, self.ads, "item", ["advertiser"], self.order)}
+    def entries(self) -> dict[str, Column]:
+        return _first_entries(self.ads, ["advertiser"], self.order)
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        return {"map": _first_map(parts, self.ads, ["advertiser"], self.order)}
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
         keep = df.columns
@@ -363,23 +407,33 @@ class FrequencyFilter(Block):
     key = "freq_filter"
 
     def __init__(self, scalars: Mapping[str, int] | None = None, lists: Mapping[str, int] | None = None, min_count: int = 5,
-                 max_vocab: int = 2_000_000, oov_mode: str = "skip") -> None:
+                 max_vocab: int | None = None, oov_mode: str = "skip") -> None:
         if oov_mode not in ("skip", "zero"):
             raise ValueError("oov_mode must be 'skip' or 'zero'")
         both = {**(scalars or {}), **(lists or {})}
-        self.huge = [c for c, v in both.items() if v >= max_vocab] if oov_mode == "zero" else []
-        self.scalars = {c: v for c, v in (scalars or {}).items() if v < max_vocab}
-        self.lists = {c: v for c, v in (lists or {}).items() if v < max_vocab}
+        # Counts are a distributed table, so every vocabulary is filtered unless the caller sets a limit.
+        large = {c for c, v in both.items() if max_vocab is not None and v >= max_vocab}
+        self.huge = sorted(large) if oov_mode == "zero" else []
+        self.scalars = {c: v for c, v in (scalars or {}).items() if c not in large}
+        self.lists = {c: v for c, v in (lists or {}).items() if c not in large}
         self.list_names, self.min_count = set(lists or {}), min_count
 
     def fit_columns(self) -> list[str]:
         return [*self.scalars, *self.lists]
 
-    def fit(self, train: DataFrame) -> State:
-        return {"frequent": fits.frequent_values(fits.category_counts(train, self.scalars, self.lists), self.min_count)}
+    def _names(self) -> dict[str, tuple[str, int]]:
+        return {f"value|{c}|{v}": (c, v) for c, v in {**self.scalars, **self.lists}.items()}
+
+    def entries(self) -> dict[str, Column]:
+        return {n: once.value_entries(n, c, v, c in self.list_names) for n, (c, v) in self._names().items()}
+
+    def settle(self, parts: Mapping[str, DataFrame]) -> State:
+        counts = [once.value_counts(parts[n], c) for n, (c, _) in self._names().items()]
+        return {"frequent": fits.frequent_values(reduce(DataFrame.unionByName, counts), self.min_count)}
 
     def transform(self, df: DataFrame, state: State) -> DataFrame:
-        df = fits.zero_rare_scalars(df, state["frequent"], self.scalars)
+        if self.scalars:
+            df = fits.zero_rare_scalars(df, state["frequent"], self.scalars)
         for name, vocab in self.lists.items():
             df = fits.zero_rare_list(df, state["frequent"], name, vocab, KEY)
         return df.withColumns({
@@ -403,7 +457,7 @@ class SignalEngineering(Block):
     def fit_columns(self) -> list[str]:
         return [p["feature"] for p in self.pcas]
 
-    def fit(self, train: DataFrame) -> State:
+    def own_fit(self, train: DataFrame) -> State:
         spark, out = train.sparkSession, {}
         for p in self.pcas:
             state = V.pca_fit(train, p["feature"], p["n_components"])
@@ -478,12 +532,24 @@ class FeatureChain:
             self.blocks.append(block)
 
     def fit(self, train: DataFrame) -> dict[str, State]:
-        """Fit every block on the union of the columns they read."""
-        needed = list(dict.fromkeys(c for b in self.blocks for c in b.fit_columns() if c in train.columns))
+        """Fit every block from one scan of the columns they read.
+
+        The counted statistics are written to the shared folder before any is applied, so neither the fit nor a later
+        apply goes back to the training rows.  Only sketches and PCA read them once more, each in a job of its own.
+        """
+        fitted = [b for b in self.blocks if b.fit_columns()]
+        needed = list(dict.fromkeys(c for b in fitted for c in b.fit_columns() if c in train.columns))
         if not needed:
             return {}
-        scan = train.select(*needed).persist()
-        return {b.key: b.fit(scan) for b in self.blocks if b.fit_columns()}
+        scan = train.select(*needed)
+        made = {n: c for b in fitted for n, c in b.entries().items()}
+        parts = once.slices(once.gather(scan, made), list(made)) if made else {}
+        state = {}
+        for b in fitted:
+            mine = {n: parts[n] for n in b.entries()}
+            own = {k: cut(t) for k, t in b.own_fit(scan).items()}
+            state[b.key] = {**(b.settle(mine) if mine else {}), **own}
+        return state
 
     def transform(self, df: DataFrame, state: Mapping[str, State]) -> DataFrame:
         for b in self.blocks:

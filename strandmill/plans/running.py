@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
 from strandmill.operators.splits import time_split
+from strandmill.plans import features as _features  # noqa: F401  its SQL is part of the chain's
 from strandmill.plans import scoring
 from strandmill.plans.adapters import DOMAINS
-from strandmill.plans.base import EV, IMP, LENS, SPLIT, query, samples
+from strandmill.plans.base import EV, FULL_HIST, HIST, IMP, LENS, SPLIT, SQL, query, samples
 from strandmill.plans.blocks import FeatureChain
 from strandmill.plans.evaluation import predictions
 from strandmill.sources.sinks import last_prediction
@@ -91,16 +92,36 @@ def run_chain(spark: SparkSession, sf: str) -> DataFrame:
     return chain.transform(split, state)
 
 
-@query("u2_feature_chain", f"""WITH {LENS}, l5 AS (SELECT sample_id, {', '.join(f'least({d}_len, 5) AS {d}_len' for d in DOMAINS[2:])} FROM lens){SPLIT},
-wts AS (SELECT max((ts // 3600 + 0.5) * 3600) AS ref FROM imp, cut WHERE ts < cutoff)
-SELECT sample_id, ts >= cutoff AS is_valid, seq_c_len, seq_d_len, ((ts + 28800) % 86400) // 3600 + 1 AS time_hour,
-  36::INTEGER AS n_state, 32::INTEGER AS n_stats FROM imp JOIN l5 USING (sample_id), cut""")
+STATS = ["present", "empty", "len_log", "last_gap_log", "gap_missing", "recent_300", "recent_3600", "recent_86400"]
+EVIDENCE = ["flag", "log_count", "last_gap_log", "gap_missing", "recent_1", "recent_2", "recent_3", "last_action"]
+
+
+def _cut_sql(name: str) -> str:
+    """The SQL of a feature query over the histories that the sample table holds."""
+    return SQL[name].replace(FULL_HIST, HIST)
+
+
+@query("u2_feature_chain", f"""WITH s1 AS ({_cut_sql('q16_conversion_state')}), s2 AS ({_cut_sql('q17_temporal_velocity')}), s3 AS ({_cut_sql('q18_temporal_fatigue')}),
+s4 AS ({_cut_sql('q19_temporal_context')}), s5 AS ({_cut_sql('q12_sample_weight')}), s6 AS ({_cut_sql('q9_time_categories')}), s7 AS ({_cut_sql('q3_dense_seq_stats')}),
+s8 AS ({_cut_sql('q13_target_evidence')}), s9 AS ({_cut_sql('q14_target_ids')}), {LENS}{SPLIT},
+often AS (SELECT item_id FROM imp, cut WHERE ts < cutoff AND item_id BETWEEN 1 AND 199 GROUP BY item_id HAVING count(*) >= 5)
+SELECT sample_id, ts >= cutoff AS is_valid, CASE WHEN item_id BETWEEN 1 AND 199 AND item_id NOT IN (SELECT item_id FROM often) THEN 0 ELSE item_id END AS item_id,
+  least(seq_c_len, 5) AS seq_c_len, least(seq_d_len, 5) AS seq_d_len, weight AS sample_weight, target_item AS c_target_item_id,
+  CASE WHEN item_id > 0 THEN target_campaign ELSE 0 END AS c_target_campaign_id,
+  {', '.join(f's7.{n} AS stats_{n}' for n in STATS)}, {', '.join(f's8.{n} AS target_{n}' for n in EVIDENCE)},
+  s1.* EXCLUDE (sample_id), s2.* EXCLUDE (sample_id), s3.* EXCLUDE (sample_id), s4.* EXCLUDE (sample_id), s6.* EXCLUDE (sample_id)
+FROM imp JOIN lens USING (sample_id) JOIN s1 USING (sample_id) JOIN s2 USING (sample_id) JOIN s3 USING (sample_id) JOIN s4 USING (sample_id)
+  JOIN s5 USING (sample_id) JOIN s6 USING (sample_id) JOIN s7 USING (sample_id) JOIN s8 USING (sample_id) JOIN s9 USING (sample_id), cut
+WHERE s7.dom = 'seq_c' AND s8.kind = 'campaign'""")
 def u2(spark, sf):
-    """A configured chain of thirteen blocks, fitted on the training rows and applied to all."""
+    """A configured chain of thirteen blocks, fitted in one pass over the training rows and applied to all."""
     df = run_chain(spark, sf)
-    n_state = len([c for c in df.columns if c.startswith("conv_state_")])
-    return df.select("sample_id", "is_valid", "seq_c_len", "seq_d_len", "time_hour", F.lit(n_state).alias("n_state"),
-                     F.size("dense_seq_stats").alias("n_stats"))
+    made = [c for c in df.columns if c.startswith(("conv_state_", "td_", "time_"))]
+    stats = {f"stats_{n}": F.get("dense_seq_stats", F.lit(2 * len(STATS) + i)) for i, n in enumerate(STATS)}
+    evidence = {f"target_{n}": F.get("c_target_hist", F.lit(len(EVIDENCE) + i)) for i, n in enumerate(EVIDENCE)}
+    return df.select(
+        "sample_id", "is_valid", "item_id", "seq_c_len", "seq_d_len", "sample_weight", "c_target_item_id", "c_target_campaign_id",
+        *[c.alias(n) for n, c in {**stats, **evidence}.items()], *made)
 
 
 @query("u2_chain_events")

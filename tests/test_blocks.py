@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import arrays as A
+from strandmill.operators import fit as fits
+from strandmill.operators import fit_pass as once
 from strandmill.operators import normalize as N
 from strandmill.operators.registry import DeclaredSchema, Feature, Registry, bare_glob, glob_to_regex
 from strandmill.plans.blocks import FeatureChain
@@ -119,6 +121,41 @@ def test_chain_state_survives_a_round_trip(spark, tmp_path):
     assert all(abs(sum(x * x for x in r["v"]) - 1) < 1e-9 or r["v"] == [0.0, 0.0] for r in a)
 
 
+def test_fit_reads_the_training_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, 7200 * i, [float(i), None, float(i % 3)], i % 4, [i % 4, i % 4, 9], [(i % 6, i % 5, i % 3), (i % 2, 0, 1)]) for i in range(60)]
+    schema = "sample_id long, ts long, v array<double>, c long, l array<long>, seq_c array<struct<item:long,campaign:long,advertiser:long>>"
+    plain = spark.createDataFrame(rows, schema)
+    df = plain.mapInArrow(look, schema)
+    chain = FeatureChain({"rssc": {"columns": {"v": 3}}, "sample_weight": {}, "c_target": {}, "temporal_dynamics": {"domains": ["seq_c"]},
+                          "freq_filter": {"scalars": {"c": 10}, "lists": {"l": 8}, "min_count": 11}})
+    state = chain.fit(df)
+    got = {k: {n: sorted(map(tuple, t.collect()), key=repr) for n, t in s.items()} for k, s in state.items()}
+    assert seen.value == 60
+    want = {
+        "rssc": {"v": fits.robust_scaler_fit(plain, "v", 3)},
+        "sample_weight": {"weight": fits.recency_weight_fit(plain)},
+        "c_target": {"map": fits.first_seen(plain, "seq_c", "item", ["campaign", "advertiser"], "sample_id")},
+        "temporal_dynamics": {"map": fits.first_seen(plain, "seq_c", "item", ["advertiser"], "sample_id")},
+        "freq_filter": {"frequent": fits.frequent_values(fits.category_counts(plain, {"c": 10}, {"l": 8}), 11)},
+    }
+    assert got == {k: {n: sorted(map(tuple, t.collect()), key=repr) for n, t in s.items()} for k, s in want.items()}
+
+
+def test_scales_from_counts_at_any_task_size(spark):
+    df = spark.createDataFrame([([float(i % 50), -0.0 if i % 2 else 0.0],) for i in range(900)], "v array<double>")
+    table = once.gather(df, {"a": once.number_entries("a", "v", 2)}).where("stat = 'a'")
+    small, large = ({r["dim"]: (r["median"], r["scale"]) for r in once.scaler(table, n).collect()} for n in (10**6, 16))
+    assert small == large == {0: (24.5, 25.0), 1: (0.0, 1.0)}
+    assert once.scaler(table.where("false")).collect() == []
+
+
 def test_random_mask_is_repeatable(spark):
     df = spark.range(2000).withColumnRenamed("id", "sample_id").withColumn("x", F.lit(1.0))
     a = N.mask_at_random(df, {"g": ["x"]}, {"g": 0.25}, "sample_id", 3).agg(F.sum("x")).first()[0]
