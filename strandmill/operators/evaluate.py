@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
 from strandmill.operators.ranking import (
-    TASK_ROWS, exact_quantiles, running_totals,
+    TASK_ROWS, exact_quantiles, global_rank, running_totals, same_keys,
 )
 from strandmill.operators.splits import set_overlap, top_fraction_flags
 
@@ -313,6 +313,38 @@ def hard_set_churn(previous: DataFrame, current: DataFrame) -> DataFrame:
         F.col("jaccard").alias("hard_jaccard"), F.col("entry_rate").alias("hard_entry_rate"))
 
 
+def hub_negatives(df: DataFrame, keys: Sequence[str] = (), score: str = "logit", share: float = 0.01, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per key, ids of the negatives with the most inverted pairs (at least one, ties by id).
+
+    A negative's inversions never fall as its score rises, so the score orders them and no pair is counted.
+    """
+    negatives = df.where(F.col("label") <= 0.5).select(*keys, "sample_id", score)
+    ranked = global_rank(negatives, [F.col(score).desc(), F.col("sample_id")], "_rank", keys, task_rows)
+    known = [f"_k{i}" for i in range(len(keys))]
+    sizes = negatives.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, known, strict=True)]).agg(
+        F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(float(share)))).alias("_top"))
+    return ranked.join(F.broadcast(sizes) if not keys else sizes, same_keys(keys, known)).where(
+        F.col("_rank") <= F.col("_top")).select(*keys, "sample_id")
+
+
+def successive_churn(sets: DataFrame, step: str, prefix: str) -> DataFrame:
+    """Jaccard and entry rate of each step's id set against the step before (columns ``step``, ``sample_id``).
+
+    Every id meets itself in the neighbouring step in one aggregate; the list of steps is as long as the evaluation history.
+    """
+    rows = sets.select(F.col(step).alias("_step"), "sample_id").distinct()
+    steps = rows.select("_step").distinct().withColumn("_next", F.lead("_step").over(Window.orderBy("_step")))
+    sides = rows.join(steps, "_step").select("sample_id", F.inline(F.array(
+        F.struct(F.col("_next").alias(step), F.lit(1).alias("_old"), F.lit(0).alias("_new")),
+        F.struct(F.col("_step").alias(step), F.lit(0).alias("_old"), F.lit(1).alias("_new"))))).where(F.col(step).isNotNull())
+    met = sides.groupBy(step, "sample_id").agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    old, new = F.col("_old") == 1, F.col("_new") == 1
+    out = met.groupBy(step).agg(
+        S.ratio(F.count_if(old & new), F.count(F.lit(1))).alias(f"{prefix}_jaccard"),
+        S.ratio(F.count_if(new & ~old), F.count_if(new)).alias(f"{prefix}_entry_rate"), F.max("_old").alias("_old"))
+    return out.where("_old = 1").drop("_old")  # the first step has none before it
+
+
 AUC_SOURCES = {"seq_len", "active_domain_count", "primary_domain"}
 
 

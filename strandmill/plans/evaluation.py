@@ -11,7 +11,7 @@ from strandmill.operators import health as H
 from strandmill.operators import losses as LS
 from strandmill.operators import splits as P
 from strandmill.operators import vectors as V
-from strandmill.operators.importance import group_importance
+from strandmill.operators.importance import exact_importance
 from strandmill.operators.ranking import exact_quantiles, global_rank
 from strandmill.plans.adapters import DOMAINS, event_log, table
 from strandmill.plans.base import EV, FULL_LENS, HIST, IMP, LENS, SPLIT, query, samples
@@ -279,6 +279,21 @@ def e16(spark, sf):
     return E.hard_set_churn(E.hard_set(df, "loss"), E.hard_set(df, "loss_b"))
 
 
+@query("e16_hub_negative_churn", f"""WITH {IMP}, vs AS (SELECT sample_id, label, range AS step, logit + (item_id % 5 - 2) * 0.125 * range AS z FROM imp, range(4)),
+inv AS (SELECT step, sample_id, label, z, count(*) FILTER (label = 1) OVER (PARTITION BY step ORDER BY z RANGE UNBOUNDED PRECEDING) AS inv FROM vs),
+rk AS (SELECT step, sample_id, row_number() OVER (PARTITION BY step ORDER BY inv DESC, z DESC, sample_id) AS r, count(*) OVER (PARTITION BY step) AS q FROM inv WHERE label = 0),
+hub AS (SELECT step, sample_id FROM rk WHERE r <= greatest(1, round_even(q * 0.01, 0))),
+o AS (SELECT coalesce(b.step, a.step + 1) AS step, a.sample_id AS old, b.sample_id AS new FROM hub a FULL JOIN hub b ON a.sample_id = b.sample_id AND b.step = a.step + 1)
+SELECT step, count(*) FILTER (old IS NOT NULL AND new IS NOT NULL)::DOUBLE / count(*) AS hub_jaccard,
+  count(*) FILTER (old IS NULL)::DOUBLE / count(new) AS hub_entry_rate FROM o WHERE step BETWEEN 1 AND 3 GROUP BY step""")
+def e16_hubs(spark, sf):
+    """Negatives with the most inversions in four evaluations of a drifting model."""
+    drift = (F.col("item_id") % 5 - 2) * 0.125
+    rows = predictions(spark, sf).select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])).alias("step"))
+    hubs = E.hub_negatives(rows.withColumn("logit", F.col("logit") + drift * F.col("step")), ["step"])
+    return E.successive_churn(hubs, "step", "hub")
+
+
 BUCKETS = {
     "loss_cuts": {"quantiles": [0.5, 0.9], "labels": ["loss_easy", "loss_mid", "loss_hard"]},
     "score_cuts": {"quantiles": [0.25, 0.75], "labels": ["band_low", "band_mid", "band_high"]},
@@ -480,15 +495,25 @@ def e32(spark, sf):
     return LS.disagreement_loss(second_view(predictions(spark, sf)), "logit", "logit_b")
 
 
-@query("e33_group_importance")
-def e33(spark, sf):
-    df = samples(spark, sf).select("sample_id", "label", "logit", *[F.col(f"{d}_raw_len").alias(f"n_{d}") for d in DOMAINS]).where(F.col("label").isNotNull())
+_SHOWN = {g: f"CASE WHEN c & {1 << i} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE" for i, g in enumerate(("score", "clicks", "purchases"))}
+
+
+@query("e33_exact_group_values", f"""WITH {FULL_LENS}, z AS (SELECT range AS c, label, logit * 0.5 * {_SHOWN['score']} + seq_a_len * 0.125::DOUBLE * {_SHOWN['clicks']}
+    - seq_c_len * 0.25::DOUBLE * {_SHOWN['purchases']} - 0.5::DOUBLE AS z FROM imp JOIN lens USING (sample_id), range(8)),
+au AS ({auc_sql('z', 'z', 'c')}), lo AS (SELECT c, avg({bce_sql('z', 'label')}) AS loss FROM z GROUP BY c),
+v AS (SELECT c, loss, coalesce(auc, 0.5) AS auc FROM au JOIN lo USING (c)),
+g AS (SELECT unnest(['score', 'clicks', 'purchases']) AS name, unnest([1, 2, 4]) AS bit)
+SELECT name AS "group", sum(w * (a.loss - b.loss)) AS loss_value, 0.0::DOUBLE AS loss_se, sum(w * (b.auc - a.auc)) AS auc_value, 0.0::DOUBLE AS auc_se,
+  6::BIGINT AS n_permutations FROM g, (SELECT *, CASE WHEN bit_count(c) = 1 THEN 1 / 6::DOUBLE ELSE 1 / 3::DOUBLE END AS w FROM v) a JOIN v b ON b.c = a.c + bit
+WHERE a.c & bit = 0 GROUP BY name""")
+def e33_exact(spark, sf):
+    """Exact Shapley values of three feature groups in a fixed linear scorer."""
+    df = samples(spark, sf).select("sample_id", "label", F.col("logit").alias("x"), *[F.col(f"seq_{d}_raw_len").alias(f"n_{d}") for d in "ac"])
 
-    def scorer(active):
-        parts = {"score": F.col("logit"), "clicks": F.log1p(F.col("n_seq_a")) - 2.0, "purchases": F.log1p(F.col("n_seq_c")) - 2.0}
-        return sum((F.when(active[g], v).otherwise(0.0) for g, v in parts.items()), F.lit(-0.5))
+    def scorer(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("logit", F.col("x") * 0.5 + F.col("n_a") * 0.125 - F.col("n_c") * 0.25 - 0.5)
 
-    return group_importance(df, ["score", "clicks", "purchases"], scorer, permutations=20)
+    return exact_importance(df, {"score": ["x"], "clicks": ["n_a"], "purchases": ["n_c"]}, scorer)
 
 
 # --- set operations -----------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalars as S
+from strandmill.operators.importance import group_importance
 from strandmill.operators.splits import time_split
 from strandmill.plans import features as _features  # noqa: F401  its SQL is part of the chain's
 from strandmill.plans import scoring
@@ -57,13 +58,12 @@ def t3(spark, sf):
     return T.run_available(spark, T.user_sessions(event_stream(spark, sf)))
 
 
-@query("t4_recency_counters", f"""WITH {EV}, h AS (SELECT user_id, ts, ts // 3600 * 3600 AS hr, max(ts // 3600 * 3600) OVER (PARTITION BY user_id) AS top,
-  max(ts) OVER (PARTITION BY user_id) AS newest FROM ev)
-SELECT user_id, newest, count(*) AS n_events, count(*) FILTER (top - hr < 3600) AS n_t0, count(*) FILTER (top - hr < 86400) AS n_t1,
-  count(*) FILTER (top - hr < 604800) AS n_t2 FROM h GROUP BY user_id, newest""")
+@query("t4_recency_counters", f"""WITH {EV}, h AS (SELECT user_id, ts, max(ts) OVER (PARTITION BY user_id) AS newest FROM ev)
+SELECT user_id, newest, count(*) AS n_events, count(*) FILTER (newest - ts <= 3600) AS n_t0, count(*) FILTER (newest - ts <= 86400) AS n_t1,
+  count(*) FILTER (newest - ts <= 604800) AS n_t2 FROM h GROUP BY user_id, newest""")
 def t4(spark, sf):
     return T.run_available(
-        spark, T.hourly_counts(event_stream(spark, sf)), "update", ["user_id", "hour_start"], T.recency_counters)
+        spark, T.counts_per_second(event_stream(spark, sf)), "update", ["user_id", "second"], T.recency_counters)
 
 
 CHAIN = {
@@ -145,9 +145,8 @@ def u4(spark, sf):
 BASELINE_FEATURES = ["dense_len", "clicks_1d", "entropy", "burst", "hour"]
 
 
-@query("u5_baseline_scores")
-def u5(spark, sf):
-    """Train on the training split with recency weights, score validation, one probability per user."""
+def baseline_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(training rows with recency weights, validation rows) of the baseline's features."""
     from strandmill.operators import fit as fits
     from strandmill.operators import sequences as Q
 
@@ -160,6 +159,21 @@ def u5(spark, sf):
     split = time_split(df, "ts", 0.2)
     train = split.where(~F.col("is_valid"))
     w = fits.recency_weight_fit(train).first()
-    weighted = train.withColumn("sample_weight", fits.recency_weight(F.col("ts"), w["ref_ts"], w["norm"]))
+    return train.withColumn("sample_weight", fits.recency_weight(F.col("ts"), w["ref_ts"], w["norm"])), split.where("is_valid")
+
+
+@query("u5_baseline_scores")
+def u5(spark, sf):
+    """Train on the training split with recency weights, score validation, one probability per user."""
+    weighted, valid = baseline_rows(spark, sf)
+    model = scoring.train_baseline(weighted, BASELINE_FEATURES, weight="sample_weight")
+    return last_prediction(scoring.score(valid, model), "sample_id")
+
+
+@query("e33_group_importance")
+def e33(spark, sf):
+    """Walks over masked feature groups of the trained baseline, on all validation rows."""
+    weighted, valid = baseline_rows(spark, sf)
     model = scoring.train_baseline(weighted, BASELINE_FEATURES, weight="sample_weight")
-    return last_prediction(scoring.score(split.where("is_valid"), model), "sample_id")
+    groups = {"volume": ["dense_len", "entropy"], "recency": ["clicks_1d", "burst"], "time": ["hour"]}
+    return group_importance(valid, groups, lambda rows: scoring.score(rows, model, None), permutations=100)

@@ -57,25 +57,24 @@ def user_sessions(stream: DataFrame, gap: str = "1 hour", delay: str = "10 minut
     return out.select("user_id", F.unix_micros("s.start").alias("session_start"), F.unix_micros("s.end").alias("session_end"), "n")
 
 
-def hourly_counts(stream: DataFrame, keep: str = "7 days") -> DataFrame:
-    """Per-user event counts per hour: the state behind live recency counters.
+def counts_per_second(stream: DataFrame, keep: str = "7 days") -> DataFrame:
+    """Per-user event counts per second: the state behind live recency counters.
 
-    The built-in windowed aggregate combines rows before the shuffle, so a user with a third of the
-    stream sends one count per hour and task; state older than the longest window is dropped.
+    Whole seconds are the grain of all thresholds, so the counters are exact.  The built-in windowed aggregate combines
+    rows before the shuffle and spreads a user's seconds over all tasks; state older than the longest window expires.
     """
     out = stream.withWatermark("event_time", keep).groupBy(
-        "user_id", F.window("event_time", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds("event_time")).alias("newest"))
-    return out.select("user_id", F.unix_seconds("w.start").alias("hour_start"), "n", "newest")
+        "user_id", F.window("event_time", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.unix_seconds("w.start").alias("second"), "n")
 
 
-def recency_counters(hours: DataFrame, windows: Sequence[int] = (3600, 86400, 604800)) -> DataFrame:
-    """Events in the last whole hours of each window, up to the hour of the user's newest event."""
-    top = hours.groupBy("user_id").agg(F.max("hour_start").alias("top"), F.max("newest").alias("newest"))
-    age = F.col("top") - F.col("hour_start")
-    return hours.drop("newest").join(top, "user_id").groupBy("user_id", "newest").agg(
+def recency_counters(seconds: DataFrame, windows: Sequence[int] = (3600, 86400, 604800)) -> DataFrame:
+    """Events at most each window's seconds older than the user's newest event, that event included."""
+    top = seconds.groupBy("user_id").agg(F.max("second").alias("newest"))
+    age = F.col("newest") - F.col("second")
+    return seconds.join(top, seconds["user_id"].eqNullSafe(top["user_id"])).drop(top["user_id"]).groupBy("user_id", "newest").agg(
         F.sum("n").alias("n_events"),
-        *[F.coalesce(F.sum(F.when(age < w, F.col("n"))), F.lit(0)).alias(f"n_t{i}") for i, w in enumerate(windows)])
+        *[F.coalesce(F.sum(F.when(age <= w, F.col("n"))), F.lit(0)).alias(f"n_t{i}") for i, w in enumerate(windows)])
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from strandmill.operators import fit as fits
 from strandmill.operators import health as H
 from strandmill.operators import losses as LS
 from strandmill.operators import vectors as V
-from strandmill.operators.importance import group_importance
+from strandmill.operators.importance import RunningMean, coalition_values, exact_importance, group_importance
 
 
 @pytest.fixture(scope="module")
@@ -125,15 +125,67 @@ def test_mutual_information_limits():
     assert mi == pytest.approx(0.0, abs=1e-12) and abs(ami) < 0.02
 
 
-def test_importance_prefers_the_informative_group(preds):
-    _, _, df = preds
+def test_expected_information_against_factorials():
+    lg = math.lgamma
+    for a, b in (([3, 7, 10], [5, 15]), ([1, 1, 98], [50, 50]), ([40, 60], [1, 99]), ([200, 300, 500], [10, 990])):
+        n, want = sum(a), 0.0
+        for x in a:
+            for y in b:
+                for k in range(max(1, x + y - n), min(x, y) + 1):
+                    p = math.exp(lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1)
+                                 - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1))
+                    want += k / n * math.log(n * k / (x * y)) * p
+        assert V.expected_information(np.array(a), np.array(b)) == pytest.approx(want, rel=1e-9)
+
 
-    def scorer(active):
-        return F.when(active["signal"], F.col("logit")).otherwise(0.0) + F.when(active["noise"], F.col("sample_id") % 2 * 0.01).otherwise(0.0)
+def test_expected_information_of_large_counts():
+    # Independent tables: (rows - 1) (columns - 1) / 2n in the limit.
+    a, b = np.array([4 * 10**9, 6 * 10**9]), np.array([2 * 10**9, 3 * 10**9, 5 * 10**9])
+    assert V.expected_information(a, b) == pytest.approx(2 / (2 * 10**10), rel=1e-3)
 
-    got = {r["group"]: r for r in group_importance(df, ["signal", "noise"], scorer, permutations=10).collect()}
-    assert got["signal"]["auc_value"] > 0.1 > abs(got["noise"]["auc_value"])
-    assert got["signal"]["n_permutations"] == 10
+
+def test_importance_of_masked_groups(preds):
+    _, _, df = preds
+    rows = df.select("sample_id", "label", F.col("logit").alias("x"), (F.col("sample_id") % 2).alias("y"), (F.col("sample_id") % 7).alias("w"))
+    rows = rows.unionByName(rows.limit(1).withColumn("label", F.lit(None).cast(rows.schema["label"].dataType)))
+    groups = {"signal": ["x"], "noise": ["y"], "more": ["w"]}
+
+    def scorer(d):
+        return d.withColumn("logit", F.col("x") + 0.01 * F.col("y") * F.col("w"))
+
+    exact = {r["group"]: r for r in exact_importance(rows, groups, scorer).collect()}
+    got = {r["group"]: r for r in group_importance(rows, groups, scorer, permutations=200, threshold=0.0).collect()}
+    ends = {r["coalition"]: r for r in coalition_values(rows, groups, scorer, [0, 7], task_rows=8).collect()}
+    assert ends[0]["n"] == rows.where("label is not null").count() and ends[0]["auc"] == 0.5
+    for name, kind, sign in (("loss", "loss_value", -1), ("auc", "auc_value", 1)):
+        assert sum(r[kind] for r in exact.values()) == pytest.approx(sign * (ends[7][name] - ends[0][name]), abs=1e-9)
+        for g in groups:
+            assert got[g][kind] == pytest.approx(exact[g][kind], abs=5 * got[g][kind.replace("value", "se")] + 1e-9)
+    assert exact["signal"]["auc_value"] > 0.1 > abs(exact["noise"]["auc_value"])
+    assert {r["n_permutations"] for r in got.values()} == {200}
+    assert group_importance(rows.where("false"), groups, scorer, permutations=10).collect() == []
+
+
+def test_running_means_merge():
+    xs = [0.5, 2.0, -1.0, 4.0, 4.0, 0.25]
+    whole, left, right = (RunningMean() for _ in range(3))
+    for i, x in enumerate(xs):
+        whole.add(x)
+        (left if i < 2 else right).add(x)
+    left.merge(right)
+    assert (left.n, left.mean, left.error) == pytest.approx((6, np.mean(xs), np.std(xs, ddof=1) / math.sqrt(6)))
+    assert (whole.mean, whole.error) == pytest.approx((left.mean, left.error))
+
+
+def test_hub_churn_over_steps(spark):
+    rows = [(s, i, 0, float((i * (3 + 2 * s)) % 11) + i / 100) for s in (1, 4, 6) for i in range(40)] + [(s, 100 + s, 1, 5.0) for s in (1, 4, 6)]
+    df = spark.createDataFrame(rows, "step long, sample_id long, label long, logit double")
+    tops = {s: {i for _, i in sorted(((-z, i) for t, i, y, z in rows if t == s and y == 0))[:4]} for s in (1, 4, 6)}
+    for task_rows in (10**6, 16):
+        hubs = E.hub_negatives(df, ["step"], share=0.1, task_rows=task_rows)
+        got = {r["step"]: (r["hub_jaccard"], r["hub_entry_rate"]) for r in E.successive_churn(hubs, "step", "hub").collect()}
+        assert got == {b: (len(tops[a] & tops[b]) / len(tops[a] | tops[b]), len(tops[b] - tops[a]) / 4) for a, b in ((1, 4), (4, 6))}
+    assert E.hub_negatives(df.where("step = 1"), share=0.001).count() == 1
 
 
 def test_early_stop_counts_from_the_best(spark):

@@ -122,7 +122,7 @@ def event_files(spark, tmp_path):
 @pytest.mark.parametrize(("build", "keys", "finish"), [
     (T.label_rates, ["window_start"], None),
     (T.score_histogram, ["window_start", "bin"], T.auc_from_histogram),
-    (T.hourly_counts, ["user_id", "hour_start"], T.recency_counters),
+    (T.counts_per_second, ["user_id", "second"], T.recency_counters),
 ])
 def test_stream_equals_batch(spark, event_files, build, keys, finish):
     batch = build(spark.read.parquet(event_files))
@@ -143,3 +143,16 @@ def test_sessions_close_behind_the_watermark(spark, event_files):
     assert {tuple(r) for r in closed} <= {tuple(r) for r in batch}
     newest = max(r["session_end"] for r in batch) - 3600 * 10**6
     assert {tuple(r) for r in batch if r["session_end"] <= newest - 600 * 10**6} == {tuple(r) for r in closed}
+
+
+def test_live_counters_equal_counts_as_of(spark, event_files):
+    from strandmill.operators.history import counts_as_of
+
+    log = spark.read.parquet(event_files).select("user_id", F.unix_seconds("event_time").alias("ts"), F.lit("d").alias("domain"), F.expr("uuid()").alias("event_id"))
+    probes = log.groupBy("user_id").agg(F.max("ts").alias("ts")).withColumn("sample_id", F.col("user_id"))
+    at = {"now": F.col("ts") + 1, **{f"w{w}": F.col("ts") - w for w in (3600, 86400)}}
+    want = {r["sample_id"]: (r["now_d"], r["now_d"] - r["w3600_d"], r["now_d"] - r["w86400_d"])
+            for r in counts_as_of(probes, log, ["user_id"], at, ["d"]).collect()}
+    stream = spark.readStream.schema(spark.read.parquet(event_files).schema).option("maxFilesPerTrigger", 1).parquet(event_files)
+    live = T.run_available(spark, T.counts_per_second(stream), "update", ["user_id", "second"], T.recency_counters)
+    assert {r["user_id"]: (r["n_events"], r["n_t0"], r["n_t1"]) for r in live.collect()} == want
