@@ -57,8 +57,13 @@ def judge_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url"
     host of any length costs no more than its text and the list's levels.
 
     A null URL or day, or a URL without host, gives "none"; repeated captures are judged alike; an
-    empty list gives "none" throughout.
+    empty list gives "none" throughout.  Given columns may have any names; those named like the four
+    results are left out.
     """
+    captures = captures.drop("_verdict", "_pattern", "_valid_from", "_valid_to")
+    named, found = captures.columns, ["_verdict", "_pattern", "_valid_from", "_valid_to"]
+    captures = captures.toDF(*[f"c{i}" for i in range(len(named))])
+    url_col, day_col = (f"c{named.index(c)}" for c in (url_col, day_col))
     spans = cut(intervals(changes))
     depth = spans.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
     levels = sorted(r["n"] for r in spans.where(~F.col("pattern").contains("/")).select(F.size(F.split("pattern", "\\.")).alias("n")).distinct().collect())
@@ -74,4 +79,4 @@ def judge_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url"
         F.length("pattern").alias("n"), "pattern", F.col("now.action").alias("action"), F.col("now.valid_from").alias("a"), F.col("now.valid_to").alias("b"))).alias("_best"))
     out = captures.join(cut(hit), (F.col(url_col) == F.col("_u")) & (F.col(day_col) == F.col("_d")), "left")
     return out.select(*[captures[c] for c in captures.columns], F.coalesce("_best.action", F.lit("none")).alias("_verdict"), F.col("_best.pattern").alias("_pattern"),
-                      F.col("_best.a").alias("_valid_from"), F.col("_best.b").alias("_valid_to"))
+                      F.col("_best.a").alias("_valid_from"), F.col("_best.b").alias("_valid_to")).toDF(*named, *found)
