@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.tables import running
+from strandmill.llm.tables import running, spread_repeats
 from strandmill.llm.texts import mix, seeds
 
 ROUNDS = 6
@@ -50,10 +50,12 @@ def shuffle_to_shards(docs: DataFrame, identity: list[Column], shards: int, rows
     Rows are numbered in the order of a digest of their identity, in even slices, so the numbers do
     not depend on files or partitions; the permuted number p gives shard p mod shards and slot
     p div shards.  Shard sizes differ by one at most and slots have no gap.  From a row number, n
-    and the seed anyone can compute where a row lies.  Rows of equal identity (nulls included) get
-    consecutive numbers in any order; an empty table stays empty.
+    and the seed anyone can compute where a row lies.  Rows of equal identity (nulls included) are
+    numbered in any order, side by side unless they are more than a slice holds: then they are spread
+    over all slices.  An empty table stays empty.
     """
     digest = F.md5(F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit("\x02")) for c in identity]))
-    numbered = running(docs.withColumns({"_digest": digest, "_one": F.lit(1).cast("long")}), [], "_digest", [], {"_row": "_one"}, rows)
+    dealt = spread_repeats(docs.withColumns({"_digest": digest, "_one": F.lit(1).cast("long")}), "_digest", rows)
+    numbered = running(dealt, [], "_digest", [], {"_row": "_one"}, rows)
     moved = numbered.drop("_digest", "_one").withColumn("_p", _permuted(max(rows, 1), seed)(F.col("_row")))
     return moved.withColumns({"_shard": F.pmod("_p", F.lit(shards)).cast("int"), "_slot": F.floor(F.col("_p") / shards).cast("long")}).drop("_p")

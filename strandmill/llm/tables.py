@@ -65,6 +65,25 @@ def slice_of(order: Column, slices: int) -> Column:
     return F.floor(lead * F.lit(slices) / F.lit(1 << 32)).cast("long")
 
 
+def spread_repeats(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """``df`` with new md5 strings in ``order`` for the rows of any value that repeats more often than a slice is long.
+
+    Such rows would stand in one slice and one task; they are alike, so any order of them will do.  One aggregate of slice
+    sizes shows whether there can be such a value at all; if so, the dealt rows are written down before use.
+    """
+    slices = rows // SLICE_ROWS + 1
+    at = slice_of(F.col(order), slices)
+    full = df.groupBy(at.alias("_k_slice")).agg(F.count(F.lit(1)).alias("_k_n")).where(F.col("_k_n") > 2 * SLICE_ROWS).drop("_k_n")
+    full = cut(full)
+    if full.isEmpty():
+        return df
+    hot = df.select(order, at.alias("_k_slice")).join(small(full, slices), "_k_slice").groupBy(F.col(order).alias("_k_hot")).agg(
+        F.count(F.lit(1)).alias("_k_n")).where(F.col("_k_n") > SLICE_ROWS).drop("_k_n")
+    met = df.join(small(cut(hot), slices), F.col(order) == F.col("_k_hot"), "left")
+    fresh = F.md5(F.concat_ws("|", order, F.monotonically_increasing_id()))
+    return cut(met.withColumn(order, F.when(F.col("_k_hot").isNotNull(), fresh).otherwise(F.col(order))).drop("_k_hot"))
+
+
 def running(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column], totals: dict[str, str], rows: int, groups: int = 1) -> DataFrame:
     """Totals of the rows before each row, per key, in the order of an md5 column.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandmill.llm import licenses, mixing, queries
+from strandmill.llm import licenses, mixing, queries, sharding, tables, url_lists
 
 NAMES = "id size order row k _s _score _toxic _held_out _spans _n_hit _contaminated _row _p _shard _digest _one key n c0 epoch before total".split()
 
@@ -86,3 +86,36 @@ def test_licences_keep_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "all rights reserved", 5, 6)], "doc_id long, text string, _words int, _hits int")
     out = licenses.license_scan(docs)
     assert out.columns == [*docs.columns, "_n_words", "_found"] and out.first()._hits == 6
+
+
+def test_equal_rows_are_spread_over_slices(spark, monkeypatch):
+    """A third of all rows alike: no slice holds them, numbers stay gapless, other rows keep their neighbours."""
+    monkeypatch.setattr(tables, "SLICE_ROWS", 100)
+    docs = tables.cut(spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text")))
+    digest = docs.withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    spread = tables.spread_repeats(digest, "_digest", 4000)
+    assert spread.columns == digest.columns and spread.count() == 4000
+    sizes = [r["count"] for r in spread.groupBy(tables.slice_of(F.col("_digest"), 41)).count().collect()]
+    assert len(sizes) == 41 and max(sizes) < 200
+    kept = {r.doc_id: r._digest for r in spread.where("doc_id is not null").collect()}
+    assert kept == {r.doc_id: r._digest for r in digest.where("doc_id is not null").collect()}
+    assert tables.spread_repeats(digest.where("doc_id is not null"), "_digest", 4000).columns == digest.columns
+    out = sharding.shuffle_to_shards(docs, [F.col("doc_id"), F.col("text")], 7, 4000).collect()
+    assert sorted(r._row for r in out) == list(range(4000))
+    for s in range(7):
+        assert sorted(r._slot for r in out if r._shard == s) == list(range((4000 - s + 6) // 7))
+
+
+def test_captures_keep_columns_of_any_name(spark):
+    rows = [("http://a.b.com/x", "2024-02-01", 1, 2, 3), (None, "2024-02-01", 1, 2, 3), ("http://a.b.com/x", None, 4, 5, 6)] * 2
+    captures = spark.createDataFrame(rows, "url string, day string, _u int, _best int, c0 int").withColumn("day", F.to_date("day"))
+    captures = captures.withColumns({"pattern": F.lit("p"), "_d": F.lit(7), "_verdict": F.lit("old")})
+    changes = spark.createDataFrame([("b.com", "2024-01-01", "block"), (None, "2024-01-01", "block")], "pattern string, day string, action string").withColumn("day", F.to_date("day"))
+    out = url_lists.judge_captures(captures, changes)
+    given = [c for c in captures.columns if c != "_verdict"]
+    assert out.columns == [*given, "_verdict", "_pattern", "_valid_from", "_valid_to"]
+    assert counted(out.select(*given)) == counted(captures.select(*given))
+    assert {(r.url, r.day is None, r._verdict) for r in out.collect()} == {
+        ("http://a.b.com/x", False, "block"), (None, False, "none"), ("http://a.b.com/x", True, "none")}
+    assert {r._verdict for r in url_lists.judge_captures(captures, changes.limit(0)).collect()} == {"none"}
+    assert url_lists.judge_captures(captures.limit(0), changes).count() == 0
