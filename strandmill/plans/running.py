@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from strandmill.plans.adapters import DOMAINS
 from strandmill.plans.base import EV, FULL_HIST, HIST, IMP, LENS, SPLIT, SQL, query, samples
 from strandmill.plans.blocks import FeatureChain
 from strandmill.plans.evaluation import predictions
+from strandmill.plans.ml import FeatureBlocks
+from strandmill.session import shared_dir
 from strandmill.sources.sinks import last_prediction
 from strandmill.streaming import reports as T
 
@@ -132,6 +137,26 @@ def u2_events(spark, sf):
         "sample_id", "c_target_item_id", "sample_weight", "pos", "event.*")
 
 
+@query("u1_ml_pipeline", f"""WITH s1 AS ({SQL['q12_sample_weight']}), s2 AS ({SQL['q9_time_categories']}), s3 AS ({_cut_sql('q14_target_ids')}), {IMP}{SPLIT},
+often AS (SELECT item_id FROM imp, cut WHERE ts < cutoff AND item_id BETWEEN 1 AND 199 GROUP BY item_id HAVING count(*) >= 5)
+SELECT sample_id, ts >= cutoff AS is_valid, weight AS sample_weight, s2.* EXCLUDE (sample_id), target_campaign AS campaign_before,
+  CASE WHEN item_id BETWEEN 1 AND 199 AND item_id NOT IN (SELECT item_id FROM often) THEN 0 ELSE item_id END AS item_id,
+  (item_id > 0 AND item_id BETWEEN 1 AND 199 AND item_id NOT IN (SELECT item_id FROM often)) AS was_rare
+FROM imp JOIN s1 USING (sample_id) JOIN s2 USING (sample_id) JOIN s3 USING (sample_id), cut""")
+def u1(spark, sf):
+    """Blocks as stages of a Pipeline: fitted on the training rows, saved to the shared folder, loaded, applied to all."""
+    df = samples(spark, sf).drop(*[f"{d}_raw_len" for d in DOMAINS])
+    split = time_split(df, "ts", 0.2).withColumn("given_item", F.col("item_id"))
+    stages = [FeatureBlocks({"sample_weight": {}, "time_cats": {}, "c_target": {"emit_target_ids": True}}),
+              FeatureBlocks({"freq_filter": {"scalars": {"item_id": 200}, "min_count": 5}})]
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    Pipeline(stages=stages).fit(split.where(~F.col("is_valid"))).write().save(at)
+    out = PipelineModel.load(at).transform(split)
+    return out.select(
+        "sample_id", "is_valid", "sample_weight", *[c for c in out.columns if c.startswith("time_")],
+        F.col("c_target_campaign_id").alias("campaign_before"), "item_id", (F.col("item_id") != F.col("given_item")).alias("was_rare"))
+
+
 @query("u4_score_predicate", f"""WITH {IMP} SELECT count(*) AS n, sum(label)::BIGINT AS pos FROM imp WHERE 1.0 / (1.0 + exp(-(logit * 0.5))) > 0.6""")
 def u4(spark, sf):
     """A row predicate on a scorer; one that is a column expression needs no Python rows."""

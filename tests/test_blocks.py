@@ -166,3 +166,35 @@ def test_random_mask_is_repeatable(spark):
 def test_fit_ids_lengths(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([],), (None,)], "a array<int>")
     assert [r[0] for r in df.select(A.fit_ids(F.col("a"), 2)).collect()] == [[1, 2], [0, 0], [0, 0]]
+
+
+def test_stages_of_a_pipeline_survive_saving(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from strandmill.plans.ml import FeatureBlocks, FeatureBlocksModel
+
+    rows = [(i, 1000 + i, [float(i), float(i % 3)], i % 4 + (i > 30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id long, ts long, v array<double>, c long")
+    stages = [FeatureBlocks({"rssc": {"columns": {"v": 2}}, "freq_filter": {"scalars": {"c": 10}, "min_count": 10}}),
+              SQLTransformer(statement="SELECT *, c * 2 AS twice FROM __THIS__"),
+              FeatureBlocks({"l2_norm": {"columns": ["v"]}, "sample_weight": {}}, order=["sample_weight", "l2_norm"])]
+    pipe = Pipeline(stages=stages)
+    pipe.write().save(f"{tmp_path}/unfitted")
+    fitted = Pipeline.load(f"{tmp_path}/unfitted").fit(df)
+    fitted.write().save(f"{tmp_path}/fitted")
+    loaded = PipelineModel.load(f"{tmp_path}/fitted")
+    assert [s.uid for s in loaded.stages] == [s.uid for s in fitted.stages] and isinstance(loaded.stages[0], FeatureBlocksModel)
+    assert list(loaded.stages[0].state) == list(fitted.stages[0].state) and loaded.stages[2].getOrDefault("order") == ["sample_weight", "l2_norm"]
+    sort = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    got = sort(loaded.transform(df))
+    assert got == sort(fitted.transform(df)) == sort(pipe.fit(df).transform(df)) and len(got) == 40
+    first = FeatureChain({"rssc": {"columns": {"v": 2}}, "freq_filter": {"scalars": {"c": 10}, "min_count": 10}})
+    then = FeatureChain({"sample_weight": {}, "l2_norm": {"columns": ["v"]}})
+    middle = first.transform(df, first.fit(df)).withColumn("twice", F.col("c") * 2)
+    assert got == sort(then.transform(middle, then.fit(middle)))
+    fitted.write().overwrite().save(f"{tmp_path}/fitted")
+    assert fitted.stages[0].copy().transform(df.limit(0)).count() == 0
+    for wrong, why in (({"nothing": {}}, "unknown blocks"), ({"time_cats": {3: 4}}, "not text"), ({"time_cats": {"a": df}}, "cannot be saved")):
+        with pytest.raises(ValueError, match=why):
+            FeatureBlocks(wrong)
