@@ -17,13 +17,18 @@ from strandmill.llm.texts import NON_ALNUM, by_bytes, byte_table, mix, seeds, ut
 BITS, SIZES = 20, (4, 5, 6, 8)
 #: The first, second, ... occurrence of an n-gram in a text are features of their own, up to this one.
 LEVELS = 4
-#: Bounds of the training sample: confirmed toxic documents, unlabelled documents; and of the model.
+#: Bounds of the sample that the gradient steps read: confirmed toxic documents, unlabelled documents; and of the model.
+#: Document rates and the cut are taken over every document that is not held out.
 POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 8000, 4096
 PART_BYTES, STEPS = 1 << 20, 300
 #: Share of the confirmed documents that must hold an n-gram for it to become a feature.
 LEAST_SHARE = 0.01
 #: Least log-likelihood ratio of a feature: beyond what chance gives to the best of so many features.
 LEAST_CLEAR = float(np.log(LEVELS << BITS))
+#: Copies that make up more than one in so many documents weigh as one document; whole weights, so that sums are exact.
+CROWD, UNIT = 2000, 1 << 24
+#: Steps of log-odds between possible cuts.
+CUTS = 64
 
 
 def held_out(id_: Column) -> Column:
@@ -59,33 +64,80 @@ class Grams:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many positive and unlabelled documents of the partition hold each feature."""
-    grams, seen = Grams(), np.zeros((2, LEVELS << BITS), dtype=np.int32)
+    """How many documents of the partition hold each feature."""
+    grams, seen = Grams(), np.zeros(LEVELS << BITS, dtype=np.int32)
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        for k, positive in enumerate(batch.column(1).to_pylist()):
+        for k in range(batch.num_rows):
             found = [x[x >= 0] for x in grams.each(data, offsets[k: k + 2])]
             if found:
                 own, times = np.unique(np.concatenate(found), return_counts=True)
                 for level in range(LEVELS):
-                    seen[int(positive)][own[times > level].astype(np.int64) * LEVELS + level] += 1
-    rows = np.flatnonzero(seen[1])
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seen[1][rows], pa.int64()), pa.array(seen[0][rows], pa.int64())], names=["f", "p", "u"])
+                    seen[own[times > level].astype(np.int64) * LEVELS + level] += 1
+    rows = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seen[rows], pa.int64())], names=["f", "p"])
+
+
+class Minima:
+    """Three minima of hashed 5-word shingles per text: near copies share most of them; without words they are 0."""
+
+    def __init__(self):
+        self.shingler, self.turns = Shingler(), seeds("turns", 3)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(offsets) - 1, 3), dtype=np.int64)
+        for k, own in enumerate(self.shingler.sets(data, offsets)):
+            if len(own):
+                out[k] = [mix(own + t).min() >> np.uint64(1) for t in self.turns]
+        return out
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three minima of hashed 5-word shingles per text: near copies share most of them."""
-    shingler, turns = Shingler(), seeds("turns", 3)
+    minima = Minima()
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        out = np.zeros((batch.num_rows, 3), dtype=np.int64)
-        for i, j in by_bytes(offsets, PART_BYTES):
-            for k, own in enumerate(shingler.sets(data, offsets[i: j + 1]), i):
-                if len(own):
-                    out[k] = [mix(own + t).min() >> np.uint64(1) for t in turns]
+        parts = [minima(data, offsets[i: j + 1]) for i, j in by_bytes(offsets, PART_BYTES)]
+        out = np.concatenate(parts) if parts else np.zeros((0, 3), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(out[:, i]) for i in range(3)]], names=["text", "positive", "m0", "m1", "m2"])
 
 
+def _minima_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    minima = Minima()
+    for batch in batches:
+        data, offsets = utf8(batch.column(0))
+        for i, j in by_bytes(offsets, PART_BYTES):
+            out = minima(data, offsets[i: j + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(3, dtype=np.int32), j - i)), pa.array(out.reshape(-1))], names=["turn", "least"])
+
+
+@dataclass
+class Crowds:
+    """The minima that large groups of copies share, sorted for each of the three, with the groups' sizes."""
+
+    least: list[np.ndarray]
+    sizes: list[np.ndarray]
+
+    @staticmethod
+    def find(texts: DataFrame) -> Crowds:
+        """At most ``CROWD`` groups for each minimum pass the bound, whatever the table's size."""
+        rows = texts.count()
+        counts = texts.mapInArrow(_minima_alone, "turn int, least long").groupBy("turn", "least").agg(F.count(F.lit(1)).alias("n"))
+        got = counts.where(F.col("n") * CROWD > F.lit(max(rows, CROWD))).orderBy("turn", "least").collect()
+        each = [[r for r in got if r["turn"] == turn] for turn in range(3)]
+        return Crowds([np.array([r["least"] for r in e], dtype=np.int64) for e in each], [np.array([r["n"] for r in e], dtype=np.int64) for e in each])
+
+    def weights(self, minima: Minima, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Weight of each text in whole units: ``UNIT``, shared out among the largest group of copies that it belongs to."""
+        size = np.ones(len(offsets) - 1, dtype=np.int64)
+        if any(map(len, self.least)):
+            own = minima(data, offsets)
+            for turn, (least, sizes) in enumerate(zip(self.least, self.sizes, strict=True)):
+                if len(least):
+                    at = np.minimum(np.searchsorted(least, own[:, turn]), len(least) - 1)
+                    size = np.maximum(size, np.where(least[at] == own[:, turn], sizes[at], 1))
+        return UNIT // size
+
+
 @dataclass
 class Model:
     features: np.ndarray
@@ -112,6 +164,48 @@ def _places(features: np.ndarray) -> np.ndarray:
     return place.reshape(-1, LEVELS)
 
 
+def _rates(features: np.ndarray, crowds: Crowds):
+    """Weight of the partition's documents that hold each feature; feature -1 is every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, place, minima = Grams(), _places(features), Minima()
+        total = np.zeros(len(features) + 1, dtype=np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for i, j in by_bytes(offsets, PART_BYTES):
+                weight = crowds.weights(minima, data, offsets[i: j + 1])
+                text, known = _hits(grams, place, data, offsets[i: j + 1])
+                # Whole numbers below 2^53 add up exactly as doubles.
+                total += np.bincount(known, weights=weight[text], minlength=len(total)).astype(np.int64)
+                total[0] += weight.sum()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, features)[at]), pa.array(total[at])], names=["f", "u"])
+
+    return run
+
+
+def _levels(model: Model, crowds: Crowds):
+    """Weight of the partition's documents at each step of log-odds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, place, minima = Grams(), _places(model.features), Minima()
+        total = np.zeros(80 * CUTS + 1, dtype=np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for i, j in by_bytes(offsets, PART_BYTES):
+                weight = crowds.weights(minima, data, offsets[i: j + 1])
+                text, known = _hits(grams, place, data, offsets[i: j + 1])
+                f = np.bincount(text, weights=model.weights[known], minlength=j - i) + model.bias
+                total += np.bincount(_step(f) + 40 * CUTS, weights=weight, minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 40 * CUTS), pa.array(total[at])], names=["step", "u"])
+
+    return run
+
+
+def _step(f: np.ndarray) -> np.ndarray:
+    """Log-odds in whole steps; rounded first, so that the order of a sum does not decide."""
+    return np.floor(np.round(np.clip(f, -40, 40) * CUTS, 6)).astype(np.int64)
+
+
 def _rows(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, place = Grams(), _places(features)
@@ -155,23 +249,47 @@ def fit_non_negative(rows: list[np.ndarray], positive: np.ndarray, features: int
     return w[:-1], float(w[-1])
 
 
-def _middle(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The cut of least non-negative risk under the 0/1 loss: both kinds of error, counted with the class prior."""
-    values = np.unique(np.concatenate([positive, unlabelled]))
-    cuts = np.append((values[1:] + values[:-1]) / 2, values[-1] + 1.0)
+def _middle(positive: np.ndarray, steps: np.ndarray, weights: np.ndarray, prior: float) -> float:
+    """The cut of least non-negative risk under the 0/1 loss: both kinds of error, counted with the class prior.
+
+    ``positive`` are steps of confirmed documents, ``weights`` those of all documents at each of ``steps``.
+    """
+    values = np.unique(np.concatenate([positive, steps]))
+    cuts = np.append((values[1:] + values[:-1] + 1) / 2, values[-1] + 1.0 + CUTS)
     found = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    flagged = 1 - np.searchsorted(np.sort(unlabelled), cuts) / max(len(unlabelled), 1)
-    return float(cuts[np.argmin(np.round(prior * (1 - found) + np.maximum(flagged - prior * found, 0), 9))])
+    order = np.argsort(steps)
+    below = np.append(0, np.cumsum(weights[order]))[np.searchsorted(steps[order], cuts)]
+    flagged = 1 - below / max(below.max(), 1)
+    return float(cuts[np.argmin(np.round(prior * (1 - found) + np.maximum(flagged - prior * found, 0), 9))]) / CUTS
+
+
+def _clearest(candidates: np.ndarray, p: np.ndarray, n_p: float, u: np.ndarray, n_u: float, prior: float) -> np.ndarray:
+    """The features that set confirmed documents apart: their rate among them beyond that among all documents."""
+    a, b = p / n_p, np.minimum(u / n_u, 1.0)
+    both = (p + u) / (n_p + n_u)
+
+    def part(n: np.ndarray, rate: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        known = rate > 0
+        return n * np.log(np.where(known, rate, 1.0) / np.where(known, all_, 1.0))
+
+    clear = np.round(part(p, a, both) + part(u, b, both) + part(n_p - p, 1 - a, 1 - both) + part(n_u - u, 1 - b, 1 - both), 9)
+    # All text holds toxic text at the rate of the prior, so this is the share of toxic text among
+    # that with the feature; the least count keeps out words of a few copied documents.
+    share = prior * a / (b + 2 / n_u)
+    good = np.flatnonzero((a > b) & (share >= 0.5) & (clear >= LEAST_CLEAR))
+    return np.sort(candidates[good[np.lexsort((candidates[good], -clear[good]))][:FEATURES]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
     """Learn from confirmed toxic documents and unlabelled ones; None without confirmed documents.
 
-    Only ids that are not held out are used.  The class prior is the share of toxic among all labels
-    there.  The sample is bounded: the ``positive_rows`` and ``unlabelled_rows`` documents of lowest
-    id digest.  Features are the n-gram occurrences that set the confirmed documents apart most clearly;
-    where chance explains them all, every text gets the same score.
+    Only ids that are not held out are used.  The class prior is the share of toxic among all labels there.  How
+    often unlabelled text holds an n-gram is counted over every document, whatever its label, and so is the share of
+    documents beyond each cut; large groups of copies weigh as one document.  The gradient steps read a bounded
+    sample: the ``positive_rows`` and ``unlabelled_rows`` documents of lowest id digest.  Features are the n-gram
+    occurrences that set the confirmed documents apart most clearly; where chance explains them all, every text
+    gets the same score.
     """
     given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     known = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
@@ -188,24 +306,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         texts = cut(texts.select("text", "positive").mapInArrow(_least, "text string, positive boolean, m0 long, m1 long, m2 long") if key == "m0" else texts)
         texts = texts.groupBy("positive", key).agg(F.min(F.struct("text", "m0", "m1", "m2")).alias("_t")).select("positive", "_t.*")
     texts = cut(texts.select("text", "positive").repartition(6))
-    sizes = {r["positive"]: r["count"] for r in texts.groupBy("positive").count().collect()}
-    n_p, n_u = sizes.get(True, 0), max(sizes.get(False, 0), 1)
-    seen = texts.mapInArrow(_document_counts, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    a, b = F.col("p") / n_p, F.col("u") / n_u
-    both = (F.col("p") + F.col("u")) / (n_p + n_u)
-    part = lambda n, rate, all_: F.when(rate > 0, n * F.log(rate / all_)).otherwise(0.0)
-    clear = F.round(part(F.col("p"), a, both) + part(F.col("u"), b, both) + part(n_p - F.col("p"), 1 - a, 1 - both) + part(n_u - F.col("u"), 1 - b, 1 - both), 9)
-    # Unlabelled text holds toxic text at the rate of the prior, so this is the share of toxic text among
-    # that with the feature; the least count keeps out words of a few copied documents.
-    share = prior * a / (b + 2 / n_u)
-    top = seen.where((F.col("p") >= max(5, LEAST_SHARE * n_p)) & (a > b) & (share >= 0.5) & (clear >= LEAST_CLEAR)).select("f", clear.alias("clear")).orderBy(F.desc("clear"), "f").limit(FEATURES).collect()
-    features = np.array(sorted(r["f"] for r in top), dtype=np.int64)
+    confirmed = texts.where("positive").select("text")
+    n_p = confirmed.count()
+    often = confirmed.mapInArrow(_document_counts, "f long, p long").groupBy("f").agg(F.sum("p").alias("p")).where(F.col("p") >= max(5, LEAST_SHARE * n_p)).orderBy("f").toArrow()
+    candidates, p = (often[c].to_numpy().astype(np.int64) for c in "fp")  # at most LEVELS << BITS of them
+    everything = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"))
+    crowds = Crowds.find(everything)
+    rates = everything.mapInArrow(_rates(candidates, crowds), "f long, u long").groupBy("f").agg(F.sum("u").alias("u")).orderBy("f").toArrow()
+    f, u = rates["f"].to_numpy(), rates["u"].to_numpy() / UNIT
+    features = _clearest(candidates, p, n_p, np.where(np.isin(candidates, f), u[np.minimum(np.searchsorted(f, candidates), len(f) - 1)], 0.0), float(u[0]), prior)
     got = texts.mapInArrow(_rows(features), "positive boolean, known binary").collect()
     got.sort(key=lambda r: (r["positive"], bytes(r["known"])))  # sums do not depend on how rows arrive
     rows = [np.frombuffer(bytes(r["known"]), dtype=np.int32) for r in got]
     weights, bias = fit_non_negative(rows, positive := np.array([r["positive"] for r in got], dtype=bool), len(features), prior)
-    f = np.array([weights[r].sum() + bias for r in rows])
-    return Model(features, weights, bias - _middle(f[positive], f[~positive], prior))
+    model = Model(features, weights, bias)
+    steps = everything.mapInArrow(_levels(model, crowds), "step long, u long").groupBy("step").agg(F.sum("u").alias("u")).orderBy("step").toArrow()
+    own = _step(np.array([weights[r].sum() + bias for r, toxic in zip(rows, positive, strict=True) if toxic]))
+    return Model(features, weights, bias - _middle(own, steps["step"].to_numpy(), steps["u"].to_numpy(), prior))
 
 
 def _scored(model: Model | None, where: int):
