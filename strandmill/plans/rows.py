@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,11 +89,18 @@ def s4(spark, sf):
         F.count(F.lit(1)).alias("n_train"), F.sum("label").alias("pos"), F.avg("score").alias("mean_score"), F.max("ts").alias("newest"))
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 @query("s5_inventory", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS \"rows\" FROM {t}" for t in (
-        "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()))
+    f"SELECT '{t}' AS table_name, count(*) AS \"rows\" FROM {t}" for t in TABLES))
 def s5(spark, sf):
-    return X.inventory(spark, sf).select(F.regexp_extract("file_path", r"([a-z]+)\.parquet$", 1).alias("table_name"), "rows")
+    """Rows per table, which is one file or a folder of files, maybe without rows."""
+    files = reduce(DataFrame.unionByName, [
+        X.inventory(spark, f"{sf}/{t}.parquet").select(F.lit(t).alias("table_name"), "rows") for t in TABLES])
+    known = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in TABLES])).alias("table_name"))
+    counted = files.groupBy("table_name").agg(F.sum("rows").alias("rows"))
+    return known.join(counted, "table_name", "left").fillna(0, ["rows"])
 
 
 @query("s5_row_groups")

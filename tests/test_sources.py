@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.plans.rows import TABLES, s5
 from strandmill.sources import logs as L
 from strandmill.sources import samples as X
 from strandmill.sources import sinks as K
@@ -34,6 +35,13 @@ def test_inventory_and_footers(spark, three_files):
     assert sorted(r["rows"] for r in rows) == [3, 4, 5] and all(r["row_groups"] == 1 and r["bytes"] > 0 for r in rows)
 
 
+def test_inventory_query_reads_folders_and_empty_tables(spark, tmp_path):
+    for i, t in enumerate(TABLES):
+        spark.range(i).repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = {r["table_name"]: r["rows"] for r in s5(spark, str(tmp_path)).collect()}
+    assert got == {t: i for i, t in enumerate(TABLES)}
+
+
 def test_predictions_keep_the_last(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 0.1), (1, 5, 0.9), (2, 1, 0.4)], "user_id long, flat_idx long, prob double")
     K.write_predictions(df, str(tmp_path / "out"), "flat_idx")
