@@ -69,24 +69,28 @@ def out_of_bounds(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
 def id_utilisation(
     values: DataFrame, vocab: Mapping[str, int], points: Sequence[int] = (25, 50, 75, 95), task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Hits per (feature, id > 0): coverage, hit percentiles and Gini with unhit ids as zeros.
+    """Hits per (feature, 0 < id < vocabulary): coverage, hit percentiles and Gini with unhit ids as zeros.
 
-    The sorted zero block has a closed form, so only hit ids are ranked.
+    Ids beyond the vocabulary are no part of it; a feature without any hit has a row too.  The sorted zero block has a
+    closed form, so only hit ids are ranked.
     """
     sizes = F.create_map(*[x for f, v in vocab.items() for x in (F.lit(f), F.lit(v - 1).cast("long"))])
-    hits = values.where(F.col("value") > 0).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    inside = (F.col("value") > 0) & (F.col("value") <= sizes[F.col("feature")])
+    hits = values.where(inside).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
     hist = hits.groupBy("feature", "c").agg(F.count(F.lit(1)).alias("m"))
     run = running_totals(hist, ["feature"], [F.col("c")], {"_upto": F.col("m")}, task_rows=task_rows)
     # Sum of ranks of the m ids sharing one count, before shifting by the zero block.
     ranks = F.col("m") * (F.col("_upto") - F.col("m")) + F.col("m") * (F.col("m") + 1) / 2
     per = run.groupBy("feature").agg(
         F.sum("m").alias("hit"), F.sum(F.col("c") * F.col("m")).alias("_t"), F.max("c").alias("max"),
-        F.sum(F.col("c") * ranks).alias("_w")).withColumn("total", sizes[F.col("feature")])
+        F.sum(F.col("c") * ranks).alias("_w"))
+    known = values.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in vocab])).alias("feature"))
+    per = known.join(per, "feature", "left").fillna(0, ["hit", "_t", "max", "_w"]).withColumn("total", sizes[F.col("feature")])
     zeros = F.col("total") - F.col("hit")
-    gini = 2.0 * (F.col("_w") + zeros * F.col("_t")) / (F.col("total") * F.col("_t").cast("double")) - (
-        F.col("total") + 1) / F.col("total")
+    gini = F.when(F.col("_t") == 0, F.lit(float("nan"))).otherwise(
+        2.0 * (F.col("_w") + zeros * F.col("_t")) / (F.col("total") * F.col("_t").cast("double")) - (F.col("total") + 1) / F.col("total"))
     q = exact_quantiles(hits, ["feature"], "c", percentile_names(points), task_rows)
-    return per.join(q, "feature").select(
+    return per.join(q, "feature", "left").select(
         "feature", "total", "hit", (F.col("hit") / F.col("total")).alias("hit_rate"), "max", gini.alias("gini"),
         *[F.floor(n).cast("long").alias(n) for n in percentile_names(points)])
 

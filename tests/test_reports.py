@@ -78,6 +78,14 @@ def test_gini_with_unhit_ids(spark):
         assert got["gini"] == pytest.approx(want) and got["hit"] == 4 and got["max"] == 9
 
 
+def test_id_utilisation_counts_the_vocabulary_alone(spark):
+    df = spark.createDataFrame([("f", v) for v in [0, 1, 1, 3, 10, 11, 11, 11]], "feature string, value long")
+    for task_rows in (10**6, 1):
+        got = {r["feature"]: r for r in H.id_utilisation(df, {"f": 10, "none": 4}, task_rows=task_rows).collect()}
+        assert (got["f"]["total"], got["f"]["hit"], got["f"]["max"], got["f"]["p95"]) == (9, 2, 2, 1)
+        assert (got["none"]["total"], got["none"]["hit"], got["none"]["max"], got["none"]["p25"]) == (3, 0, 0, None)
+
+
 def test_robust_scaler_fallbacks(spark):
     rows = [([float(i), 3.0, 1.0 if i == 0 else 0.0],) for i in range(20)]
     df = spark.createDataFrame(rows, "v array<double>")
