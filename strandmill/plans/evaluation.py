@@ -21,14 +21,16 @@ LEN_COLS = [f"{d}_len" for d in DOMAINS]
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    cols = ["sample_id", "ts", "user_id", "item_id", "category", "label", "score", "logit", "prob", "loss"]
-    return samples(spark, sf).select(*cols)
+    """Narrow rows without histories; their losses are rounded as in SQL, as many queries rank by them."""
+    cols = ["sample_id", "ts", "user_id", "item_id", "category", "label", "score", "logit", "prob"]
+    return samples(spark, sf).select(*cols, S.bce_as_sql(F.col("logit"), F.col("label")).alias("loss"))
 
 
 def with_lengths(spark: SparkSession, sf: str, ceiling: int = 5) -> DataFrame:
     """Predictions with lengths before and after a short ceiling; those before count the whole log."""
     cut = {f"{d}_len": F.least(f"{d}_raw_len", F.lit(ceiling)).cast("long") for d in DOMAINS}
-    return samples(spark, sf).withColumns(cut).drop(*DOMAINS)
+    narrow = samples(spark, sf).withColumns(cut).drop(*DOMAINS)
+    return narrow.withColumn("loss", S.bce_as_sql(F.col("logit"), F.col("label")))
 
 
 CUT_LENS = FULL_LENS + f""",
@@ -261,7 +263,7 @@ def e15(spark, sf):
 def second_view(df: DataFrame) -> DataFrame:
     """A later evaluation of the same rows: scores shifted by item."""
     logit = F.col("logit") + (F.col("item_id") % 5 - 2) * 0.6
-    return df.withColumns({"logit_b": logit, "loss_b": S.bce_with_logits(logit, F.col("label"))})
+    return df.withColumns({"logit_b": logit, "loss_b": S.bce_as_sql(logit, F.col("label"))})
 
 
 VIEWS = IMP + """,

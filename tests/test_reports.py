@@ -12,6 +12,7 @@ from strandmill.operators import health as H
 from strandmill.operators import losses as LS
 from strandmill.operators import vectors as V
 from strandmill.operators.importance import RunningMean, coalition_values, exact_importance, group_importance
+from strandmill.plans.evaluation import second_view
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +87,14 @@ def test_id_utilisation_counts_the_vocabulary_alone(spark):
         assert (got["none"]["total"], got["none"]["hit"], got["none"]["max"], got["none"]["p25"]) == (3, 0, 0, None)
 
 
+def test_losses_are_rounded_as_sql_rounds_them(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") / 1000.0 - 2.0).alias("logit"), (F.col("id") % 2).alias("label"), (F.col("id") % 9).alias("item_id"))
+    got = second_view(rows).collect()
+    assert [r["loss_b"] for r in got] == [
+        max(r["logit_b"], 0.0) + math.log(1.0 + math.exp(-abs(r["logit_b"]))) - r["logit_b"] * r["label"] for r in got]
+
+
 def test_robust_scaler_fallbacks(spark):
     rows = [([float(i), 3.0, 1.0 if i == 0 else 0.0],) for i in range(20)]
     df = spark.createDataFrame(rows, "v array<double>")
