@@ -3,17 +3,21 @@
 Nothing here pairs impressions with events.  One ordered pass per key numbers the events and counts,
 for every probe time, how many events came before it; a history of the last ``ceiling`` events is
 then read from at most two fixed-size blocks of numbered events.  Work and shuffle volume are linear
-in impressions + events however much of the log one user owns.
+in impressions + events however much of the log one user owns.  While every key's log fits a task, the log is
+shuffled once, by key, and histories are made where it lies; they are never shuffled themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators.ranking import TASK_ROWS, running_totals
+from strandmill.operators.ranking import TASK_ROWS, group_sizes, running_totals
+
+#: Rows of the log in one task; with its histories a row takes up to ``ceiling`` times its own memory.
+LOG_ROWS = 250_000
 
 
 def numbered_timeline(
@@ -69,18 +73,85 @@ def counts_as_of(
     return counts_at_probes(line, list(at), domains)
 
 
+def _histories_in_place(
+    impressions: DataFrame, events: DataFrame, keys: Sequence[str], domains: Sequence[str], payload: Sequence[str],
+    ceiling: int, tie: Column, at: Mapping[str, Column], rows: int,
+) -> DataFrame:
+    """``attach_histories`` over a log that is shuffled by key once.
+
+    An event lies in its block and, if there is one, in the next; an impression lies in the block of its last event.  So
+    a block with at most twice ``ceiling`` events, collected by a window, has all that its impressions need.
+    """
+    kept = impressions.columns
+    own_columns = {f"_s_{c}": c for c in kept if c not in keys}
+    of = {f.name: f.dataType for f in impressions.schema.fields}
+    ev = events.select(
+        *keys, "ts", F.lit(1).alias("_kind"), F.struct(tie.alias("t")).alias("_tie"), "domain",
+        F.struct(*payload).alias("_event"), F.lit(None).cast("string").alias("_probe"), F.lit(None).cast("long").alias("_id"),
+        *[F.lit(None).cast(of[c]).alias(s) for s, c in own_columns.items()])
+    kinds = {f.name: f.dataType for f in ev.schema.fields}
+    times = F.array(*[F.struct(F.lit(p).alias("_probe"), when.cast("long").alias("ts")) for p, when in at.items()])
+    pr = impressions.select(*keys, F.col("sample_id").cast("long").alias("_id"), *[F.col(c).alias(s) for s, c in own_columns.items()], F.inline(times)).select(
+        *keys, "ts", F.lit(0).alias("_kind"), F.lit(None).cast(kinds["_tie"]).alias("_tie"), F.lit(None).cast("string").alias("domain"),
+        F.lit(None).cast(kinds["_event"]).alias("_event"), "_probe", "_id", *[F.when(F.col("_probe") == "now", F.col(s)).alias(s) for s in own_columns])
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, rows // LOG_ROWS + 1)
+    log = ev.unionByName(pr).repartition(tasks, *keys)
+
+    per_key = Window.partitionBy(*keys)
+    upto = per_key.orderBy("ts", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = log.withColumns({f"_n_{d}": F.sum(F.when(F.col("domain") == d, 1).otherwise(0).cast("long")).over(upto) for d in domains})
+    counted = counted.withColumns({f"_t_{d}": F.max(f"_n_{d}").over(per_key) for d in domains})
+    own, total = (F.coalesce(*[F.when(F.col("domain") == d, F.col(f"_{x}_{d}")) for d in domains]) for x in "nt")
+
+    def place(domain: Column, seq: Column, after: int = 0) -> Column:
+        return F.struct(domain.cast("string").alias("_domain"), (F.floor((seq - 1) / ceiling) + after).cast("long").alias("_block"), seq.cast("long").alias("_seq"))
+
+    mine = place(F.col("domain"), own)
+    both = F.array(mine, place(F.col("domain"), own, 1))
+    places = F.when(F.col("_kind") == 1, F.when(total > (mine["_block"] + 1) * ceiling, both).otherwise(F.array(mine))).when(
+        F.col("_probe") == "now", F.array(*[place(F.lit(d), F.col(f"_n_{d}")) for d in domains])).otherwise(F.array(place(F.lit(None), F.lit(None))))
+    placed = counted.select(*keys, "_kind", "_probe", "_id", *own_columns, "_event", *[f"_n_{d}" for d in domains], F.inline(places))
+    found = F.collect_list(F.when(F.col("_kind") == 1, F.struct("_seq", "_event"))).over(Window.partitionBy(*keys, "_domain", "_block"))
+    asked = placed.withColumn("_rows", found).where("_kind = 0")
+    inside = F.filter(F.sort_array("_rows"), lambda r: (r["_seq"] > F.col("_seq") - ceiling) & (r["_seq"] <= F.col("_seq")))
+    asked = asked.withColumn("_h", F.transform(inside, lambda r: r["_event"]))
+    back = [F.col(c if c in keys else f"_s_{c}").alias(c) for c in kept]
+    if len(domains) == 1 and len(at) == 1:
+        d = domains[0]
+        return asked.select(*back, F.col("_h").alias(d), F.col(f"_n_{d}").alias(f"{d}_raw_len"))
+    here = lambda p, c: F.max(F.when(F.col("_probe") == p, F.col(c)))
+    first = lambda when, c: F.first(F.when(when, F.col(c)), ignorenulls=True)
+    out = asked.groupBy(*keys, "_id").agg(
+        *[first(F.col("_domain") == domains[0], s).alias(s) for s in own_columns],
+        *[first(F.col("_domain") == d, "_h").alias(d) for d in domains],
+        *[here("now", f"_n_{d}").alias(f"{d}_raw_len") for d in domains],
+        *[here(p, f"_n_{d}").alias(f"{p}_{d}") for p in at if p != "now" for d in domains])
+    return out.select(
+        *back, *domains, *[f"{d}_raw_len" for d in domains],
+        *[f"{p}_{d}" for p in at if p != "now" for d in domains])
+
+
 def attach_histories(
     impressions: DataFrame, events: DataFrame, keys: Sequence[str], domains: Sequence[str],
     payload: Sequence[str], ceiling: int, tie: Column, extra_probes: Mapping[str, Column] | None = None,
-    task_rows: int = TASK_ROWS,
+    task_rows: int = TASK_ROWS, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Impressions with, per domain, the last ``ceiling`` events before them and the full count.
 
     Adds ``{domain}`` (array of payload structs, oldest first) and ``{domain}_raw_len``; counts at
     ``extra_probes`` come out as ``{probe}_{domain}``.  The ceiling is the sequence length of the
-    sample table; counts over the whole history stay exact in ``_raw_len``.
+    sample table; counts over the whole history stay exact in ``_raw_len``.  Null keys and times meet nothing.
+    ``sizes`` are known upper bounds of (events + impressions, those of the largest key).  The result is hash-distributed
+    by the keys where each of them fits a task.
     """
     at = {"now": F.col("ts"), **(extra_probes or {})}
+    known = F.col("ts").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    events = events.where(known)
+    n, largest = sizes or group_sizes(events.select(*keys).unionByName(impressions.select(*keys)), keys)
+    if largest * len(at) <= task_rows:
+        return _histories_in_place(impressions, events, keys, domains, payload, ceiling, tie, at, n)
     line = numbered_timeline(
         events, probe_rows(impressions, keys, at), keys, domains, payload, tie, task_rows)
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.operators import sequence_rows as R
 from strandmill.operators.history import attach_histories, counts_as_of
 from strandmill.plans import catalog
 from strandmill.plans.evaluation import with_lengths
@@ -65,6 +66,31 @@ def test_no_pair_join(log):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("Exchange ")
+
+
+def test_histories_are_made_where_the_log_lies(log):
+    _, _, ev, im = log
+    two = attach_histories(im, ev, ["user_id"], DOMAINS, ["ts", "item"], 4, F.col("event_id"), {"day": F.col("ts") + 9})
+    assert exchanges(two) == 1
+    one = attach_histories(im, ev, ["user_id"], ["x"], ["ts", "item"], 4, F.col("event_id"), sizes=(1000, 1000))
+    key = ("user_id", "sample_id")
+    cut = R.budget_compress(R.explode_events(one, "x", key), ["item"], "item", 3, 1, key=key)
+    pooled = R.recency_pool(one, "x", ["item"], 2, 2, key=key)
+    assert [exchanges(df) for df in (one, cut, pooled)] == [1, 1, 1]
+    assert max(len(r.x) for r in one.collect()) == 4
+
+
+@pytest.mark.parametrize("task_rows", [10**6, 60])
+def test_null_keys_and_times_meet_nothing(spark, task_rows):
+    ev = spark.createDataFrame([(1, None, "x", 5), (2, 7, "x", None), (3, 7, "x", 4)], "event_id long, user_id long, domain string, ts long")
+    im = spark.createDataFrame([(10, None, 9), (11, 7, 9), (12, 8, 9)], "sample_id long, user_id long, ts long")
+    out = attach_histories(im, ev, ["user_id"], ["x"], ["event_id"], 4, F.col("event_id"), task_rows=task_rows)
+    assert {r.sample_id: (r.x_raw_len, [e.event_id for e in r.x]) for r in out.collect()} == {10: (0, []), 11: (1, [3]), 12: (0, [])}
+
+
 def test_report_lengths_count_the_whole_log(spark, tmp_path):
     rows = [(i, 1, "click", i) for i in range(150)] + [(200, 1, "error", 7), (300, 1, "view", 200), (301, 2, "view", 5), (302, 1, "view", 80)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, second long").selectExpr(
