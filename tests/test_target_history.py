@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandmill.operators.health import early_stop
 from strandmill.operators.ranking import running_totals
 from strandmill.operators.target_history import distinct_in_window, first_seen_from_log, target_history
+from strandmill.plans import catalog
 
 DOMAINS = ["x", "y"]
 
@@ -107,3 +108,8 @@ def test_early_stop_equals_a_fold(spark, delta, task_rows):
     got = {x.k: (x.best, x.plateau, x.stopped) for x in early_stop(df, ["k"], "step", "auc", 6, delta, task_rows).collect()}
     assert got == {k: fold(v, 6, delta) for k, v in series.items()}
     assert early_stop(df.limit(0), ["k"], "step", "auc", 6, delta).count() == 0
+
+
+def test_first_seen_of_orders_moves_slim_lines(spark, tiny):
+    plan = catalog.QUERIES["a4_first_seen_mapping"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "l_shipdate" not in plan and plan.count("Exchange hashpartitioning") <= 6
