@@ -57,7 +57,8 @@ def gather(train: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
     ``place`` is the first one with a positive target, null if no place has one.
     """
     nothing = F.array().cast(f"array<{ENTRY}>")
-    rows = train.select(F.inline(F.concat(nothing, *[F.coalesce(p, nothing) for p in parts.values()])))
+    # An inner inline would have all entries made again in a filter for empty arrays.
+    rows = train.select(F.inline_outer(F.concat(nothing, *[F.coalesce(p, nothing) for p in parts.values()]))).where(F.col("stat").isNotNull())
     found = rows.groupBy("stat", "value", "x").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("place.target") > 0, F.col("place"))).alias("place"))
     path = f"{shared_dir(train.sparkSession).rstrip('/')}/fit-{uuid.uuid4().hex}"

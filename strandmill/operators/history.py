@@ -79,8 +79,8 @@ def _histories_in_place(
 ) -> DataFrame:
     """``attach_histories`` over a log that is shuffled by key once.
 
-    An event lies in its block and, if there is one, in the next; an impression lies in the block of its last event.  So
-    a block with at most twice ``ceiling`` events, collected by a window, has all that its impressions need.
+    An event's number counts up in its domain and an impression has the number of its last event, so a window over the
+    numbers from ``ceiling - 1`` below to its own holds the history in order; other impressions in it add nothing.
     """
     kept = impressions.columns
     own_columns = {f"_s_{c}": c for c in kept if c not in keys}
@@ -97,24 +97,18 @@ def _histories_in_place(
     tasks = max(events.sparkSession.sparkContext.defaultParallelism, rows // LOG_ROWS + 1)
     log = ev.unionByName(pr).repartition(tasks, *keys)
 
-    per_key = Window.partitionBy(*keys)
-    upto = per_key.orderBy("ts", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys).orderBy("ts", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = log.withColumns({f"_n_{d}": F.sum(F.when(F.col("domain") == d, 1).otherwise(0).cast("long")).over(upto) for d in domains})
-    counted = counted.withColumns({f"_t_{d}": F.max(f"_n_{d}").over(per_key) for d in domains})
-    own, total = (F.coalesce(*[F.when(F.col("domain") == d, F.col(f"_{x}_{d}")) for d in domains]) for x in "nt")
+    own = F.coalesce(*[F.when(F.col("domain") == d, F.col(f"_n_{d}")) for d in domains])
 
-    def place(domain: Column, seq: Column, after: int = 0) -> Column:
-        return F.struct(domain.cast("string").alias("_domain"), (F.floor((seq - 1) / ceiling) + after).cast("long").alias("_block"), seq.cast("long").alias("_seq"))
+    def place(domain: Column, seq: Column) -> Column:
+        return F.struct(domain.cast("string").alias("_domain"), seq.cast("long").alias("_seq"))
 
-    mine = place(F.col("domain"), own)
-    both = F.array(mine, place(F.col("domain"), own, 1))
-    places = F.when(F.col("_kind") == 1, F.when(total > (mine["_block"] + 1) * ceiling, both).otherwise(F.array(mine))).when(
+    places = F.when(F.col("_kind") == 1, F.array(place(F.col("domain"), own))).when(
         F.col("_probe") == "now", F.array(*[place(F.lit(d), F.col(f"_n_{d}")) for d in domains])).otherwise(F.array(place(F.lit(None), F.lit(None))))
-    placed = counted.select(*keys, "_kind", "_probe", "_id", *own_columns, "_event", *[f"_n_{d}" for d in domains], F.inline(places))
-    found = F.collect_list(F.when(F.col("_kind") == 1, F.struct("_seq", "_event"))).over(Window.partitionBy(*keys, "_domain", "_block"))
-    asked = placed.withColumn("_rows", found).where("_kind = 0")
-    inside = F.filter(F.sort_array("_rows"), lambda r: (r["_seq"] > F.col("_seq") - ceiling) & (r["_seq"] <= F.col("_seq")))
-    asked = asked.withColumn("_h", F.transform(inside, lambda r: r["_event"]))
+    placed = counted.select(*keys, "_kind", "_probe", "_id", *own_columns, "_event", *[f"_n_{d}" for d in domains], F.inline_outer(places))
+    last = Window.partitionBy(*keys, "_domain").orderBy("_seq").rangeBetween(1 - ceiling, Window.currentRow)
+    asked = placed.withColumn("_h", F.collect_list(F.when(F.col("_kind") == 1, F.col("_event"))).over(last)).where("_kind = 0")
     back = [F.col(c if c in keys else f"_s_{c}").alias(c) for c in kept]
     if len(domains) == 1 and len(at) == 1:
         d = domains[0]

@@ -97,7 +97,7 @@ def newest_first(seq: Column, ceiling: int) -> Column:
     A sequence that already never increases keeps its order, which the same stable sort gives.
     """
     keyed = F.transform(seq, lambda e, i: F.struct((-e["ts"]).alias("k"), i.alias("i"), e.alias("e")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, ceiling), lambda s: s["e"])
+    return F.transform(F.slice(F.sort_array(keyed), 1, ceiling), lambda s: s["e"])
 
 
 def truncate(df: DataFrame, ceilings: Mapping[str, int]) -> DataFrame:
@@ -129,6 +129,10 @@ def _positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _by_time(domain: str) -> Column:
+    return F.sort_array(F.transform(domain, lambda e, i: F.struct(e["ts"].alias("k"), i.alias("i"), e.alias("e"))))
+
+
 def compress_runs(
     df: DataFrame, domain: str, action: str, item: str, protect_recent: int = 0, edges: Sequence[int] = RUN_EDGES,
 ) -> DataFrame:
@@ -136,7 +140,7 @@ def compress_runs(
 
     Row form of ``sequence_rows.run_length_compress``; one narrow projection, no shuffle.
     """
-    by_time = F.array_sort(F.transform(domain, lambda e, i: F.struct(e["ts"].alias("k"), i.alias("i"), e.alias("e"))))
+    by_time = _by_time(domain)
 
     def starts(rows: Column, i: Column) -> Column:
         n, here, prev = F.size(rows), F.get(rows, i)["e"], F.get(rows, i - 1)["e"]
@@ -153,6 +157,62 @@ def compress_runs(
     return df.withColumn(domain, out)
 
 
+def compress_budget(
+    df: DataFrame, domain: str, group: Sequence[str], diverse: str, cap: int, protect_recent: int = 0, edges: Sequence[int] = RUN_EDGES,
+) -> DataFrame:
+    """Budget compression inside the row; every kept event gets its ``run_bucket``.
+
+    Row form of ``sequence_rows.budget_compress``; no shuffle.  Work in a row grows with the square of its sequence's length at most.
+    """
+    if protect_recent > cap:
+        raise ValueError("protect_recent cannot exceed cap")
+
+    def times(rows: Column) -> Column:
+        return F.transform(rows, lambda r: r["k"])
+
+    def group_of(r: Column) -> Column:
+        return F.struct(*[r["e"][g].alias(g) for g in group])
+
+    def ranked(rows: Column, lo: Column, hi: Column, g: Column) -> Column:
+        """The events of one group in the order of their slots, before each what it is picked by."""
+        def score(mine: Column, r: Column) -> Column:
+            newest = F.array_max(times(F.filter(mine, lambda x: x["e"][diverse].eqNullSafe(r["e"][diverse]))))
+            return (r["k"] == newest).cast("double") * 2.0 + S.ratio(r["k"] - lo, hi - lo)
+
+        def slot(r: Column, j: Column, count: Column, latest: Column) -> Column:
+            return F.struct(
+                j.alias("r"), F.when(j == 0, F.lit(0)).otherwise(j - count).alias("later"), latest.isNull().alias("never"), (-latest).alias("latest"),
+                g.alias("g"), count.alias("count"), r.alias("row"))
+
+        def scored(mine: Column) -> Column:
+            keyed = F.transform(mine, lambda r: A.let(score(mine, r), lambda v: F.struct(
+                v.isNull().alias("none"), (-v).alias("s"), r["i"].alias("i"), r["k"].alias("k"), r["e"].alias("e"))))
+            return A.let(F.array_max(times(mine)), lambda latest: F.transform(
+                F.sort_array(keyed), lambda r, j: slot(r, j, F.size(mine), latest)))
+
+        return A.let(F.filter(rows, lambda r: group_of(r).eqNullSafe(g)), scored)
+
+    def cut(rows: Column) -> Column:
+        """The events beyond the protected ones, within the budget and in order."""
+        groups = F.array_distinct(F.transform(rows, group_of))
+        slots = A.let(F.array_min(times(rows)), lambda lo: A.let(F.array_max(times(rows)), lambda hi: F.flatten(
+            F.transform(groups, lambda g: ranked(rows, lo, hi, g)))))
+        picked = F.transform(F.slice(F.sort_array(slots), 1, cap - protect_recent), lambda s: F.struct(
+            s["row"]["k"].alias("k"), s["g"].alias("g"), s["row"]["s"].alias("s"), s["row"]["i"].alias("i"), s["count"].alias("count"), s["row"]["e"].alias("e")))
+        return F.transform(F.sort_array(picked), lambda s: s["e"].withField("run_bucket", run_bucket(s["count"], edges)))
+
+    def single(events: Column) -> Column:
+        return F.transform(events, lambda e: e.withField("run_bucket", F.lit(1)))
+
+    def long(rows: Column) -> Column:
+        n = F.size(rows) - protect_recent
+        recent = F.transform(F.slice(rows, n + 1, F.lit(protect_recent)), lambda r: r["e"])
+        return F.concat(A.let(F.slice(rows, F.lit(1), n), cut), single(recent))
+
+    out = F.when(F.size(domain) > cap, A.let(_by_time(domain), long)).otherwise(single(F.col(domain)))
+    return df.withColumn(domain, out)
+
+
 def add_session_state(
     df: DataFrame, domain: str, threshold: int = 3600, gap_buckets: int = 64, category: str | None = None,
     daypart: bool = False, weekend: bool = False,

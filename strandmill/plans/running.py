@@ -132,8 +132,9 @@ def u2(spark, sf):
 @query("u2_chain_events")
 def u2_events(spark, sf):
     """Per-event fields after the chain, all aligned through compression and truncation."""
-    df = run_chain(spark, sf)
-    return df.select("sample_id", "c_target_item_id", "sample_weight", F.posexplode("seq_c").alias("pos", "event")).select(
+    # An inner explode would have the whole chain of its array computed again in a filter for empty ones; the length says it.
+    df = run_chain(spark, sf).where("seq_c_len > 0")
+    return df.select("sample_id", "c_target_item_id", "sample_weight", F.posexplode_outer("seq_c").alias("pos", "event")).select(
         "sample_id", "c_target_item_id", "sample_weight", "pos", "event.*")
 
 
