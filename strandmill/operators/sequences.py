@@ -60,11 +60,11 @@ def dense_sequence_stats(
     seq: Column, imp_ts: Column, length: Column | None = None, length_bucket: bool = True,
     gap_log: bool = True, gap_missing: bool = True, recent: Sequence[int] | None = RECENT_FLAGS,
     max_length: int = MAX_LENGTH, max_gap: int = YEAR, length_edges: Sequence[int] = LENGTH_EDGES,
-    missing_value: float = 1.0,
+    missing_value: float = 1.0, since: Column | None = None,
 ) -> dict[str, Column]:
-    """Presence, length and recency summary of one domain, in the order of the feature vector."""
+    """Presence, length and recency summary of one domain, in the order of the feature vector; ``since`` is a known ``last_gap``."""
     n = length if length is not None else F.size(seq)
-    since = last_gap(seq, imp_ts)
+    since = since if since is not None else last_gap(seq, imp_ts)
     out = {
         "present": (n > 0).cast("double"),
         "empty": (n <= 0).cast("double"),
@@ -385,11 +385,19 @@ def target_evidence(
     A non-positive item or an empty history leaves all eight at 0; a known history without a match
     sets only ``gap_missing``.  The last action is last by position, not by time.
     """
-    hits = F.filter(seq, lambda e: (e[field] == target) & (target > 0))
-    n = F.size(hits)
-    action = F.get(hits, F.greatest(n - 1, F.lit(0)))["action"]
+    n, since, action = evidence_of(matches(seq, target, field), imp_ts)
     usable = (item_id > 0) & (F.size(seq) > 0)
-    return evidence_features(n, last_gap(hits, imp_ts), action, usable, thresholds, max_length, max_gap, missing_value, max_action)
+    return evidence_features(n, since, action, usable, thresholds, max_length, max_gap, missing_value, max_action)
+
+
+def matches(seq: Column, target: Column, field: str) -> Column:
+    return F.filter(seq, lambda e: (e[field] == target) & (target > 0))
+
+
+def evidence_of(hits: Column, imp_ts: Column) -> tuple[Column, Column, Column]:
+    """How many events match, the seconds since the last in time and the action of the last by position."""
+    n = F.size(hits)
+    return n, last_gap(hits, imp_ts), F.get(hits, F.greatest(n - 1, F.lit(0)))["action"]
 
 
 def evidence_features(
@@ -433,10 +441,9 @@ def temporal_velocity(
     """(scratch counts, velocity features) of events in the target category."""
     counts: dict[str, Column] = {}
     for d in domains:
-        hits = F.filter(F.col(d), lambda e: (e["category"] == category) & (category > 0) & (e["ts"] > 0))
-        gaps = F.transform(hits, lambda e: gap(imp_ts, e["ts"]))
-        counts[f"_rec_{d}"] = F.size(F.filter(gaps, lambda g: g <= VELOCITY_WINDOW)).cast("double")
-        counts[f"_base_{d}"] = F.size(F.filter(gaps, lambda g: g <= VELOCITY_BASE)).cast("double")
+        hits = F.filter(F.col(d), lambda e: (e["category"] == category) & (category > 0) & (e["ts"] > 0) & (gap(imp_ts, e["ts"]) <= VELOCITY_BASE))
+        counts[f"_base_{d}"] = F.size(hits).cast("double")
+        counts[f"_rec_{d}"] = F.size(F.filter(hits, lambda e: gap(imp_ts, e["ts"]) <= VELOCITY_WINDOW)).cast("double")
     return counts, velocity_features(domains, ad_domain)
 
 
@@ -496,11 +503,10 @@ def temporal_context(
     ads = F.col(ad_domain)
     day = F.filter(ads, lambda e: (e["ts"] > 0) & (gap(imp_ts, e["ts"]) <= AD_LOAD_WINDOW))
     seen = F.exists(ads, lambda e: (e["advertiser"] == advertiser) & (advertiser > 0))
-    known = [F.transform(F.filter(F.col(d), lambda e: e["category"] > 0), lambda e: e["category"]) for d in domains]
-    every = F.concat(*known)
-    hits = F.size(F.filter(every, lambda c: (c == category) & (category > 0))).cast("double")
+    every = sum((count_events(F.col(d), lambda e: e["category"] > 0) for d in domains), F.lit(0).cast("long"))
+    hits = sum((count_events(F.col(d), lambda e: (e["category"] == category) & (e["category"] > 0)) for d in domains), F.lit(0).cast("long"))
     return context_features(F.coalesce(seen, F.lit(False)), F.size(day), F.size(F.array_distinct(F.transform(day, lambda e: e["advertiser"]))),
-                            hits, F.size(every).cast("double"))
+                            hits.cast("double"), every.cast("double"))
 
 
 def context_features(seen: Column, ad_load: Column, advertisers: Column, hits: Column, every: Column) -> dict[str, Column]:

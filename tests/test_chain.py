@@ -67,6 +67,12 @@ def test_chain_events_make_their_own_column_only_and_once(spark, tiny):
     assert text.count("sort_array") == 1  # the truncation; a filter for empty arrays would repeat it
 
 
+def test_feature_chain_seeks_matches_once_and_makes_no_unread_field(spark, tiny):
+    text = optimized(catalog.QUERIES["u2_feature_chain"](spark, tiny))
+    assert text.count(".campaign = ") == 1
+    assert "sort_array" not in text and "Aggregate" not in text
+
+
 def test_history_over_many_impressions_between_events(spark):
     ev = spark.createDataFrame([(i, 1, "xy"[i % 2], 10 * i) for i in range(40)], "event_id long, user_id long, domain string, ts long")
     im = spark.createDataFrame([(100 + t, 1, t) for t in range(0, 420, 3)], "sample_id long, user_id long, ts long")
